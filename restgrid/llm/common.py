@@ -13,6 +13,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -155,7 +156,7 @@ def chunks(batches, lower: bool = True, text: str = "text"):
     """(ids, Bytes) over pieces of Arrow batches whose texts hold about CHUNK_BYTES."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(text))
-        size = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        size = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         part = (np.cumsum(size) - size) // CHUNK_BYTES
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
         for a, z in zip(cuts, cuts[1:]):
