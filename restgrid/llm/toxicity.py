@@ -1,6 +1,7 @@
 """Toxicity: a factorization machine over hashed terms.
 
-Terms are lower-cased runs without white space and ASCII punctuation, hashed to 64 bits.  The
+Terms are lower-cased runs without white space and ASCII punctuation, and their beginnings of
+PREFIXES bytes, hashed to 64 bits.  The
 machine is fitted on a bounded sample of labelled rows (``MOST_LABELLED``, the smallest seeded
 hashes of doc_id) over the ``MOST_TERMS`` terms that tell the classes apart best, in one task of
 fixed size; its weights are a table of bounded size.  Scoring covers every whole text.
@@ -29,6 +30,8 @@ ROUNDS = 120
 RATE = 0.1
 SEED = 7
 THRESHOLD = 0.3
+#: Bytes of the word beginnings that stand beside whole terms: inflected words share them.
+PREFIXES = (4, 5, 6)
 
 _GAPS = np.zeros(256, bool)
 _GAPS[[*range(0, 48), *range(58, 65), *range(91, 97), *range(123, 128)]] = True
@@ -37,7 +40,7 @@ MODEL = "term bigint, weight double, factors array<double>"
 
 
 def _terms(b: Bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text number) of each term."""
+    """(hash, text number) of each term and beginning."""
     if not len(b.data):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     out = _GAPS[b.data]
@@ -46,8 +49,14 @@ def _terms(b: Bytes) -> tuple[np.ndarray, np.ndarray]:
     before = np.concatenate([[True], out[:-1]]) | edge[:-1]
     after = np.concatenate([out[1:], [True]]) | edge[1:]
     starts, ends = np.flatnonzero(~out & before), np.flatnonzero(~out & after) + 1
-    h = mix(b.span(b.sums(), starts, ends) + (ends - starts).astype(np.uint64))
-    return h, np.searchsorted(b.off, starts, "right") - 1
+    sums, text = b.sums(), np.searchsorted(b.off, starts, "right") - 1
+    hashes, texts = [], []
+    for n in (0, *PREFIXES):  # 0: the whole term
+        long = (ends - starts > n) if n else slice(None)
+        to = starts[long] + n if n else ends
+        hashes.append(mix(b.span(sums, starts[long], to) + np.uint64(n << 56)))
+        texts.append(text[long])
+    return np.concatenate(hashes), np.concatenate(texts)
 
 
 def _distinct(a: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
