@@ -1,5 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
+from .jaccard import op4_ngram_jaccard_join
 from .mixing import op1_mix_sources
 from .quality import op10_quality_divergence
 from .toxicity import op9_toxicity_machine
@@ -7,11 +8,13 @@ from .warc import OP6_SQL, op6_warc_from_arc
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op6_warc_from_arc": op6_warc_from_arc,
     "op9_toxicity_machine": op9_toxicity_machine,
     "op10_quality_divergence": op10_quality_divergence,
 }
 
 SQL: dict[str, str] = {
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op6_warc_from_arc": OP6_SQL,
 }
