@@ -3,6 +3,7 @@
 from .jaccard import op4_ngram_jaccard_join
 from .mixing import op1_mix_sources
 from .quality import op10_quality_divergence
+from .suffixes import op7_suffix_array_dedup
 from .toxicity import op9_toxicity_machine
 from .warc import OP6_SQL, op6_warc_from_arc
 
@@ -10,6 +11,7 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op6_warc_from_arc": op6_warc_from_arc,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op9_toxicity_machine": op9_toxicity_machine,
     "op10_quality_divergence": op10_quality_divergence,
 }
