@@ -2,6 +2,7 @@
 
 from .jaccard import op4_ngram_jaccard_join
 from .mixing import op1_mix_sources
+from .pieces import op2_sentencepiece
 from .quality import op10_quality_divergence
 from .suffixes import op7_suffix_array_dedup
 from .toxicity import op9_toxicity_machine
@@ -9,6 +10,7 @@ from .warc import OP6_SQL, op6_warc_from_arc
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_sentencepiece": op2_sentencepiece,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op6_warc_from_arc": op6_warc_from_arc,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
@@ -17,6 +19,7 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op2_sentencepiece": op2_sentencepiece,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op6_warc_from_arc": OP6_SQL,
 }
