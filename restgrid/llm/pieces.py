@@ -41,7 +41,7 @@ class Trie:
         size = 1 << 18
         self.base, self.check, self.value = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
         free = np.ones(size, bool)
-        free[0], low = False, 1
+        free[0], low = False, 257  # so that a lone child always fits at the first free place
         todo = [(0, 0, len(words), 0)]  # node, first and last word, depth
         while todo:
             node, a, z, depth = todo.pop()
