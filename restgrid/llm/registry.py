@@ -4,6 +4,7 @@ from .jaccard import op4_ngram_jaccard_join
 from .mixing import op1_mix_sources
 from .pieces import op2_sentencepiece
 from .quality import op10_quality_divergence
+from .scoring import op3_lm_scoring
 from .suffixes import op7_suffix_array_dedup
 from .toxicity import op9_toxicity_machine
 from .warc import OP6_SQL, op6_warc_from_arc
@@ -11,6 +12,7 @@ from .warc import OP6_SQL, op6_warc_from_arc
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op6_warc_from_arc": op6_warc_from_arc,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
@@ -20,6 +22,7 @@ QUERIES = {
 
 SQL: dict[str, str] = {
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op6_warc_from_arc": OP6_SQL,
 }
