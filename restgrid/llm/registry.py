@@ -1,5 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
+from .chains import op5_substring_chains
 from .jaccard import op4_ngram_jaccard_join
 from .mixing import op1_mix_sources
 from .pieces import op2_sentencepiece
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_substring_chains": op5_substring_chains,
     "op6_warc_from_arc": op6_warc_from_arc,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op9_toxicity_machine": op9_toxicity_machine,
