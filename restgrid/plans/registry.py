@@ -1,8 +1,555 @@
-"""Every query of the facility engine with its SQL."""
+"""Every query of the facility engine over the driver's tables, with its SQL for the oracle."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geo, hours, labels, scoring
+from ..operators import alerts, cluster, community, entitle, etl, filters, offline, recommend, route, search, sequence
+from ..sources import files
+from .fixtures import AS_OF, MINUTE, sql, table, view
+
+LAT, LNG = 52.5, 0.5  # town 5's centre
+VIEWPORT = (51.0, 53.5, -2.5, 1.0)
+PREFERENCES = {"requires_single_occupancy": True, "requires_quiet": True, "min_rating": 3}
+WIDE = PREFERENCES | {"min_rating": 0}
+TOWN, DOWNLOADED = "Brand#5", 1_705_329_000_000
+ROUTES = [("r1", "Brand#1", "Brand#7"), ("r2", "Brand#2", "Brand#20"), ("r3", "Brand#11", "Brand#14"), ("r4", "Brand#25", "Brand#3")]
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+def now():
+    return F.expr(f"cast({AS_OF} as timestamp_ntz)")
+
+
+def query(name: str, oracle: str | None = None, *views: str):
+    def keep(function):
+        QUERIES[name] = function
+        if oracle:
+            SQL[name] = sql(oracle, *views) if views else oracle
+        return function
+
+    return keep
+
+
+def facilities(spark, sf_dir):
+    return view(spark, sf_dir, "facilities")
+
+
+# --- SQL pieces ----------------------------------------------------------------------------
+
+_SOUTH, _NORTH, _WEST, _EAST = VIEWPORT
+_IN_VIEW = f"publication_status='published' and latitude between {_SOUTH} and {_NORTH} and longitude between {_WEST} and {_EAST}"
+
+
+def _box_sql(lat, lng, km):
+    s, n, w, e = geo.box(lat, lng, km)
+    return f"publication_status='published' and latitude between {s!r} and {n!r} and longitude between {w!r} and {e!r}"
+
+
+def _km_sql(lat1, lng1, lat2="latitude", lng2="longitude"):
+    s, t = f"sin(radians({lat2}-({lat1}))/2)", f"sin(radians({lng2}-({lng1}))/2)"
+    a = f"({s}*{s}+cos(radians({lat1}))*cos(radians({lat2}))*{t}*{t})"
+    return f"(12742.0*atan2(sqrt({a}),sqrt(1-{a})))"
+
+
+def _m_sql(lat1, lng1, lat2="latitude", lng2="longitude"):
+    return f"cast(floor({_km_sql(lat1, lng1, lat2, lng2)}*1000+0.5) as bigint)"
+
+
+_WALK = f"greatest(1, cast(floor({_km_sql(LAT, LNG)}*1000/1000.0/5.0*60.0+0.5) as bigint))"
+_DIST = "cast(case when walking_minutes<=5 then 100 when walking_minutes<=10 then 85 when walking_minutes<=20 then 70 when walking_minutes<=30 then 55 when walking_minutes<=60 then 40 when walking_minutes<=120 then 20 else 5 end as bigint)"
+_FRESH = "cast(case when days_since_verified is null then 50 when days_since_verified<=7 then 100 when days_since_verified<=30 then 80 when days_since_verified<=90 then 60 when days_since_verified<=180 then 40 when days_since_verified<=365 then 20 else 5 end as bigint)"
+_RATING = "cast(floor(coalesce(overall_score,0)/5.0*100.0+0.5) as bigint)"
+_STRICT = {c: f"case when array_length(string_split({c},':'))=2 and try_cast(regexp_extract(string_split({c},':')[1],'^\\s*([+-]?\\d+)',1) as int) between 0 and 23 and try_cast(regexp_extract(string_split({c},':')[2],'^\\s*([+-]?\\d+)',1) as int) between 0 and 59 then try_cast(regexp_extract(string_split({c},':')[1],'^\\s*([+-]?\\d+)',1) as int)*60+try_cast(regexp_extract(string_split({c},':')[2],'^\\s*([+-]?\\d+)',1) as int) end" for c in ("mon_open", "mon_close")}
+_LAX = {c: f"(try_cast(string_split({c},':')[1] as double)*60+try_cast(string_split({c},':')[2] as double))" for c in ("mon_open", "mon_close")}
+_OPEN_SCORE = f"cast(case when is_24h then 100 when not has_hours then 50 when {MINUTE}>={_LAX['mon_open']} and {MINUTE}<={_LAX['mon_close']} then 100 else 0 end as bigint)"
+_STATUS = f"case when is_24h then 'open' when not has_hours or ({_STRICT['mon_open']}) is null or ({_STRICT['mon_close']}) is null then 'unknown' when case when ({_STRICT['mon_close']})<=({_STRICT['mon_open']}) then {MINUTE}>=({_STRICT['mon_open']}) or {MINUTE}<=({_STRICT['mon_close']}) else {MINUTE}>=({_STRICT['mon_open']}) and {MINUTE}<=({_STRICT['mon_close']}) end then 'open' else 'closed' end"
+
+
+def _pref_sql(preferences):
+    asked = scoring.checks({k: v for k, v in preferences.items() if k != "min_rating"})
+    if not asked:
+        return "cast(50 as bigint)"
+    have = "+".join(f"case when {c} then 1 else 0 end" for c, _ in asked)
+    return f"cast(floor(100.0*({have})/{float(len(asked))}+0.5) as bigint)"
+
+
+def _matches_sql(preferences):
+    asked = scoring.checks({k: v for k, v in preferences.items() if k != "min_rating"})
+    return "concat_ws(', ', " + ", ".join(f"case when {c} then '{label}' end" for c, label in asked) + ")"
+
+
+def _scored_sql(source: str, preferences: dict) -> str:
+    return f"""select *, floor((preference*0.40e0+rating*0.25e0+distance*0.20e0+open_score*0.10e0+freshness*0.05e0)*10+0.5)/10.0e0 as total from (
+ select *, {_DIST} as distance from (select *, {_WALK} as walking_minutes, {_pref_sql(preferences)} as preference, {_RATING} as rating, {_OPEN_SCORE} as open_score, {_FRESH} as freshness from {source}))"""
+
+
+def _smart_sql(preferences, km, limit):
+    rated = f" and overall_score >= {float(preferences['min_rating'])}" if preferences.get("min_rating") else ""
+    return f"select * from ({_scored_sql(f'(select * from facilities where {_box_sql(LAT, LNG, km)}{rated} order by name, facility_id limit 500)', preferences)}) order by total desc, name, facility_id limit {limit}"
+
+
+_SMART_COLUMNS = ["facility_id", "name", "walking_minutes", "preference", "rating", "distance", "open_score", "freshness", "total"]
+_LABEL = "case when total>=80 then 'Excellent match' when total>=60 then 'Good match' when total>=40 then 'Fair match' else 'Low match' end"
+_REPORT_LABEL = "case type when 'closed' then 'Closed' when 'out_of_order' then 'Out of Order' when 'refurbishment' then 'Under Refurbishment' when 'cleaning' then 'Being Cleaned' when 'busy' then 'Very Busy' when 'no_water' then 'No Water' else type end"
+_ACTIVE = f"not is_expired and expires_at >= {AS_OF} and created_at <= {AS_OF}"
+
+# --- scans, filters, search ----------------------------------------------------------------
+
+_SHORT = ["facility_id", "name", "town", "latitude", "longitude"]
+
+
+@query("viewport_facilities", f"select {', '.join(_SHORT)} from facilities where {_IN_VIEW} order by name, facility_id limit 500", "facilities")
+def _(spark, sf):
+    return search.capped(search.viewport(facilities(spark, sf), *VIEWPORT)).select(_SHORT)
+
+
+@query("viewport_count", f"select count(*) as n from facilities where {_IN_VIEW} and is_free", "facilities")
+def _(spark, sf):
+    return search.viewport(facilities(spark, sf), *VIEWPORT, {"is_free": True}).agg(F.count("*").alias("n"))
+
+
+@query("nearby_facilities", f"select {', '.join(_SHORT)} from facilities where {_box_sql(LAT, LNG, 20)} order by name, facility_id limit 500", "facilities")
+def _(spark, sf):
+    return search.capped(search.nearby(facilities(spark, sf), LAT, LNG, 20)).select(_SHORT)
+
+
+@query("nearest_facilities", f"select facility_id, name, {_m_sql(LAT, LNG)} as distance_metres from facilities where publication_status='published' and {_km_sql(LAT, LNG)}*1000<=25000 order by 3, 1 limit 10", "facilities")
+def _(spark, sf):
+    return search.nearest(facilities(spark, sf), LAT, LNG, 25_000, 10).select("facility_id", "name", "distance_metres")
+
+
+@query("closest_with_tier", f"select facility_id, distance_metres, cast(case when distance_metres<=5000 then 5 when distance_metres<=10000 then 10 else 25 end as bigint) as radius_km, greatest(1, cast(floor(distance_metres/1000.0/5.0*60.0+0.5) as bigint)) as walking_minutes from (select facility_id, {_m_sql(LAT, LNG)} as distance_metres from facilities where publication_status='published' and {_km_sql(LAT, LNG)}*1000<=25000) order by distance_metres, facility_id limit 1", "facilities")
+def _(spark, sf):
+    return search.closest(facilities(spark, sf), LAT, LNG).select("facility_id", "distance_metres", "radius_km", "walking_minutes")
+
+
+@query("search_facilities", "select facility_id, name, town, overall_score from facilities where publication_status='published' and (town ilike '%brand#1%' or postcode ilike '%brand#1%') order by overall_score desc nulls first, facility_id limit 20", "facilities")
+def _(spark, sf):
+    return search.search(facilities(spark, sf), "brand#1").select("facility_id", "name", "town", "overall_score")
+
+
+@query("facility_by_id", "select facility_id, name, address from facilities where facility_id = 42", "facilities")
+def _(spark, sf):
+    return filters.by_id(facilities(spark, sf), "facility_id", 42).select("facility_id", "name", "address")
+
+
+@query("tri_state_filter", "select facility_id, is_free, is_quiet from facilities where is_free = true and is_quiet = false", "facilities")
+def _(spark, sf):
+    return facilities(spark, sf).where(filters.amenities({"is_free": True, "is_quiet": False, "is_24h": None})).select("facility_id", "is_free", "is_quiet")
+
+
+@query("min_rating_filter", "select facility_id, overall_score from facilities where overall_score >= 4.5", "facilities")
+def _(spark, sf):
+    return facilities(spark, sf).where(filters.amenities({"min_rating": 4.5})).select("facility_id", "overall_score")
+
+
+@query("open_now_filter", f"select facility_id from facilities where publication_status='published' and {_STATUS} = 'open'", "facilities")
+def _(spark, sf):
+    return facilities(spark, sf).where(filters.published() & filters.open_now(MINUTE)).select("facility_id")
+
+
+@query("completeness_check", "select count(*) as n, count(overall_score) as n_score, count(is_free) as n_free, count(distinct town) as towns from facilities", "facilities")
+def _(spark, sf):
+    return facilities(spark, sf).agg(F.count("*").alias("n"), F.count("overall_score").alias("n_score"), F.count("is_free").alias("n_free"), F.countDistinct("town").alias("towns"))
+
+
+@query("ordered_id_string", "select town, string_agg(cast(facility_id as varchar), ',' order by facility_id) as ids from facilities where is_verified group by town", "facilities")
+def _(spark, sf):
+    return facilities(spark, sf).where(filters.verified()).groupBy("town").agg(F.array_join(F.sort_array(F.collect_list("facility_id")).cast("array<string>"), ",").alias("ids"))
+
+
+@query("script_blocks", r"select page_id, cast(len(list_filter(regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1), lambda x: contains(x, 'track'))) as bigint) as n, list_extract(list_filter(regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1), lambda x: contains(x, 'track')), 1) as first_block from pages")
+def _(spark, sf):
+    got = files.script_blocks(table(spark, sf, "pages"), "track")
+    return got.select("page_id", F.size("scripts").cast("long").alias("n"), F.get("scripts", F.lit(0)).alias("first_block"))
+
+
+# --- scalars --------------------------------------------------------------------------------
+
+
+@query("open_status", f"select facility_id, {_STATUS} as status from facilities", "facilities")
+def _(spark, sf):
+    s = hours.open_status(F.col("is_24h"), F.col("has_hours"), F.col("mon_open"), F.col("mon_close"), F.lit(MINUTE))
+    return facilities(spark, sf).select("facility_id", s.alias("status"))
+
+
+@query("open_score", f"select facility_id, {_OPEN_SCORE} as open_score from facilities", "facilities")
+def _(spark, sf):
+    s = hours.open_score(F.col("is_24h"), F.col("has_hours"), F.col("mon_open"), F.col("mon_close"), F.lit(MINUTE))
+    return facilities(spark, sf).select("facility_id", s.alias("open_score"))
+
+
+@query("walking_time", f"select facility_id, {_WALK} as walking_minutes, cast(floor({_km_sql(LAT, LNG)}/80.0*60.0+0.5) as bigint) as driving_minutes from facilities", "facilities")
+def _(spark, sf):
+    km = geo.haversine_km(LAT, LNG, F.col("latitude"), F.col("longitude"))
+    return facilities(spark, sf).select("facility_id", geo.walking_minutes(km * 1000).alias("walking_minutes"), geo.driving_minutes(km).alias("driving_minutes"))
+
+
+@query("distance_score", f"select facility_id, {_DIST} as distance from (select facility_id, {_WALK} as walking_minutes from facilities)", "facilities")
+def _(spark, sf):
+    walk = geo.walking_minutes(geo.haversine_km(LAT, LNG, F.col("latitude"), F.col("longitude")) * 1000)
+    return facilities(spark, sf).select("facility_id", scoring.distance_score(walk).alias("distance"))
+
+
+@query("freshness_score", f"select facility_id, {_FRESH} as freshness from facilities", "facilities")
+def _(spark, sf):
+    days = scoring.days_since(F.col("last_verified_at"), now())
+    return facilities(spark, sf).select("facility_id", scoring.freshness_score(days).alias("freshness"))
+
+
+@query("preference_score", f"select facility_id, {_pref_sql(PREFERENCES)} as preference, {_matches_sql(PREFERENCES)} as matches from facilities", "facilities")
+def _(spark, sf):
+    return facilities(spark, sf).select("facility_id", scoring.preference_score(PREFERENCES).alias("preference"), F.array_join(scoring.matches(PREFERENCES), ", ").alias("matches"))
+
+
+@query("location_codes", "select facility_id, concat('///', list_extract(['calm','quiet','soft','warm','gentle','peaceful','serene','tranquil'], cast(floor(h)%8 as int)+1), '.', list_extract(['comfort','relief','ease','rest','calm','haven','refuge','shelter'], cast(floor(h/8.0)%8 as int)+1), '.', list_extract(['maple','willow','birch','oak','pine','elm','ash','holly'], cast(floor(h/64.0)%8 as int)+1)) as words, format('{:.6f}, {:.6f}', latitude, longitude) as coordinates from (select *, abs(latitude*10000.0e0+longitude*10000.0e0) as h from facilities)", "facilities")
+def _(spark, sf):
+    lat, lng = F.col("latitude"), F.col("longitude")
+    return facilities(spark, sf).select("facility_id", geo.simulated_words(lat, lng).alias("words"), geo.coordinate_text(lat, lng).alias("coordinates"))
+
+
+@query("simplified_codes")
+def _(spark, sf):
+    lat, lng = F.col("latitude"), F.col("longitude")
+    code, words = geo.simplified_code(lat, lng), geo.simulated_words(lat, lng)
+    return facilities(spark, sf).select("facility_id", code.alias("code"), geo.emergency_card(lat, lng, words, code).alias("card"), *[c.alias(n) for n, c in geo.links(lat, lng).items()])
+
+
+@query("marker_class", "select facility_id, case when coalesce(is_accessible,false) or coalesce(has_wheelchair_access,false) then 'accessible' when coalesce(has_baby_changing,false) or coalesce(has_family_room,false) then 'family' else 'default' end as marker from facilities", "facilities")
+def _(spark, sf):
+    return facilities(spark, sf).select("facility_id", labels.marker_class(F.col("is_accessible"), F.col("has_wheelchair_access"), F.col("has_baby_changing"), F.col("has_family_room")).alias("marker"))
+
+
+@query("price_label", "select facility_id, case when is_free then 'Free' when not is_free then coalesce(nullif(price_note,''),'Paid') else 'Cost unknown' end as price from facilities", "facilities")
+def _(spark, sf):
+    return facilities(spark, sf).select("facility_id", labels.price_label(F.col("is_free"), F.col("price_note")).alias("price"))
+
+
+_AMENITY = {c: n for c, n in labels.BADGES_SHOWN.items() if c != "is_disabled_access"}
+
+
+@query("amenity_badges", "select facility_id, concat_ws(', ', " + ", ".join(f"case when {c} then '{n}' end" for c, n in _AMENITY.items()) + f") as badges, coalesce(nullif(town,''),address) as place, case when days_since_verified is null then 'Source imported' else concat('Verified ', strftime({AS_OF} - to_days(days_since_verified), '%Y-%m-%d')) end as provenance from facilities", "facilities")
+def _(spark, sf):
+    return facilities(spark, sf).select("facility_id", F.array_join(labels.labels_of(_AMENITY), ", ").alias("badges"), labels.place_label(F.col("town"), F.col("address")).alias("place"), labels.provenance_label(F.col("last_verified_at")).alias("provenance"))
+
+
+@query("match_preview", f"select facility_id, matches, {_LABEL} as label, case when total>=80 then 'high' when total>=60 then 'medium' else 'low' end as band from (select *, {_matches_sql(PREFERENCES)} as matches from ({_scored_sql('facilities', PREFERENCES)}))", "facilities")
+def _(spark, sf):
+    got = recommend.scored(facilities(spark, sf), LAT, LNG, MINUTE, PREFERENCES)
+    return got.select("facility_id", scoring.preview(F.col("matches")).alias("matches"), "label", scoring.match_band(F.col("total")).alias("band"))
+
+
+# --- recommendations ------------------------------------------------------------------------
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    return recommend.smart(facilities(spark, sf), LAT, LNG, MINUTE, WIDE, 50).select(_SMART_COLUMNS)
+
+
+@query("smart_recommendations", f"select {', '.join(_SMART_COLUMNS)} from ({_smart_sql(PREFERENCES, 10, 20)})", "facilities")
+def _(spark, sf):
+    return recommend.smart(facilities(spark, sf), LAT, LNG, MINUTE, PREFERENCES).select(_SMART_COLUMNS)
+
+
+@query("smart_recommendations_wide", f"select {', '.join(_SMART_COLUMNS)} from ({_smart_sql(WIDE, 50, 20)})", "facilities")
+def _(spark, sf):
+    return flagship(spark, sf)
+
+
+@query("rank_facilities", f"select facility_id, total, cast(row_number() over (order by total desc, facility_id) as int) as place from ({_scored_sql('(select * from facilities where ' + _box_sql(LAT, LNG, 60) + ')', WIDE)})", "facilities")
+def _(spark, sf):
+    got = recommend.rank(search.nearby(facilities(spark, sf), LAT, LNG, 60), LAT, LNG, MINUTE, WIDE, "facility_id")
+    return got.select("facility_id", "total", "place")
+
+
+@query("recommendations_by_mode", " union all ".join(f"select '{m}' as mode, '{x[2]}' as mode_name, facility_id, total, cast(row_number() over (order by total desc, name, facility_id) as int) as place from ({_smart_sql(scoring.mode_preferences(m), 30, 5)})" for m, x in scoring.MODES.items()), "facilities")
+def _(spark, sf):
+    return recommend.by_mode(facilities(spark, sf), LAT, LNG, MINUTE, 30, 5).select("mode", "mode_name", "facility_id", "total", "place")
+
+
+_AHEAD = geo.look_ahead(LAT, LNG, 315, 60)
+
+
+@query("predictive_suggestions", f"""select facility_id, relevance, distance_km, case when matches <> '' then concat(replace(matches, ', ', ' and '), ' facility ahead') when overall_score>=4 then 'Highly rated facility ahead' else 'Facility available ahead' end as reason from (
+ select *, floor((preference*0.5e0+rating*0.25e0+open_score*0.25e0)*10+0.5)/10.0e0 as relevance, floor(walking_minutes*(5.0e0/60.0e0)*10+0.5)/10.0e0 as distance_km,
+ array_to_string(list_slice(list_filter([{", ".join(f"case when {c} then '{n}' end" for c, n in scoring.checks(WIDE))}], lambda x: x is not null), 1, 2), ', ') as matches
+ from ({_scored_sql('(select * from facilities where ' + _box_sql(*_AHEAD, 36) + ' order by name, facility_id limit 500)', WIDE)})) where relevance >= 40 order by relevance desc, name, facility_id limit 5""", "facilities")
+def _(spark, sf):
+    got = recommend.predictive(facilities(spark, sf), LAT, LNG, 315, MINUTE, WIDE, 60, 40)
+    return got.select("facility_id", "relevance", "distance_km", "reason")
+
+
+# --- routes, probes, clusters ---------------------------------------------------------------
+
+
+def _routes(spark, sf):
+    wanted = spark.createDataFrame(ROUTES, "route string, origin string, destination string")
+    points = view(spark, sf, "probes")
+    a = points.select(F.col("town").alias("origin"), F.col("lat").alias("lat1"), F.col("lng").alias("lng1"))
+    b = points.select(F.col("town").alias("destination"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2"))
+    return wanted.join(a, "origin").join(b, "destination")
+
+
+_ROUTE_SQL = f"""with r as (select route, origin, destination, a.lat as lat1, a.lng as lng1, b.lat as lat2, b.lng as lng2 from (values {", ".join(str(r) for r in ROUTES)}) v(route, origin, destination) join probes a on a.town=origin join probes b on b.town=destination),
+ k as (select *, {_km_sql("lat1", "lng1", "lat2", "lng2")} as km from r), m as (select *, cast(floor(km/80.0*60.0+0.5) as bigint) as minutes, cast(floor(km+0.5) as bigint) as total_km from k),
+ s as (select *, unnest(range(1, cast(floor(minutes/75) as bigint)+1)) as stop, cast(floor(minutes/75) as int) as n from m),
+ p as (select *, lat1+(lat2-lat1)*(stop/(n+1.0e0)) as lat, lng1+(lng2-lng1)*(stop/(n+1.0e0)) as lng, cast(floor(minutes*(stop/(n+1.0e0))+0.5) as bigint) as arrival_minutes from s),
+ f as (select p.*, facility_id, name, address, overall_score, row_number() over (partition by route, stop order by overall_score desc nulls first, facility_id) as best from p join facilities on is_verified and abs(latitude-lat)<=10.0e0/111.0e0 and abs(longitude-lng)<=(10.0e0/111.0e0)/cos(radians(lat)))
+"""
+
+
+@query("route_plan", _ROUTE_SQL + "select route, cast(stop as int) as stop, facility_id, arrival_minutes, total_km, minutes from f where best=1", "facilities", "probes")
+def _(spark, sf):
+    return route.plan(facilities(spark, sf), _routes(spark, sf)).select("route", "stop", "facility_id", "arrival_minutes", "total_km", "minutes")
+
+
+@query("route_summary", _ROUTE_SQL + """, l as (select *, row_number() over (partition by route order by stop) as no from f where best=1)
+ select route, concat(origin, ' → ', destination, chr(10), 'Total: ', total_km, ' km (', case when minutes//60>0 then concat(minutes//60, 'h ') else '' end, minutes%60, 'm driving)', chr(10), 'Comfort stops: ', count(*), chr(10), chr(10),
+ string_agg(concat('Stop ', no, ': ', name, chr(10), '  📍 ', address, chr(10), '  ⏱ Arrive ~', arrival_minutes//60, 'h ', arrival_minutes%60, 'm | ★ ', format('{:.1f}', coalesce(overall_score,0.0))), chr(10) order by stop)) as summary from l group by route, origin, destination, total_km, minutes""", "facilities", "probes")
+def _(spark, sf):
+    return route.summary(route.plan(facilities(spark, sf), _routes(spark, sf)))
+
+
+@query("nearest_per_probe", f"select town as probe, facility_id, distance_metres, cast(rank as int) as rank from (select p.town, facility_id, {_m_sql('lat', 'lng')} as distance_metres, row_number() over (partition by p.town order by {_m_sql('lat', 'lng')}, facility_id) as rank from probes p join facilities on publication_status='published' and {_m_sql('lat', 'lng')} <= 25000) where rank <= 3", "facilities", "probes")
+def _(spark, sf):
+    return search.nearest_per_probe(facilities(spark, sf), view(spark, sf, "probes"), "town", 25.0, 3).select("probe", "facility_id", "distance_metres", "rank")
+
+
+@query("map_clusters_greedy")
+def _(spark, sf):
+    return cluster.greedy(search.capped(search.viewport(facilities(spark, sf), *VIEWPORT)), cluster.threshold(2.5, 3.5, 800))
+
+
+@query("map_clusters_grid", "select cast(floor(latitude/0.05e0) as bigint) as cell_y, cast(floor(longitude/0.05e0) as bigint) as cell_x, count(*) as n, min(facility_id) as first_id, round(avg(latitude),6) as latitude, round(avg(longitude),6) as longitude from facilities where publication_status='published' group by 1, 2", "facilities")
+def _(spark, sf):
+    got = cluster.grid(facilities(spark, sf).where(filters.published()), 0.05)
+    return got.select("cell_y", "cell_x", "n", "first_id", F.round("latitude", 6).alias("latitude"), F.round("longitude", 6).alias("longitude"))
+
+
+# --- community ------------------------------------------------------------------------------
+
+
+def _reports(spark, sf):
+    return view(spark, sf, "reports")
+
+
+@query("favourite_facilities", "select facility_id, name, publication_status from facilities where facility_id in (select facility_id from favourites where user_id = 7) order by name, facility_id", "facilities", "favourites")
+def _(spark, sf):
+    return community.favourites_of(view(spark, sf, "favourites"), facilities(spark, sf), 7).select("facility_id", "name", "publication_status")
+
+
+@query("favourite_counts", "select facility_id, count(*) as n from favourites group by facility_id", "favourites")
+def _(spark, sf):
+    return community.favourite_counts(view(spark, sf, "favourites"))
+
+
+@query("favourites_removed", "select user_id, facility_id from favourites where facility_id % 3 <> 0", "favourites")
+def _(spark, sf):
+    have = view(spark, sf, "favourites")
+    return community.remove_favourites(have, have.where("facility_id % 3 = 0"))
+
+
+@query("active_reports", f"select report_id, facility_id, type, expires_at from reports where {_ACTIVE}", "reports")
+def _(spark, sf):
+    return _reports(spark, sf).where(filters.active_reports(now()) & (F.col("created_at") <= now())).select("report_id", "facility_id", "type", "expires_at")
+
+
+@query("expire_reports", f"select report_id, is_expired or expires_at < {AS_OF} as is_expired from reports", "reports")
+def _(spark, sf):
+    return community.expire(_reports(spark, sf), now()).select("report_id", "is_expired")
+
+
+@query("duplicate_reports", "select report_id, facility_id, type from (select *, max(expires_at) over (partition by facility_id, type order by created_at, report_id rows between unbounded preceding and 1 preceding) as until from reports) where until >= created_at", "reports")
+def _(spark, sf):
+    return community.duplicates(_reports(spark, sf)).select("report_id", "facility_id", "type")
+
+
+@query("resolve_report", f"select report_id, case when report_id=5 and user_id=(select user_id from reports where report_id=5) then true else is_expired end as is_expired, case when report_id=5 then {AS_OF} else expires_at end as expires_at from reports where report_id < 20", "reports")
+def _(spark, sf):
+    reports = _reports(spark, sf)
+    user = reports.where("report_id = 5").first()
+    return community.resolve(reports, 5, user.user_id if user else -1, now()).where("report_id < 20").select("report_id", "is_expired", "expires_at")
+
+
+@query("report_expiry", f"select report_id, {_REPORT_LABEL} as label, created_at + to_hours(case type when 'out_of_order' then 4 when 'cleaning' then 1 when 'busy' then 1 when 'closed' then 2 when 'no_water' then 4 else 2 end) as expires_at from reports", "reports")
+def _(spark, sf):
+    return _reports(spark, sf).select("report_id", labels.report_label(F.col("type")).alias("label"), labels.expiry(F.col("created_at"), F.col("type")).alias("expires_at"))
+
+
+_IN = lambda names: ", ".join(f"'{n}'" for n in names)
+
+
+@query("badges", f"select user_id, 'community_hero' as badge_type, count(*) as n from reports group by user_id having count(*)>=5 union all select user_id, 'accessibility_champion', count(*) from corrections where field in ({_IN(community.ACCESSIBILITY_FIELDS)}) group by user_id having count(*)>=3 union all select user_id, 'family_helper', count(*) from corrections where field in ({_IN(community.FAMILY_FIELDS)}) group by user_id having count(*)>=3", "reports", "corrections")
+def _(spark, sf):
+    return community.badges(None, _reports(spark, sf), view(spark, sf, "corrections")).select("user_id", "badge_type", "n")
+
+
+def _ledger(spark, sf):
+    return table(spark, sf, "events").select("event_id", "user_id", F.col("event_type").alias("action"), "ts")
+
+
+@query("rate_limit_ledger", "select event_id, count(*) over (partition by user_id, event_type order by ts range between interval 24 hour preceding and current row) as n from events")
+def _(spark, sf):
+    return community.action_counts(_ledger(spark, sf), 24).select("event_id", "n")
+
+
+_ACCEPTED_SQL = """with recursive e as (select event_id, {key} as k, epoch_us(ts) as t, row_number() over (partition by {key} order by ts, event_id) as i from {source}),
+ run as (select event_id, k, i, true as accepted, [t] as times from e where i=1
+  union all select e.event_id, e.k, e.i, len(list_filter(run.times, lambda x: x >= e.t - {width}))<{most}, case when len(list_filter(run.times, lambda x: x >= e.t - {width}))<{most} then list_append(list_filter(run.times, lambda x: x >= e.t - {width}), e.t) else list_filter(run.times, lambda x: x >= e.t - {width}) end from run join e on e.k=run.k and e.i=run.i+1)
+ select event_id, accepted from run"""
+
+
+@query("rate_limit_accepted", _ACCEPTED_SQL.format(key="concat(user_id, '/', event_type)", source="events", width=604_800_000_000, most=2))
+def _(spark, sf):
+    events = _ledger(spark, sf).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
+    return sequence.accepted(events, ["user_id", "action"], ["event_id"], "t", 7 * 86_400, 2).select("event_id", "accepted")
+
+
+@query("alert_cooldown", _ACCEPTED_SQL.format(key="concat(user_id % 20, '/', event_type)", source="events", width=86_400_000_000, most=1))
+def _(spark, sf):
+    events = _ledger(spark, sf).withColumns({"t": F.unix_micros(F.col("ts").cast("timestamp")), "title": F.concat_ws("/", F.col("user_id") % 20, "action")})
+    return sequence.accepted(events.select("event_id", "title", "t"), ["title"], ["event_id"], "t", 86_400, 1).select("event_id", "accepted")
+
+
+@query("favourite_alerts", f"""select v.user_id, r.facility_id, report_id, case when type in ('closed','out_of_order','refurbishment') then concat('⚠️ ', name, ' - ', {_REPORT_LABEL}) else concat('📢 ', name, ' Update') end as title,
+ coalesce(nullif(notes,''), case when type in ('closed','out_of_order','refurbishment') then concat('This facility has been reported as ', type, '.') else concat('Status: ', {_REPORT_LABEL}) end) as body
+ from favourites v join facilities f on f.facility_id=v.facility_id join reports r on r.facility_id=v.facility_id where {_ACTIVE} and v.user_id%4<>0 and ((v.user_id%2=0 and type in ('closed','out_of_order','refurbishment')) or (v.user_id%3=0 and type in ('cleaning','busy','no_water')))""", "facilities", "favourites", "reports")
+def _(spark, sf):
+    favourites = view(spark, sf, "favourites")
+    wanted = favourites.select("user_id", "facility_id", F.lit(0).alias("position"), (F.col("user_id") % 4 != 0).alias("enabled"), (F.col("user_id") % 2 == 0).alias("closure_alerts"), (F.col("user_id") % 3 == 0).alias("update_alerts"))
+    return alerts.alerts(favourites, wanted, facilities(spark, sf), _reports(spark, sf).where(F.col("created_at") <= now()), now())
+
+
+@query("access_codes_latest", "select facility_id, user_id, event_id, first_at as created_at from (select event_id%200 as facility_id, user_id, event_id, min(ts) over (partition by event_id%200, user_id) as first_at, row_number() over (partition by event_id%200, user_id order by event_id%2 desc, ts desc) as n from events) where n=1")
+def _(spark, sf):
+    codes = table(spark, sf, "events").select((F.col("event_id") % 200).alias("facility_id"), "user_id", "event_id", F.col("ts").alias("created_at"))
+    return community.upsert_codes(codes.where("event_id % 2 = 0"), codes.where("event_id % 2 = 1")).select("facility_id", "user_id", "event_id", "created_at")
+
+
+@query("saved_profiles_capped", "select event_id as profile_id, user_id from (select event_id, user_id, row_number() over (partition by user_id order by ts, event_id) as n from events where event_type='view') where n<=10")
+def _(spark, sf):
+    rows = table(spark, sf, "events").where("event_type = 'view'").select("user_id", F.col("event_id").alias("profile_id"), F.col("ts").alias("created_at"))
+    return community.save_profiles(rows.limit(0), rows).select("profile_id", "user_id")
+
+
+# --- offline --------------------------------------------------------------------------------
+
+
+@query("offline_region", f"select facility_id, 'region_brand#5_{DOWNLOADED}' as region_id from facilities where town='{TOWN}' and is_verified", "facilities")
+def _(spark, sf):
+    return offline.region_rows(facilities(spark, sf), TOWN, DOWNLOADED).select("facility_id", "region_id")
+
+
+@query("offline_round_trip", f"select facility_id, name, latitude, is_free from facilities where town='{TOWN}' and is_verified", "facilities")
+def _(spark, sf):
+    found = facilities(spark, sf)
+    rows = offline.region_rows(found, TOWN, DOWNLOADED)
+    return offline.read_region(rows, f"region_brand#5_{DOWNLOADED}", found.schema).select("facility_id", "name", "latitude", "is_free")
+
+
+@query("offline_search", "select facility_id, name from facilities where contains(lower(town),'red') or contains(lower(postcode),'red') or contains(lower(name),'red') order by facility_id limit 20", "facilities")
+def _(spark, sf):
+    return offline.search(facilities(spark, sf), "RED").select("facility_id", "name")
+
+
+@query("storage_total", "select cast(coalesce(sum(p_size*1024),0) as bigint) as total_bytes, case when sum(p_size*1024) < 1048576 then format('{:.1f} KB', sum(p_size*1024)/1024.0) else format('{:.1f} MB', sum(p_size*1024)/1048576.0) end as shown from part")
+def _(spark, sf):
+    got = offline.total_bytes(table(spark, sf, "part").select((F.col("p_size") * 1024).cast("long").alias("size_bytes")))
+    return got.select("total_bytes", labels.bytes_text(F.col("total_bytes")).alias("shown"))
+
+
+# --- import ---------------------------------------------------------------------------------
+
+_NUM = {c: f"try_cast(trim({c}) as double)" for c in ("latitude", "longitude")}
+_BOOL = lambda c: f"case when lower(trim({c})) in ('true','1','yes') then true when lower(trim({c})) in ('false','0','no') then false end"
+_NORMAL_SQL = f"""select trim(id) as source_record_id, coalesce(nullif(trim(name),''),'Unnamed Toilet') as name, {_NUM['latitude']} as latitude, {_NUM['longitude']} as longitude,
+ coalesce(case when areas='' then null else coalesce(json_extract_string(areas,'$.name'), json_extract_string(areas,'$[0].name')) end,'') as town, {_BOOL('accessible')} as is_accessible, {_BOOL('baby_change')} as has_baby_changing, {_BOOL('radar')} as requires_radar_key, {_BOOL('no_payment')} as is_free, opening_times like '%17:00%' as has_hours, source_key, age_days
+ from source_rows where trim(id)<>'' and coalesce({_BOOL('active')}, true) and coalesce({_NUM['latitude']} between 49 and 61 and {_NUM['longitude']} between -9 and 2, false)"""
+
+
+def _source(spark, sf):
+    return view(spark, sf, "source_rows")
+
+
+@query("import_normalise", f"select source_record_id, name, latitude, longitude, town, is_accessible, has_baby_changing, requires_radar_key, is_free, has_hours from ({_NORMAL_SQL})", "source_rows")
+def _(spark, sf):
+    got = etl.normalise(_source(spark, sf))
+    return got.select("source_record_id", "name", "latitude", "longitude", "town", "is_accessible", "has_baby_changing", "requires_radar_key", "is_free", F.col("opening_hours").isNotNull().alias("has_hours"))
+
+
+_ERRORS_SQL = f"select *, concat_ws('; ', case when trim(id)='' then 'missing id' end, case when {_NUM['latitude']} is null or {_NUM['longitude']} is null then 'non-numeric coordinates' when not ({_NUM['latitude']} between 49 and 61 and {_NUM['longitude']} between -9 and 2) then 'outside the country' end) as errors from source_rows"
+
+
+@query("import_validate", f"select errors, count(*) as n from ({_ERRORS_SQL}) group by errors", "source_rows")
+def _(spark, sf):
+    return etl.with_errors(_source(spark, sf)).groupBy(F.array_join("errors", "; ").alias("errors")).agg(F.count("*").alias("n"))
+
+
+def _merge(spark, sf, reactivate=True):
+    """Staged rows are a day old at least; the stored snapshot holds the even ids."""
+    staged = etl.normalise(_source(spark, sf)).withColumn("source_updated_at", now() - F.make_dt_interval(F.col("age_days").cast("int")))
+    stored = table(spark, sf, "part").where("p_partkey % 2 = 0").select(
+        F.concat(F.lit("s"), F.col("p_partkey").cast("string")).alias("source_record_id"), F.col("p_partkey").alias("facility_id"),
+        F.when(F.col("p_partkey") % 10 != 0, now() - F.expr("interval 100 days")).alias("updated_at"), (F.col("p_partkey") % 14 != 0).alias("is_current"),
+        (now() - F.make_dt_interval((F.col("p_partkey") % 20).cast("int"))).alias("last_seen_at"),
+    )
+    return etl.plan_merge(staged, stored, reactivate), stored
+
+
+_MERGE_SQL = f"with n as ({_NORMAL_SQL}), p as (select n.*, k.p_partkey as facility_id, case when k.p_partkey is null then 'insert' when k.p_partkey%10=0 or age_days<100 then 'update' else 'unchanged' end as action from n left join part k on k.p_partkey=n.source_key and k.p_partkey%2=0)"
+
+
+@query("import_merge", _MERGE_SQL + " select source_record_id, coalesce(facility_id, 0) as facility_id, action from p", "source_rows")
+def _(spark, sf):
+    return _merge(spark, sf)[0].select("source_record_id", F.coalesce("facility_id", F.lit(0)).alias("facility_id"), "action")
+
+
+_STORED_SQL = f", q as (select k.p_partkey as facility_id, coalesce(p.action is not null or case when {AS_OF} - to_days(cast(k.p_partkey%20 as int)) < {AS_OF} - interval 7 day then false else k.p_partkey%14<>0 end, false) as is_current from part k left join p on p.source_key=k.p_partkey where k.p_partkey%2=0)"
+
+
+@query("stale_facilities", _MERGE_SQL + _STORED_SQL + " select facility_id from q where not is_current", "source_rows")
+def _(spark, sf):
+    planned, stored = _merge(spark, sf)
+    return etl.stale_facilities(facilities(spark, sf), etl.merge_sources(stored, planned, now())).select("facility_id")
+
+
+@query("import_stats", _MERGE_SQL + _STORED_SQL + f", e as ({_ERRORS_SQL}) select (select count(*) from e) as received, (select count(*) from e where errors='') as valid, (select count(*) from e where errors<>'') as quarantined, (select count(*) from p where action='insert') as inserted, (select count(*) from p where action='update') as updated, (select count(*) from p where action='unchanged') as unchanged, (select count(*) from q where not is_current) as stale", "source_rows")
+def _(spark, sf):
+    planned, stored = _merge(spark, sf)
+    stale = etl.stale_facilities(facilities(spark, sf), etl.merge_sources(stored, planned, now()))
+    return etl.statistics(_source(spark, sf), planned, stale)
+
+
+# --- subscriptions --------------------------------------------------------------------------
+
+_TIER = "case event_type when 'purchase' then 'plus' when 'signup' then 'basic' else 'free' end"
+
+
+@query("highest_tier", f"select user_id, case max(case {_TIER} when 'plus' then 2 when 'basic' then 1 else 0 end) when 2 then 'plus' when 1 then 'basic' else 'free' end as tier from events group by user_id")
+def _(spark, sf):
+    return entitle.highest_tier(table(spark, sf, "events").select("user_id", F.expr(_TIER).alias("tier")))
+
+
+@query("entitlements", f"""select u.user_id, coalesce(b.tier,'free') as tier, coalesce(b.source,'none') as source, coalesce(b.life,false) as is_lifetime from (select distinct user_id from events) u left join (
+ select user_id, tier, source, life, row_number() over (partition by user_id order by ord, r desc, life desc) as n from (select user_id, {_TIER} as tier, case {_TIER} when 'plus' then 2 when 'basic' then 1 else 0 end as r, case event_id%3 when 0 then 'sdk' when 1 then 'server' else 'cache' end as source, event_id%3 as ord, event_id%5=0 as life, ts, event_id from events)
+ where event_id%2=0 and (life or ts + interval 30 day > {AS_OF}) and (source<>'cache' or {AS_OF} - ts <= interval 24 hour)) b on b.user_id=u.user_id and b.n=1""")
+def _(spark, sf):
+    events = table(spark, sf, "events")
+    found = events.select(
+        "user_id", F.expr(_TIER).alias("tier"), F.element_at(F.array(*map(F.lit, entitle.SOURCES)), (F.col("event_id") % 3 + 1).cast("int")).alias("source"), (F.col("event_id") % 2 == 0).alias("is_active"),
+        F.when(F.col("event_id") % 5 != 0, F.col("ts") + F.expr("interval 30 days")).alias("expires_at"), F.col("ts").alias("cached_at"),
+    )
+    return entitle.resolve(events.select("user_id").distinct(), found, now())
+
+
+@query("feature_gate", f"select user_id, max(case {_TIER} when 'plus' then 2 when 'basic' then 1 else 0 end) >= 1 as opens from events group by user_id")
+def _(spark, sf):
+    tiers = entitle.highest_tier(table(spark, sf, "events").select("user_id", F.expr(_TIER).alias("tier")))
+    return tiers.select("user_id", entitle.opens(F.col("tier"), F.lit("basic")).alias("opens"))
+
+
