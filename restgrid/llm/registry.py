@@ -6,6 +6,7 @@ from .mixing import op1_mix_sources
 from .pieces import op2_sentencepiece
 from .quality import op10_quality_divergence
 from .scoring import op3_lm_scoring
+from .search import op8_topk_search
 from .suffixes import op7_suffix_array_dedup
 from .toxicity import op9_toxicity_machine
 from .warc import OP6_SQL, op6_warc_from_arc
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_substring_chains": op5_substring_chains,
     "op6_warc_from_arc": op6_warc_from_arc,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
+    "op8_topk_search": op8_topk_search,
     "op9_toxicity_machine": op9_toxicity_machine,
     "op10_quality_divergence": op10_quality_divergence,
 }
