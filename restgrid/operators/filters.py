@@ -16,7 +16,7 @@ AMENITIES = [
     "has_soap", "has_paper_towels", "has_hand_dryer", "has_mirror", "has_shelf", "has_hooks", "has_sanitary_bins", "has_free_period_products", "has_drinking_water", "has_staff_nearby",
     "has_cctv", "is_women_friendly", "is_family_friendly", "is_water_refill_station", "is_shower_facility", "is_breastfeeding_room", "is_rest_area", "is_changing_place", "is_ev_charging", "is_picnic_area",
 ]
-PUBLISHED = F.lit("published")
+PUBLISHED = "published"
 
 
 def amenities(filters: dict) -> Column:

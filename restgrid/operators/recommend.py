@@ -27,14 +27,15 @@ def scored(found: DataFrame, lat: float, lng: float, minute: int, preferences: d
     return found.withColumn("total", total).withColumn("label", s.match_label(total))
 
 
-BEST = [F.desc("total"), "name", "facility_id"]
+def best_first() -> list:
+    return [F.desc("total"), "name", "facility_id"]
 
 
 def smart(facilities: DataFrame, lat: float, lng: float, minute: int, preferences: dict, radius_km: float = 10, limit: int = LIMIT, candidates: int | None = CAP) -> DataFrame:
     """Only min_rating is a hard filter; asked attributes score.  The candidate cap by name comes
     first (None lifts it)."""
     found = nearby(facilities, lat, lng, radius_km, {"min_rating": preferences.get("min_rating")})
-    return scored(capped(found, candidates), lat, lng, minute, preferences).orderBy(*BEST).limit(limit)
+    return scored(capped(found, candidates), lat, lng, minute, preferences).orderBy(*best_first()).limit(limit)
 
 
 def rank(found: DataFrame, lat: float, lng: float, minute: int, preferences: dict, ordinal: str) -> DataFrame:
@@ -49,7 +50,7 @@ def by_mode(facilities: DataFrame, lat: float, lng: float, minute: int, radius_k
     for mode in s.MODES:
         one = smart(facilities, lat, lng, minute, s.mode_preferences(mode), radius_km, best).withColumn("mode", F.lit(mode))
         out = one if out is None else out.unionByName(one)
-    place = F.row_number().over(Window.partitionBy("mode").orderBy(*BEST))
+    place = F.row_number().over(Window.partitionBy("mode").orderBy(*best_first()))
     return out.withColumn("place", place).withColumn("mode_name", s.mode_name(F.col("mode")))
 
 
