@@ -50,6 +50,7 @@ def test_arguments_are_checked(spark, small):
 
 def test_box_reaches_the_scan_of_a_stored_table(spark, small, tmp_path):
     view(spark, small, "facilities").write.parquet(str(tmp_path / "f"))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     plan = search.viewport(spark.read.parquet(str(tmp_path / "f")), 51, 53, -2, 1)._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(latitude" in plan.split("PushedFilters")[-1]
 
