@@ -8,8 +8,10 @@ documents that link share a token among the first n - ceil(0.8 n) + 1 of each.
 Documents of one word sequence are one class.  Among classes, each shared prefix token first
 links its documents to its leader (linear in the group); then only pairs of documents whose
 components still differ are compared, so a large group of near copies never makes all pairs.
-Length and positional filters stand in the joins, the suffix filter before the exact count,
-which compares the words themselves.
+The length filter and a bitmap filter (the parities of a set's hash buckets differ in no more
+places than the sets do) stand in the joins; the positional filter and the least number of prefix
+tokens that linking documents share come next, the suffix filter before the exact count, which
+compares the words themselves.
 
 Defined cases: null and empty texts, and texts without words, have an empty set and link with
 nothing; fewer than five words are one shingle; rows that repeat a doc_id and text are one
@@ -30,8 +32,11 @@ from .common import chunks, components, documents, ids_of, mix, n_ranges, shared
 N = 5
 PERCENT = 80
 #: The table of frequent shingles: so many at most, and in so many texts of a task at least.
-MOST_HEAVY = 50_000
-LEAST_IN_TASK = 4
+MOST_HEAVY = 100_000
+LEAST_IN_TASK = 2
+
+#: 64-bit words of a document's bitmap.
+BITS = 8
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -47,7 +52,8 @@ def _sets(batches):
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """kind 0: (doc_id, set size, two hashes of the word sequence); kind 1: (shingle, texts)."""
+    """kind 0: (doc_id, set size, two hashes of the word sequence, bitmap); kind 1: (shingle, texts)."""
+    names = ["kind", "id", "n", "h1", "h2", *(f"b{i}" for i in range(BITS))]
 
     def rows(batches):
         out, held, n = [], [], 0
@@ -55,15 +61,16 @@ def profile(docs: DataFrame) -> DataFrame:
         def heavy():
             keys, count = np.unique(np.concatenate(held), return_counts=True)
             keep = count >= LEAST_IN_TASK
-            return table([(1, int(k), int(c), 0, 0) for k, c in zip(keys[keep].view(np.int64), count[keep])])
+            return table([(1, int(k), int(c), 0, 0, *(0,) * BITS) for k, c in zip(keys[keep].view(np.int64), count[keep])])
 
         def table(rows):
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5, names=["kind", "id", "n", "h1", "h2"])
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)] if rows else [pa.array([], pa.int64())] * len(names), names=names)
 
         for doc, w, s in _sets(batches):
             at = np.arange(len(w), dtype=np.uint64)
             h1, h2 = (int(mix(w + mix(at + np.uint64(salt))).sum().view(np.int64)) if len(w) else 0 for salt in (11, 977))
-            out.append((0, doc, len(s), h1, h2))
+            odd = np.bincount((s % np.uint64(64 * BITS)).astype(np.int64), minlength=64 * BITS) & 1
+            out.append((0, doc, len(s), h1, h2, *np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()))
             if len(s):
                 held.append(s)
                 n += len(s)
@@ -78,7 +85,7 @@ def profile(docs: DataFrame) -> DataFrame:
         if held:
             yield heavy()
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "kind bigint, id bigint, n bigint, h1 bigint, h2 bigint")
+    return docs.select("doc_id", "text").mapInArrow(rows, ", ".join(f"{c} bigint" for c in names))
 
 
 def prefix_length(n):
@@ -154,6 +161,19 @@ def _least_overlap(n: str, m: str) -> str:
     return f"ceil({PERCENT}.0 * ({n} + {m}) / {100 + PERCENT} - 1e-6)"
 
 
+def _least_shared(n: str, m: str) -> str:
+    """Prefix tokens that documents of n and m tokens share at least, if they link: the k-th
+    token that both have stands behind k - 1 common ones and what only one of them has."""
+    own = lambda x: f"{x} - ceil({PERCENT} * {x} / 100.0 - 1e-6) + 1 - {x} + {_least_overlap(n, m)}"
+    return f"greatest(1, least({own(n)}, {own(m)}))"
+
+
+def _bitmaps_near(n: str, m: str) -> str:
+    """False where the bitmaps b and e rule a link out; true where one is missing."""
+    apart = " + ".join(f"bit_count(b{i} ^ e{i})" for i in range(BITS))
+    return f"coalesce({n} + {m} - ({apart}) >= 2 * {_least_overlap(n, m)}, true)"
+
+
 def link_table(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(profile of every row: doc_id, n_shingles, class; verified links u, v of classes)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -162,25 +182,26 @@ def link_table(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = found.where("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "h1", "h2")
     classes = rows.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("class"))
     rows = stage(rows.join(classes, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("class")).otherwise(F.col("doc_id")).alias("class")), "jaccard-rows")
+    # of a doc_id with several texts there is no one bitmap
+    maps = found.where("kind = 0").groupBy(F.col("id").alias("doc")).agg(*[F.when(F.min(f"b{i}") == F.max(f"b{i}"), F.min(f"b{i}")).alias(f"b{i}") for i in range(BITS)])
     ours = rows.where("class = doc_id and n_shingles > 0").select(F.col("doc_id").alias("doc")).distinct()
     shared = stage(prefixes(docs, heavy, n_ranges(docs)).join(ours, "doc"), "jaccard-prefixes")
     # each token's leader; a pair is looked at once, whatever the number of its tokens
     lead = shared.groupBy("key").agg(F.min(F.struct("doc", "a", "b")).alias("lead")).select("key", F.col("lead.doc").alias("u"), F.col("lead.a").alias("i"), F.col("lead.b").alias("n"))
-    # the token need not be the first that both have: min(i, a) may have come before it
-    near = f"{_lengths('n', 'b')} and least(i, a) + 1 + least(n - i - 1, b - a - 1) >= {_least_overlap('n', 'b')}"
-    star = shared.join(lead, "key").where(f"doc <> u and {near}").groupBy("u", F.col("doc").alias("v")).count().select("u", "v")
+    star = shared.join(lead, "key").where(f"doc <> u and {_lengths('n', 'b')}").groupBy("u", F.col("doc").alias("v")).agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("b").alias("m"))
+    # pairs whose tokens mostly have other leaders are left to the second round
+    star = star.where(f"k >= {_least_shared('n', 'm')}").select("u", "v")
     star = stage(star, "jaccard-star")
     links = stage(verified(star, docs), "jaccard-links")
     at = components(links, "jaccard-first")
     known = shared.join(at.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    open_ = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).where("low <> high and m > 2").select("key")
-    left = stage(known.join(open_, "key"), "jaccard-open")
-    x = left.select("key", F.col("doc").alias("u"), F.col("a").alias("i"), F.col("b").alias("n"), F.col("component").alias("c"))
-    y = left.select("key", F.col("doc").alias("v"), F.col("a").alias("j"), F.col("b").alias("m"), F.col("component").alias("d"))
-    near = f"{_lengths('n', 'm')} and least(i, j) + 1 + least(n - i - 1, m - j - 1) >= {_least_overlap('n', 'm')}"
-    pairs = x.join(y, "key").where(f"u < v and c <> d and {near}").groupBy("u", "v").agg(F.min("i").alias("i"), F.min("j").alias("j"), F.first("n").alias("n"), F.first("m").alias("m"))
-    # here the first shared token of a pair is among its rows: the positional filter in full
-    pairs = pairs.where(f"1 + least(n - i - 1, m - j - 1) >= {_least_overlap('n', 'm')}")
+    open_ = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    left = stage(known.join(open_, "key").join(maps, "doc", "left"), "jaccard-open")
+    x = left.select("key", F.col("doc").alias("u"), F.col("a").alias("i"), F.col("b").alias("n"), F.col("component").alias("c"), *[f"b{i}" for i in range(BITS)])
+    y = left.select("key", F.col("doc").alias("v"), F.col("a").alias("j"), F.col("b").alias("m"), F.col("component").alias("d"), *[F.col(f"b{i}").alias(f"e{i}") for i in range(BITS)])
+    pairs = x.join(y, "key").where(f"u < v and c <> d and {_lengths('n', 'm')} and {_bitmaps_near('n', 'm')}").groupBy("u", "v").agg(F.count("*").alias("k"), F.min("i").alias("i"), F.min("j").alias("j"), F.first("n").alias("n"), F.first("m").alias("m"))
+    # all shared tokens of a pair are among its rows, the first one too: the positional filter
+    pairs = pairs.where(f"k >= {_least_shared('n', 'm')} and 1 + least(n - i - 1, m - j - 1) >= {_least_overlap('n', 'm')}")
     pairs = pairs.join(star.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
     more = stage(verified(stage(pairs.select("u", "v"), "jaccard-pairs"), docs), "jaccard-more")
     return rows, links.union(more)
