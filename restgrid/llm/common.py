@@ -7,6 +7,7 @@ the bytes of an Arrow batch, so no Python object is made for a word.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -25,10 +26,12 @@ SPACE = r"[\x20\x09-\x0D]"
 BASE = 0x9E3779B97F4A7C15 | 1
 WORD_STEP = 0xD1342543DE82EF95
 CHUNK_BYTES = 2 << 20
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 8 << 20
 #: Key ranges of the packed exchange (at least), and bytes of text for each beyond that.
 RANGES = 2048
 RANGE_BYTES = 8 << 20
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 
 _M = (1 << 64) - 1
 _SPACES = np.zeros(256, bool)
@@ -43,15 +46,32 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/") if at else os.path.join(tempfile.gettempdir(), "restgrid-stage")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of bounded bytes: rows hold whole texts, and a worker holds a few batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, computes once."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    release(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of queries that nothing refers to any more: it
+    learns of them from the driver's garbage collector, which may not run for a long time."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
