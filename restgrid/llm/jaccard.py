@@ -219,7 +219,7 @@ def classes_of(docs: DataFrame) -> DataFrame:
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes_of(documents(spark, sf_dir))
+    return classes_of(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -158,7 +158,7 @@ def evaluate(docs: DataFrame, keep: list[str], name: str = "quality") -> DataFra
 
 def op10_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = evaluate(documents(spark, sf_dir), ["doc_id"])
-    return got.select("doc_id", *[F.col("quality")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")])
+    return got.select("doc_id", *[F.col("quality")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")], *[F.round(F.col("quality")[c], 6).alias(c) for c in ("char_distance", "word_distance")])
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

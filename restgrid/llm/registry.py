@@ -1,5 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
+from . import oracle
 from .chains import op5_substring_chains
 from .jaccard import op4_ngram_jaccard_join
 from .mixing import op1_mix_sources
@@ -28,5 +29,9 @@ SQL: dict[str, str] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op4_ngram_jaccard_join": oracle.JACCARD,
     "op6_warc_from_arc": OP6_SQL,
+    "op7_suffix_array_dedup": oracle.SUFFIX,
+    "op8_topk_search": oracle.SEARCH,
+    "op10_quality_divergence": oracle.QUALITY,
 }
