@@ -4,12 +4,13 @@ documents hold.
 A byte goes when a string of ``LENGTH`` bytes that covers it also starts in a document with a
 smaller doc_id; strings are judged on the input.
 
-1. Each window of LENGTH bytes has the least hash of its 20-byte pieces as key; windows in a row
+1. Each window of LENGTH bytes has the least hash of its PIECE-byte pieces as key; windows in a row
    with one key are a run.  Equal windows have equal keys, so only runs whose key stands in two
    documents or more can hold a repeat (one packed exchange finds them).
 2. A run's bytes with their LENGTH - 1 neighbours are a region.  Equal regions are one variant,
    held by its smallest doc_id; later holders lose the whole region.
-3. The variants of a key range meet in one suffix sort: prefix polynomial hashes and binary
+3. The variants of a key range meet in one suffix sort (equal strings have equal keys, so it
+   sorts within keys): prefix polynomial hashes and binary
    search give the common extension of two suffixes in log steps, a mergesort compares by it,
    and neighbours that agree in LENGTH bytes are compared byte by byte.  The smallest doc_id of
    each set of equal suffixes keeps them.  Keys with more than ``MOST_VARIANTS`` variants are
@@ -92,8 +93,8 @@ def shared_runs(docs: DataFrame, ranges: int) -> DataFrame:
     return shared_keys(docs, found, ranges)
 
 
-def regions(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, h, doc, a, b, bytes): the bytes of wanted runs; h: their hash."""
+def regions(docs: DataFrame, wanted: DataFrame, whole: bool) -> DataFrame:
+    """(key, h, doc, a, b) of wanted runs, h: the hash of their bytes; ``whole``: the bytes too."""
     by_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "a", "b")).alias("runs"))
     joined = docs.join(by_doc, docs["doc_id"] == by_doc["doc"]).select("doc_id", "text", "runs")
 
@@ -110,13 +111,14 @@ def regions(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 ok = end <= b.off[text + 1]
                 key, a, n, text, start, end = (x[ok] for x in (key, a, n, text, start, end))
                 h = mix(b.span(b.sums(), start, end) + (end - start).astype(np.uint64))
-                raw = b.data.tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(h.view(np.int64)), pa.array(ids_of(part)[text]), pa.array(a), pa.array(n), pa.array([raw[i:j] for i, j in zip(start.tolist(), end.tolist())], pa.binary())],
-                    names=["key", "h", "doc", "a", "b", "bytes"],
-                )
+                cols = [pa.array(key), pa.array(h.view(np.int64)), pa.array(ids_of(part)[text]), pa.array(a), pa.array(n)]
+                if whole:
+                    raw = b.data.tobytes()
+                    cols.append(pa.array([raw[i:j] for i, j in zip(start.tolist(), end.tolist())], pa.binary()))
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return joined.mapInArrow(cut, "key bigint, h bigint, doc bigint, a bigint, b bigint, bytes binary")
+    names = ["key", "h", "doc", "a", "b", *["bytes"] * whole]
+    return joined.mapInArrow(cut, "key bigint, h bigint, doc bigint, a bigint, b bigint" + ", bytes binary" * whole)
 
 
 # --- the suffix sort -----------------------------------------------------------------------
@@ -148,21 +150,24 @@ class Suffixes:
         whole = n >= self.limit
         return np.where(whole, ties, self.data[i + np.where(whole, 0, n)] < self.data[j + np.where(whole, 0, n)])
 
-    def order(self) -> np.ndarray:
-        """Numbers of the suffixes in order: a bottom-up mergesort, one level at a time; each
-        suffix finds its place in the sibling run by binary search."""
+    def order(self, sets: np.ndarray) -> np.ndarray:
+        """Numbers of the suffixes in order within each set (equal numbers in a row of ``sets``):
+        bottom-up mergesorts of all sets, one level at a time; each suffix finds its place in
+        the sibling run by binary search."""
         n = len(self.starts)
         order, width = np.arange(n), 1
-        while width < n:
-            at = np.arange(n)
-            first = at // (2 * width) * (2 * width)
-            middle = np.minimum(first + width, n)
-            last = np.minimum(first + 2 * width, n)
+        cuts = np.append(np.flatnonzero(np.append(True, sets[1:] != sets[:-1])), n) if n else np.zeros(1, np.int64)
+        size = np.diff(cuts)
+        while width < size.max(initial=0):
+            live = np.repeat(size > width, size)
+            at = np.flatnonzero(live)
+            begin, end = (np.repeat(x, size)[at] for x in (cuts[:-1], cuts[1:]))
+            first = begin + (at - begin) // (2 * width) * (2 * width)
+            middle = np.minimum(first + width, end)
             left = at < middle
-            low, high = np.where(left, middle, first), np.where(left, last, middle)
-            base, mine = low.copy(), self.starts[order]
-            while (open_ := low < high).any():
-                k = np.flatnonzero(open_)
+            low, high = np.where(left, middle, first), np.where(left, np.minimum(first + 2 * width, end), middle)
+            base, mine = low.copy(), self.starts[order[at]]
+            while len(k := np.flatnonzero(low < high)):
                 mid = (low[k] + high[k]) >> 1
                 other = self.starts[order[mid]]
                 # of equal suffixes those of the left run come first
@@ -171,17 +176,16 @@ class Suffixes:
                 ahead[lk] = self.before(other[lk], mine[k][lk], False)
                 ahead[~lk] = self.before(other[~lk], mine[k][~lk], True)
                 low[k], high[k] = np.where(ahead, mid + 1, low[k]), np.where(ahead, high[k], mid)
-            to = np.where(left, at, first + at - middle) + (low - base)
-            merged = np.empty_like(order)
-            merged[to] = order
+            merged = order.copy()
+            merged[np.where(left, at, first + at - middle) + (low - base)] = order[at]
             order, width = merged, width * 2
         return order
 
-    def classes(self) -> np.ndarray:
-        """For each suffix the number of its set of equal ones, compared byte by byte."""
-        order = self.order()
+    def classes(self, sets: np.ndarray) -> np.ndarray:
+        """For each suffix the number of its class of equal ones, compared byte by byte."""
+        order = self.order(sets)
         i, j = self.starts[order[:-1]], self.starts[order[1:]]
-        same = self.extension(i, j) >= self.limit
+        same = (self.extension(i, j) >= self.limit) & (sets[order[:-1]] == sets[order[1:]])
         k = np.flatnonzero(same)
         for a in range(0, len(k), 100_000):
             part = k[a : a + 100_000]
@@ -194,14 +198,15 @@ class Suffixes:
 
 def _earlier(table: pa.Table) -> pa.Table:
     """(doc, start, windows): windows of these variants that a variant of a smaller doc holds."""
-    doc, a, n = (table[c].to_numpy() for c in ("doc", "a", "b"))
+    table = table.sort_by("key")
+    key, doc, a, n = (table[c].to_numpy() for c in ("key", "doc", "a", "b"))
     raw = table["bytes"].to_pylist()
     size = np.array([len(x) for x in raw], np.int64)
     at = np.cumsum(size) - size
     which = np.repeat(np.arange(len(doc)), n)
     nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     s = Suffixes(np.frombuffer(b"".join(raw), np.uint8), at[which] + nth)
-    kind = s.classes()
+    kind = s.classes(key[which])
     least = np.full(kind.max() + 1 if len(kind) else 0, np.iinfo(np.int64).max)
     np.minimum.at(least, kind, doc[which])
     lost = np.flatnonzero(least[kind] < doc[which])
@@ -226,18 +231,21 @@ def removed_windows(docs: DataFrame) -> DataFrame:
     shared = stage(shared, "suffix-shared")
     two = shared.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high").select("key")
     wanted = shared.join(two, "key", "left_semi")
-    cut = stage(regions(docs, wanted), "suffix-regions")
+    cut = stage(regions(docs, wanted, False), "suffix-regions")
     # equal regions are one variant, its smallest document holds it
-    variant = cut.groupBy("key", "h").agg(F.min(F.struct("doc", "a", "b", "bytes")).alias("v"))
-    variant = stage(variant.select("key", "h", "v.*"), "suffix-variants")
-    later = cut.drop("bytes").join(variant.select("key", "h", F.col("doc").alias("first")), ["key", "h"]).where("doc > first").select("doc", F.col("a").alias("start"), F.col("b").alias("windows"))
+    variant = cut.groupBy("key", "h").agg(F.min(F.struct("doc", "a", "b")).alias("v")).select("key", "h", "v.*")
+    variant = stage(variant, "suffix-variants")
+    later = cut.join(variant.select("key", "h", F.col("doc").alias("first")), ["key", "h"]).where("doc > first").select("doc", F.col("a").alias("start"), F.col("b").alias("windows"))
+    later = stage(later, "suffix-later")
+    # only keys with several variants are sorted: of the others all regions are equal
     several = variant.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    sort = variant.join(several, "key")
-    ranges = max(SUFFIX_RANGES, variant.count() // VARIANTS_A_RANGE)
-    dealt = lambda df: df.withColumn("r", F.pmod(F.xxhash64("key"), F.lit(ranges))).select("r", "doc", "a", "b", "bytes").groupBy("r").applyInArrow(_earlier, SPAN)
-    few = dealt(sort.where(f"n <= {MOST_VARIANTS}"))
+    sort = stage(variant.join(several, "key").drop("h"), "suffix-sort")
+    ranges = max(SUFFIX_RANGES, sort.count() // VARIANTS_A_RANGE)
+    hold = lambda where: regions(docs, sort.where(where), True)
+    dealt = lambda df: df.withColumn("r", F.pmod(F.xxhash64("key"), F.lit(ranges))).select("r", "key", "doc", "a", "b", "bytes").groupBy("r").applyInArrow(_earlier, SPAN)
+    few = dealt(hold(f"n <= {MOST_VARIANTS}"))
     # keys with very many variants: whole windows, of which equal ones are one row
-    window = sort.where(f"n > {MOST_VARIANTS}").select("doc", "a", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("k"), "bytes")
+    window = hold(f"n > {MOST_VARIANTS}").select("doc", "a", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("k"), "bytes")
     window = window.select("doc", (F.col("a") + F.col("k")).alias("start"), F.substring("bytes", F.col("k").cast("int") + 1, F.lit(LENGTH)).alias("w"))
     first = window.groupBy("w").agg(F.min("doc").alias("first"))
     many = window.join(first, "w").where("doc > first").select("doc", "start", F.lit(1).cast("long").alias("windows"))
