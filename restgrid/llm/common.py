@@ -10,6 +10,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -32,6 +33,7 @@ BATCH_BYTES = 8 << 20
 RANGES = 2048
 RANGE_BYTES = 8 << 20
 FLUSH = 1 << 19
+RELEASE_S = 0.5
 
 _M = (1 << 64) - 1
 _SPACES = np.zeros(256, bool)
@@ -65,8 +67,10 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of queries that nothing refers to any more: it
-    learns of them from the driver's garbage collector, which may not run for a long time."""
+    learns of them from the driver's garbage collector, which may not run for a long time.  The
+    query's last events, which refer to it, are given a moment to be handled first."""
     gc.collect()
+    time.sleep(RELEASE_S)
     spark.sparkContext._jvm.System.gc()
 
 
