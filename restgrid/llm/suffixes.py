@@ -244,12 +244,14 @@ def removed_windows(docs: DataFrame) -> DataFrame:
     hold = lambda where: regions(docs, sort.where(where), True)
     dealt = lambda df: df.withColumn("r", F.pmod(F.xxhash64("key"), F.lit(ranges))).select("r", "key", "doc", "a", "b", "bytes").groupBy("r").applyInArrow(_earlier, SPAN)
     few = dealt(hold(f"n <= {MOST_VARIANTS}"))
+    spans = later.union(few).union(copies.select(F.col("doc_id").alias("doc"), F.lit(0).cast("long").alias("start"), (F.col("n") - LENGTH + 1).alias("windows")))
+    if not sort.where(f"n > {MOST_VARIANTS}").limit(1).count():
+        return spans
     # keys with very many variants: whole windows, of which equal ones are one row
     window = hold(f"n > {MOST_VARIANTS}").select("doc", "a", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("k"), "bytes")
     window = window.select("doc", (F.col("a") + F.col("k")).alias("start"), F.substring("bytes", F.col("k").cast("int") + 1, F.lit(LENGTH)).alias("w"))
     first = window.groupBy("w").agg(F.min("doc").alias("first"))
-    many = window.join(first, "w").where("doc > first").select("doc", "start", F.lit(1).cast("long").alias("windows"))
-    return later.union(few).union(many).union(copies.select(F.col("doc_id").alias("doc"), F.lit(0).cast("long").alias("start"), (F.col("n") - LENGTH + 1).alias("windows")))
+    return spans.union(window.join(first, "w").where("doc > first").select("doc", "start", F.lit(1).cast("long").alias("windows")))
 
 
 def without_repeats(docs: DataFrame, row: list[str]) -> DataFrame:
