@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_range, chunks, documents, mix, pack, range_of, stage, text_bytes, unpack, word_hashes
+from .common import by_range, chunks, documents, mix, pack, range_of, release, stage, text_bytes, unpack, word_hashes
 from .toxicity import held_out
 
 BLOCKS = 256
@@ -33,7 +33,7 @@ BLOCK_BYTES = 4 << 20
 RANGES = 128
 CALM = 5.0
 MOST_WEIGHT = 0.8
-KEY_BYTES = 7  # of 8; the range number adds its own bits
+KEY_BYTES = 6  # of 8; the range number adds its own bits
 END = np.uint64(0x5EED0E11D)
 _STEP = np.uint64(0xD1342543DE82EF95)
 
@@ -165,6 +165,7 @@ def score(docs: DataFrame) -> tuple[DataFrame, Automaton]:
     answered = stage(totals(requests(blocked, max(RANGES, size // BLOCK_BYTES))), "lm-totals")
     stats = answered.where("block is null").groupBy("size").agg(*[F.sum(c).alias(c) for c in ("known", "once", "twice", "tokens")]).collect()
     automaton = Automaton(stats)
+    release(docs.sparkSession)
     return scores(blocked, answered.where("block is not null").select("block", "size", "r", "n", "totals"), automaton), automaton
 
 
