@@ -237,6 +237,43 @@ def test_passages(docs, empty):
     assert chains.fuzzy_passages(empty).count() == 0
 
 
+def _invented(r, n):
+    return [f"w{r.randrange(10**9)}" for _ in range(n)]
+
+
+def _found(spark, texts):
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts, 1)], "doc_id long, text string")
+    return sorted((p.doc, p.other, p.start, p.end) for p in chains.fuzzy_passages(docs).collect())
+
+
+def test_two_passages_of_one_chain(spark):
+    r = random.Random(11)
+    head, foot = _invented(r, 60), _invented(r, 60)
+    texts = [head + _invented(r, 200) + foot for _ in range(2)]
+    assert _found(spark, texts) == [(2, 1, 0, 60), (2, 1, 260, 320)]
+
+
+def test_pieces_hold_every_passage_of_a_chain():
+    r = random.Random(12)
+    for _ in range(40):
+        a, o, x, y = [], [], [], []
+        for _ in range(r.randint(3, 25)):
+            seed = [r.randrange(10**9) for _ in range(5)]
+            x, y = ([*z, *(r.randrange(10**9) for _ in range(r.choice([0, 0, 1, 3, 30])))] for z in (x, y))
+            a.append(len(x))
+            o.append(len(y))
+            x, y = x + seed, y + seed
+        n = len(a)
+        got = chains.pieces(np.array(a), np.array(o), np.array(x, np.uint32), 0, np.array(y, np.uint32), 0)
+        for s, e, t, f, m in got:
+            assert e - s >= chains.MIN_PASSAGE and m >= chains.MIN_IDENTITY * max(e - s, f - t) - 1e-6
+        for i in range(n):
+            for j in range(i, n):
+                wide = max(a[j] - a[i], o[j] - o[i]) + 5
+                if a[j] + 5 - a[i] >= chains.MIN_PASSAGE and 5 * (j - i + 1) >= chains.MIN_IDENTITY * wide:
+                    assert any(s <= a[i] and e >= a[j] + 5 for s, e, *_ in got)
+
+
 # --- 6 ---
 
 
