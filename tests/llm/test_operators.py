@@ -274,6 +274,27 @@ def test_pieces_hold_every_passage_of_a_chain():
                     assert any(s <= a[i] and e >= a[j] + 5 for s, e, *_ in got)
 
 
+@pytest.mark.parametrize("bits", [4096, 7])
+def test_common_words_of_any_gap(monkeypatch, bits):
+    monkeypatch.setattr(chains, "BITS", bits)
+    r = random.Random(13)
+    for n, m in [(0, 5), (1, 1), (9, 30), (70, 70), (150, 90), (40, 200)]:
+        x, y = (np.array([r.randrange(12) for _ in range(k)], np.uint32) for k in (n, m))
+        row = [0] * (m + 1)
+        for w in x.tolist():
+            row = [0, *(max(row[j + 1], row[j] + 1) if w == v else row[j + 1] for j, v in enumerate(y.tolist()))]
+            for j in range(m):
+                row[j + 1] = max(row[j + 1], row[j])
+        assert chains._common(x, y) == row[-1]
+
+
+def test_wide_gap_is_aligned(spark):
+    r = random.Random(14)
+    first = _invented(r, 200)
+    second = [w if not 60 <= i < 140 or i % 4 else f"e{i}" for i, w in enumerate(first)]
+    assert _found(spark, [first, second]) == [(2, 1, 0, 200)]
+
+
 # --- 6 ---
 
 
