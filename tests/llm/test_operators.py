@@ -295,6 +295,28 @@ def test_wide_gap_is_aligned(spark):
     assert _found(spark, [first, second]) == [(2, 1, 0, 200)]
 
 
+def test_parts_of_a_passage_in_an_earlier_document(spark):
+    r = random.Random(15)
+    passage = _invented(r, 60)
+    edited = [w if i not in (10, 50) else f"e{i}" for i, w in enumerate(passage)]
+    for last in (passage, edited):
+        texts = [_invented(r, 30) + passage[15:45] + _invented(r, 30), _invented(r, 50) + passage + _invented(r, 40), _invented(r, 20) + last + _invented(r, 70)]
+        assert (3, 2, 20, 80) in _found(spark, texts)
+
+
+def test_every_long_repeat_is_found_with_phrases_in_between(spark):
+    """Many documents hold parts of each passage before its first copy."""
+    r = random.Random(17)
+    passages = [_invented(r, 51) for _ in range(30)]
+    parts = [_invented(r, 9) + p[c : c + 20] + _invented(r, 9) for p in passages for c in (0, 7, 16, 25, 31)]
+    whole = [_invented(r, 15) + p + _invented(r, 15) for p in passages]
+    found = _found(spark, [*parts, *whole, *parts, *whole])
+    late = len(parts) * 2 + len(whole)
+    for k in range(len(passages)):
+        at = [(s, e) for d, o, s, e in found if d == late + k + 1 and o == len(parts) + k + 1]
+        assert any(s <= 20 and e >= 61 for s, e in at)
+
+
 # --- 6 ---
 
 
