@@ -279,10 +279,10 @@ def test_common_words_of_any_gap(monkeypatch, bits):
     monkeypatch.setattr(chains, "BITS", bits)
     r = random.Random(13)
     for n, m in [(0, 5), (1, 1), (9, 30), (70, 70), (150, 90), (40, 200)]:
-        x, y = (np.array([r.randrange(12) for _ in range(k)], np.uint32) for k in (n, m))
+        x, y = ([r.randrange(12) for _ in range(k)] for k in (n, m))
         row = [0] * (m + 1)
-        for w in x.tolist():
-            row = [0, *(max(row[j + 1], row[j] + 1) if w == v else row[j + 1] for j, v in enumerate(y.tolist()))]
+        for w in x:
+            row = [0, *(max(row[j + 1], row[j] + 1) if w == v else row[j + 1] for j, v in enumerate(y))]
             for j in range(m):
                 row[j + 1] = max(row[j + 1], row[j])
         assert chains._common(x, y) == row[-1]
