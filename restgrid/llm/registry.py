@@ -26,9 +26,6 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
-    "op2_sentencepiece": op2_sentencepiece,
-    "op3_lm_scoring": op3_lm_scoring,
-    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op4_ngram_jaccard_join": oracle.JACCARD,
     "op6_warc_from_arc": OP6_SQL,
     "op7_suffix_array_dedup": oracle.SUFFIX,

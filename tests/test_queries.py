@@ -40,6 +40,10 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def test_sql_is_text():
+    assert all(isinstance(sql, str) for sql in __spark_entry__.oracle_sql().values())
+
+
 def test_arguments_are_checked(spark, small):
     f = view(spark, small, "facilities")
     for bad in ((999, 0, 1000, 1), (0, 999, 1000, 1), (0, -999, 1000, 1), (0, 0, -1, 1), (0, 0, 1000, 0)):
