@@ -304,6 +304,14 @@ def test_parts_of_a_passage_in_an_earlier_document(spark):
         assert (3, 2, 20, 80) in _found(spark, texts)
 
 
+def test_first_half_of_a_passage_in_an_earlier_document(spark):
+    r = random.Random(16)
+    passage = _invented(r, 60)
+    edited = [w if i not in (20, 40) else f"e{i}" for i, w in enumerate(passage)]
+    texts = [_invented(r, 30) + passage[:30] + _invented(r, 30), _invented(r, 50) + passage + _invented(r, 40), _invented(r, 20) + edited + _invented(r, 70)]
+    assert (3, 2, 20, 80) in _found(spark, texts)
+
+
 def test_every_long_repeat_is_found_with_phrases_in_between(spark):
     """Many documents hold parts of each passage before its first copy."""
     r = random.Random(17)
