@@ -7,10 +7,8 @@ the bytes of an Arrow batch, so no Python object is made for a word.
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
-import time
 import uuid
 
 import numpy as np
@@ -26,14 +24,16 @@ SPACE = r"[\x20\x09-\x0D]"
 #: Fixed odd multipliers of the polynomial hashes, and the bytes of text handled at once.
 BASE = 0x9E3779B97F4A7C15 | 1
 WORD_STEP = 0xD1342543DE82EF95
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 #: Bytes of an Arrow batch.
 BATCH_BYTES = 8 << 20
 #: Key ranges of the packed exchange (at least), and bytes of text for each beyond that.
 RANGES = 2048
 RANGE_BYTES = 8 << 20
 FLUSH = 1 << 19
-RELEASE_S = 0.5
+#: Spark drops the shuffle files of a query at its end where this is set.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _M = (1 << 64) - 1
 _SPACES = np.zeros(256, bool)
@@ -43,35 +43,55 @@ _LOWER[65:91] += 32
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share.  Where none is set, a temporary folder will do
+    only if there is but this machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    return at.rstrip("/") if at else os.path.join(tempfile.gettempdir(), "restgrid-stage")
+    if at:
+        return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return os.path.join(tempfile.gettempdir(), "restgrid-stage")
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of bounded bytes: rows hold whole texts, and a worker holds a few batches."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Arrow batches of bounded bytes, as rows hold whole texts and a worker holds a few batches.
+    Plans read this when they run, so it stays set; a limit of the session's own is kept."""
+    if BATCH_LIMIT not in spark.conf.getAll:
+        spark.conf.set(BATCH_LIMIT, str(BATCH_BYTES))
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def discard_at_exit(spark: SparkSession, path: str) -> None:
+    """Results are read from staged tables lazily, so these go when the session's process ends."""
+    files, at = _file_system(spark, path)
+    files.deleteOnExit(at)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, computes once."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage, computes once, and its
+    shuffle files go as soon as it is written."""
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    del df
-    release(spark)
+    discard_at_exit(spark, path)
+    schema, before = df.schema, spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of queries that nothing refers to any more: it
-    learns of them from the driver's garbage collector, which may not run for a long time.  The
-    query's last events, which refer to it, are given a moment to be handled first."""
-    gc.collect()
-    time.sleep(RELEASE_S)
-    spark.sparkContext._jvm.System.gc()
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for path in {file.rsplit("/", 1)[0] for table in tables for file in table.inputFiles()}:
+        files, at = _file_system(tables[0].sparkSession, path)
+        files.delete(at, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,7 +197,7 @@ def shingles(words: np.ndarray, n: int) -> np.ndarray:
 
 
 def chunks(batches, lower: bool = True, text: str = "text"):
-    """(ids, Bytes) over pieces of Arrow batches whose texts hold about CHUNK_BYTES."""
+    """(rows, Bytes) over pieces of Arrow batches whose texts hold about CHUNK_BYTES."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(text))
         size = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)

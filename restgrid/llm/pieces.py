@@ -10,8 +10,11 @@ solved once, all parts of a batch at the same time.
 The vocabulary file's scores are merge ranks, so a piece of rank r scores -log(r + ZIPF), as
 the r-th most frequent piece of a Zipf law would; its path is a parameter.
 
+The trained parts are the file's own: tokenizers are never trained here.
+
 Defined cases: null and empty texts have no tokens and decode to the empty text; literal marker
-characters become byte pieces, so decoding gives back every text as it was.
+characters become byte pieces, so decoding gives back every text as it was; repeated rows are
+encoded one by one; very long texts are solved part by part, a run without white space as one part.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ MARKER = "▁"
 ZIPF = 2.7
 BYTE_PENALTY = 10.0
 UNUSED = -1e8
+#: Bytes of parts solved at once.
+VITERBI_BYTES = 1 << 17
 
 
 class Trie:
@@ -164,6 +169,21 @@ def viterbi(p: Pieces, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, n
     return ids.astype(np.int32), np.searchsorted(who, np.arange(n + 1))
 
 
+def _solved(p: Pieces, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``viterbi`` of the parts data[start:end], about VITERBI_BYTES at a time."""
+    width = end - start
+    group = (np.cumsum(width) - width) // VITERBI_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(width)]
+    ids, count = [], []
+    for a, z in zip(cuts, cuts[1:]):
+        off = np.concatenate([[0], np.cumsum(width[a:z])])
+        within = np.arange(off[-1]) - np.repeat(off[:-1], width[a:z])
+        got, got_off = viterbi(p, data[np.repeat(start[a:z], width[a:z]) + within], off)
+        ids.append(got)
+        count.append(np.diff(got_off))
+    return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(count))])
+
+
 def encode_batch(p: Pieces, b: Bytes) -> tuple[np.ndarray, np.ndarray]:
     """(token ids, offsets) of each text."""
     n, size = len(b.off) - 1, np.diff(b.off)
@@ -182,10 +202,7 @@ def encode_batch(p: Pieces, b: Bytes) -> tuple[np.ndarray, np.ndarray]:
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data))[: len(data)], out=sums[1:])
     h = mix((sums[end] - sums[start]) * powers(inverse(BASE), len(data))[start] + (end - start).astype(np.uint64))
     _, first, which = np.unique(h, return_index=True, return_inverse=True)
-    width = end[first] - start[first]
-    parts_off = np.concatenate([[0], np.cumsum(width)])
-    within = np.arange(parts_off[-1]) - np.repeat(parts_off[:-1], width)
-    ids, ids_off = viterbi(p, data[np.repeat(start[first], width) + within], parts_off)
+    ids, ids_off = _solved(p, data, start[first], end[first])
     count = np.diff(ids_off)[which]
     to = np.concatenate([[0], np.cumsum(count)])
     take = np.repeat(ids_off[:-1][which], count) + np.arange(to[-1]) - np.repeat(to[:-1], count)
@@ -206,20 +223,26 @@ def decode_batch(p: Pieces, ids: np.ndarray, off: np.ndarray) -> tuple[np.ndarra
 
 
 def encode(docs: DataFrame, row: list[str], path: str = VOCABULARY) -> DataFrame:
-    """``row`` columns as c0, c1, ..., ``text``, and ``ids`` (token ids) and ``n_bytes`` (byte pieces)."""
+    """``row`` columns as c0, c1, ..., then ``ids`` (token ids), ``n_bytes`` (byte pieces) and
+    ``round_trip`` (the ids decode to the text).  A text crosses to Python once."""
 
     p = pieces(path)  # a vocabulary's trie and scores: about 2 MB, sent with the function
+    names = [f"c{i}" for i in range(len(row))]
+    text = names[row.index("text")] if "text" in row else "text"
+    kept = names + [text] * (text == "text")
 
     def run(batches):
-        for part, b in chunks(batches, lower=False):
+        for part, b in chunks(batches, lower=False, text=text):
             ids, off = encode_batch(p, b)
             low = np.concatenate([[0], np.cumsum((ids >= p.byte0) & (ids < p.byte0 + 256))])
+            data, cut = decode_batch(p, ids, off)
+            same = [np.array_equal(data[cut[i] : cut[i + 1]], b.data[b.off[i] : b.off[i + 1]]) for i in range(part.num_rows)]
             lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(low[off[1:]] - low[off[:-1]])], names=[*part.schema.names, "ids", "n_bytes"])
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(row)], lists, pa.array(low[off[1:]] - low[off[:-1]]), pa.array(same)], names=[*names, "ids", "n_bytes", "round_trip"])
 
-    df = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(row)], "text")
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, f"{kinds}, ids array<int>, n_bytes bigint")
+    df = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(row, names)], *[F.col(c) for c in kept[len(row) :]])
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields[: len(row)]]
+    return df.mapInArrow(run, ", ".join([*kinds, "ids array<int>, n_bytes bigint, round_trip boolean"]))
 
 
 def decode(tokens: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -245,13 +268,14 @@ def decode(tokens: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, n_byte_tokens, ids_hash, round_trip (the decoded text is the text)."""
-    got = decode(encode(documents(spark, sf_dir), ["doc_id"]))
-    same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return got.select(F.col("c0").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.col("n_bytes").alias("n_byte_tokens"), F.xxhash64("ids").alias("ids_hash"), same.alias("round_trip"))
+    got = encode(documents(spark, sf_dir), ["doc_id"])
+    return got.select(F.col("c0").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.col("n_bytes").alias("n_byte_tokens"), F.xxhash64("ids").alias("ids_hash"), "round_trip")
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents' columns with token_ids, n_tokens and round_trip."""
-    got = decode(encode(docs, docs.columns))
-    same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return got.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)], F.col("ids").alias("token_ids"), F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
+    """Pipeline stage: the documents' columns with token_ids, n_tokens and round_trip, which take
+    the place of columns of these names (in any case of letters)."""
+    made = ("token_ids", "n_tokens", "round_trip")
+    row = [c for c in docs.columns if c.lower() not in made]
+    got = encode(docs, row)
+    return got.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(row)], F.col("ids").alias("token_ids"), F.size("ids").cast("long").alias("n_tokens"), "round_trip")
