@@ -1,6 +1,7 @@
 """DuckDB SQL of the operators that SQL can express."""
 
 from .quality import BASE_REPEAT_PERCENT, BASE_WORDS, CLASSES, COMMON_WORDS, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, MIN_CHARS, MIN_WORDS, WINDOW
+from .scoring import CALM, MOST_WEIGHT
 
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 _LOWER = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
@@ -43,6 +44,27 @@ r as (select *, row_number() over (partition by query_id order by score desc, do
 select query_id, doc_id, score, place from r where place <= 10
 """
 
+# CRC-32 of a short ASCII text, bit by bit, by its reflected polynomial
+_CRC = (
+    "xor(4294967295::ubigint, list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split(cast(doc_id as varchar), ''), lambda c: ascii(c)::ubigint)),"
+    " lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda k: k::ubigint)), lambda x, k: case when x & 1 = 1 then xor(x >> 1, 3988292384::ubigint) else x >> 1 end)))"
+)
+
+LM = f"""
+with d as (select doc_id, coalesce({_CRC} % 7 = 2, false) as held_out, list_append({_LOWER}, ' ') as w from documents),
+t as (select doc_id, held_out, i, w[i] as w, case when i > 1 then w[i - 1] else ' ' end as h, case when i > 2 then w[i - 2] else ' ' end as g from (select *, unnest(range(1, len(w) + 1)) as i from d)),
+one as (select w, count(*) as c from t where not held_out group by w),
+two as (select h, w, count(*) as c from t where not held_out group by h, w),
+three as (select g, h, w, count(*) as c from t where not held_out and i > 1 group by g, h, w),
+u as (select sum(c)::double as n, count(*)::double as v, count(*) filter (c = 1)::double as n1, count(*) filter (c = 2)::double as n2 from one),
+k as (select n, v, least(greatest(n1 / (n1 + 2 * n2), 0.1e0), 0.9e0) as d, {MOST_WEIGHT!r}::double * (1 - (select count(*) filter (c = 1)::double / sum(c) from two)) as most from u),
+j as (select t.doc_id, t.held_out, coalesce(one.c, 0) as c, coalesce(two.c, 0) as c2, coalesce(three.c, 0) as c3, coalesce(x.c, 0) as ch, case when i > 1 then coalesce(y.c, 0) else 0 end as cgh
+ from t left join one on one.w = t.w left join two on two.h = t.h and two.w = t.w left join three on i > 1 and three.g = t.g and three.h = t.h and three.w = t.w left join one x on x.w = t.h left join two y on y.h = t.g and y.w = t.h),
+l as (select j.*, n, v, (case when c > 0 then c - d else d * v end) / n as p1, case when ch > 1 then most * (ch - 1) / (ch - 1 + {CALM!r}::double) else 0 end as l2, case when cgh > 1 then {MOST_WEIGHT!r}::double * (cgh - 1) / (cgh - 1 + {CALM!r}::double) else 0 end as l3 from j cross join k),
+p as (select *, l2 * c2 / greatest(ch, 1) + (1 - l2) * p1 as p2 from l)
+select doc_id, held_out, count(*) as n_tokens, count(*) filter (c > 0) as n_known, cast(max(n) as bigint) as train_tokens, round(sum(log10((c + 1) / (n + v + 1))), 6) as base_score, round(sum(log10(l3 * c3 / greatest(cgh, 1) + (1 - l3) * p2)), 6) as score from p group by doc_id, held_out
+"""
+
 _CLASSES = [k.replace("'", "''") for k in CLASSES.values()]
 _FREQUENT = "case lang " + " ".join(f"when '{k}' then {v!r}" for k, v in COMMON_WORDS.items()) + " else [] end"
 _OUT = lambda kind: f"cast(length(t) - length(regexp_replace(t, '[{kind}]+', '', 'g')) as double)"

@@ -222,14 +222,15 @@ def decode_batch(p: Pieces, ids: np.ndarray, off: np.ndarray) -> tuple[np.ndarra
     return data[keep], kept[cut]
 
 
-def encode(docs: DataFrame, row: list[str], path: str = VOCABULARY) -> DataFrame:
-    """``row`` columns as c0, c1, ..., then ``ids`` (token ids), ``n_bytes`` (byte pieces) and
-    ``round_trip`` (the ids decode to the text).  A text crosses to Python once."""
+def encode(docs: DataFrame, row: list[str], path: str = VOCABULARY, with_text: bool = True) -> DataFrame:
+    """``row`` columns as c0, c1, ..., ``text`` if wanted, then ``ids`` (token ids), ``n_bytes`` (byte
+    pieces) and ``round_trip`` (the ids decode to the text)."""
 
     p = pieces(path)  # a vocabulary's trie and scores: about 2 MB, sent with the function
     names = [f"c{i}" for i in range(len(row))]
-    text = names[row.index("text")] if "text" in row else "text"
-    kept = names + [text] * (text == "text")
+    own = "text" in row and not with_text  # the text crosses to Python once
+    text = names[row.index("text")] if own else "text"
+    kept = names + ["text"] * with_text
 
     def run(batches):
         for part, b in chunks(batches, lower=False, text=text):
@@ -238,10 +239,10 @@ def encode(docs: DataFrame, row: list[str], path: str = VOCABULARY) -> DataFrame
             data, cut = decode_batch(p, ids, off)
             same = [np.array_equal(data[cut[i] : cut[i + 1]], b.data[b.off[i] : b.off[i + 1]]) for i in range(part.num_rows)]
             lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([*part.columns[: len(row)], lists, pa.array(low[off[1:]] - low[off[:-1]]), pa.array(same)], names=[*names, "ids", "n_bytes", "round_trip"])
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], lists, pa.array(low[off[1:]] - low[off[:-1]]), pa.array(same)], names=[*kept, "ids", "n_bytes", "round_trip"])
 
-    df = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(row, names)], *[F.col(c) for c in kept[len(row) :]])
-    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields[: len(row)]]
+    df = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(row, names)], *[F.col("text")] * (not own))
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields[: len(kept)]]
     return df.mapInArrow(run, ", ".join([*kinds, "ids array<int>, n_bytes bigint, round_trip boolean"]))
 
 
@@ -268,7 +269,7 @@ def decode(tokens: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, n_byte_tokens, ids_hash, round_trip (the decoded text is the text)."""
-    got = encode(documents(spark, sf_dir), ["doc_id"])
+    got = encode(documents(spark, sf_dir), ["doc_id"], with_text=False)
     return got.select(F.col("c0").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.col("n_bytes").alias("n_byte_tokens"), F.xxhash64("ids").alias("ids_hash"), "round_trip")
 
 
@@ -277,5 +278,5 @@ def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     the place of columns of these names (in any case of letters)."""
     made = ("token_ids", "n_tokens", "round_trip")
     row = [c for c in docs.columns if c.lower() not in made]
-    got = encode(docs, row)
+    got = encode(docs, row, with_text=False)
     return got.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(row)], F.col("ids").alias("token_ids"), F.size("ids").cast("long").alias("n_tokens"), "round_trip")

@@ -26,6 +26,7 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op3_lm_scoring": oracle.LM,
     "op4_ngram_jaccard_join": oracle.JACCARD,
     "op6_warc_from_arc": OP6_SQL,
     "op7_suffix_array_dedup": oracle.SUFFIX,

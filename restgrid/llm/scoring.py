@@ -1,20 +1,30 @@
-"""LM scoring: a weighted backoff automaton of smoothed n-grams.
-
-States are the empty context and the words seen in training.  A state's arcs are its seen
-bigrams, with weight log10(l * c(hw)/c(h) + (1 - l) * p(w)); its failure arc leads to the empty
-state with weight log10(1 - l); the empty state's arcs are all known words with
-p(w) = (c(w) - D)/N and one arc for everything unknown with D * V/N.  The interpolation weight
-l = L * c(h)/(c(h) + CALM) grows with the context's count up to L, the share of training bigrams
-that are not unique; D = n1/(n1 + 2 n2).  All weights of a state sum to one.  A text is scored in
-one traversal from the end state: each token follows its arc or fails once, and the token's own
-state (or the empty one, where it is unknown) is carried on.
-
-Counts cover all training documents, without caps.  Documents are dealt into blocks by hash;
-each block sends its distinct n-grams once, packed by hash range with its training counts, and
-gets the totals back in the same order, so a key costs a few bytes however often it occurs.
-
-Defined cases: null and empty texts are one end token; a null doc_id counts as training; with no
-training tokens at all every score is 0; rows that repeat are scored and counted one by one.
+"""LM scoring: a weighted backoff automaton of smoothed n-grams up to three words.
+
+States are contexts: the empty one, the words, and the word pairs that training has twice or more.
+A state's arcs are its seen n-grams; an arc holds log10 of the smoothed probability and leads to the
+longest context that is a state.  Where a state has no arc for a word, its failure arc leads to the
+context without its first word at the cost of the backoff weight; the empty state has an arc for
+every word, unknown ones among them.
+
+    p(w) = (c(w) - D) / N, unknown words together D * V / N;  D = n1 / (n1 + 2 n2)
+    p(w | h) = l(h) * c(hw) / c(h) + (1 - l(h)) * p(w | h without its first word)
+    l(h) = L * (c(h) - 1) / (c(h) - 1 + CALM), 1 - l(h): the weight of the failure arc
+
+A context seen once tells of no text but its own, so l is 0 there and it is no state.  L of pairs is
+MOST_WEIGHT times the share of training pairs that are not unique; L of triples is MOST_WEIGHT.
+
+A text starts in the state of the end token.  It is read once from left to right, carrying the state
+and adding weights.  As a state is settled by its last two words, long texts are cut into SEGMENT
+tokens that start two tokens early, and all segments of a block step together.
+
+Counts cover all training documents, without caps.  A task packs its documents into blocks of about
+``BLOCK_BYTES``, staged once.  Each block sends its distinct n-grams with their training counts by
+hash range, and gets the totals back in the same order; the automaton of a block is the part of the
+corpus' automaton that its texts can reach.
+
+Defined cases: null and empty texts are one end token; a null doc_id counts as training, and such
+rows stand in the blocks of their tasks; with no training tokens at all every score is 0; rows that
+repeat are scored and counted one by one; a very long text is a block of its own size.
 """
 
 from __future__ import annotations
@@ -22,70 +32,113 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import by_range, chunks, documents, mix, pack, range_of, stage, text_bytes, unpack, word_hashes
 from .toxicity import held_out
 
-BLOCKS = 256
+ORDER = 3
 BLOCK_BYTES = 4 << 20
 RANGES = 128
+SEGMENT = 126
 CALM = 5.0
 MOST_WEIGHT = 0.8
+LEAST_CONTEXT = 2
 KEY_BYTES = 6  # of 8; the range number adds its own bits
 END = np.uint64(0x5EED0E11D)
 _STEP = np.uint64(0xD1342543DE82EF95)
 
-REQUEST = "r int, size int, block int, n int, keys binary, counts binary"
-TOTALS = "block int, size int, r int, n int, totals binary, known bigint, once bigint, twice bigint, tokens bigint"
+BLOCK = "block bigint, docs int, tokens int, kinds int, ids binary, known binary, held binary, n binary, words binary, at binary"
+REQUEST = "r int, size int, block bigint, n int, keys binary, counts binary"
+TOTALS = "block bigint, size int, r int, n int, totals binary, known bigint, once bigint, twice bigint, tokens bigint"
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+_ARROW = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
 
 
-def _grams(table: pa.Table):
-    """(words, their contexts, text number of each token, number of tokens of each text)."""
-    tokens, counts = [], []
-    for batch in table.select(["text"]).to_batches():
-        for part, b in chunks([batch]):
-            words, first = word_hashes(b)
-            n = np.diff(first)
-            tokens.append(np.insert(words, first[1:], END))
-            counts.append(n + 1)
-    if not tokens:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    word, n = np.concatenate(tokens), np.concatenate(counts)
-    before = np.empty_like(word)
-    before[1:], before[:1] = word[:-1], END  # a text's first token follows an end
-    return word, before, np.repeat(np.arange(len(n)), n), n
-
+def _schema(text: str) -> pa.Schema:
+    return pa.schema([(c.split()[0], _ARROW[c.split()[1]]) for c in text.split(", ")])
 
-def _keys(word, before):
-    """Unigram and bigram keys."""
-    return mix(word), mix(mix(before) * _STEP + word)
 
+# --- blocks --------------------------------------------------------------------------------
 
-def blocks(docs: DataFrame, n: int) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(7, 2).alias("held_out"), F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block"))
 
+def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """BLOCK rows: a block's documents and its tokens as numbers of its distinct words."""
 
-def requests(blocked: DataFrame, ranges: int) -> DataFrame:
-    """Each block's distinct n-grams of both sizes with their training counts."""
+    def build(batches):
+        task, made, held, size = TaskContext.get().partitionId(), 0, [], 0
 
-    def ask(table: pa.Table) -> pa.Table:
-        block = table["block"][0].as_py()
-        word, before, text, _ = _grams(table)
-        learn = (~np.asarray(table["held_out"].to_numpy(zero_copy_only=False), bool))[text]
-        out = []
-        for size, key in zip((1, 2), _keys(word, before)):
-            kinds, which = np.unique(key, return_inverse=True)
-            count = np.bincount(which, learn, len(kinds)).astype(np.int32)
-            r = range_of(kinds, ranges)
-            for i, at in by_range(r, np.arange(len(r))):
-                out.append((i, size, block, len(at), pack(kinds[at], KEY_BYTES), pack(count[at])))
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["r", "size", "block", "n", "keys", "counts"])
+        def row():
+            ids, known, held_, n, token = map(np.concatenate, zip(*held))
+            words, at = np.unique(token, return_inverse=True)
+            got = (task << 20 | made, len(ids), len(token), len(words), pack(ids), known.tobytes(), held_.tobytes(), pack(n.astype(np.int32)), pack(words), pack(at.astype(np.int32)))
+            return pa.RecordBatch.from_arrays([pa.array([v], k.type) for v, k in zip(got, _schema(BLOCK))], schema=_schema(BLOCK))
 
-    return blocked.groupBy("block").applyInArrow(ask, REQUEST)
+        for part, b in chunks(batches):
+            words, first = word_hashes(b)
+            ids = part.column(0)
+            held.append((ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), part.column(2).to_numpy(zero_copy_only=False), np.diff(first) + 1, np.insert(words, first[1:], END)))
+            size += len(b.data)
+            if size >= block_bytes:
+                yield row()
+                made, held, size = made + 1, [], 0
+        if held:
+            yield row()
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(7, 2).alias("held_out"))
+    return stage(rows.mapInArrow(build, BLOCK), "lm-blocks")
+
+
+class Tokens:
+    """The tokens of one block, and the keys of the n-grams that end in each."""
+
+    def __init__(self, row: dict):
+        self.ids, self.known = unpack(row["ids"], row["docs"], np.int64), np.frombuffer(row["known"], bool)
+        self.held, self.n = np.frombuffer(row["held"], bool), unpack(row["n"], row["docs"], np.int32).astype(np.int64)
+        self.words, self.at = unpack(row["words"], row["kinds"], np.uint64), unpack(row["at"], row["tokens"], np.int32).astype(np.int64)
+        self.text = np.repeat(np.arange(len(self.n)), self.n)
+        self.nth = np.arange(len(self.at)) - np.repeat(np.cumsum(self.n) - self.n, self.n)
+        self.end = int(np.searchsorted(self.words, END))
+        self.before = np.append(self.end, self.at[:-1])  # a text's first token follows an end
+
+    def grams(self):
+        """(distinct keys, place of one that has it, number of each token's or -1) for 1, 2, 3 words."""
+        key = mix(self.words)
+        yield key, None, self.at
+        own = mix(key[self.before] * _STEP + key[self.at])
+        kinds, first, which = np.unique(own, return_index=True, return_inverse=True)
+        yield kinds, first, which
+        inner = np.flatnonzero(self.nth > 0)
+        own = mix(own[inner - 1] * _STEP + key[self.at[inner]] + np.uint64(ORDER))
+        kinds, first, got = np.unique(own, return_index=True, return_inverse=True)
+        which = np.full(len(self.at), -1)
+        which[inner] = got
+        yield kinds, inner[first], which
+
+
+# --- counts --------------------------------------------------------------------------------
+
+
+def requests(packed: DataFrame, ranges: int) -> DataFrame:
+    """Each block's distinct n-grams of each size with their training counts."""
+
+    def ask(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                t = Tokens(row)
+                learn = ~t.held[t.text]
+                for size, (kinds, _, which) in enumerate(t.grams(), 1):
+                    have = which >= 0
+                    count = np.bincount(which[have], learn[have], len(kinds)).astype(np.int32)
+                    r = range_of(kinds, ranges)
+                    order = np.argsort(r, kind="stable")
+                    out = [(i, size, row["block"], len(at), pack(kinds[at], KEY_BYTES), pack(count[at])) for i, at in by_range(r, order)]
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*out), _schema(REQUEST))], schema=_schema(REQUEST))
+
+    return packed.mapInArrow(ask, REQUEST)
 
 
 def totals(asked: DataFrame) -> DataFrame:
@@ -98,76 +151,157 @@ def totals(asked: DataFrame) -> DataFrame:
         count = np.concatenate([unpack(k, m, np.int32) for k, m in zip(table["counts"].to_pylist(), n)])
         kinds, which = np.unique(keys, return_inverse=True)
         total = np.bincount(which, count, len(kinds)).astype(np.int64)
-        back = total[which].astype(np.int64)
+        back = total[which]
         ends = np.cumsum(n)
         rows = [(b, size, r, m, pack(back[z - m : z]), None, None, None, None) for b, m, z in zip(block, n, ends.tolist())]
         rows.append((None, size, r, 0, None, int((total > 0).sum()), int((total == 1).sum()), int((total == 2).sum()), int(total.sum())))
-        kinds = (*(pa.int32(),) * 4, pa.binary(), *(pa.int64(),) * 4)
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in TOTALS.split(", ")])
+        return pa.table([pa.array(c, k.type) for c, k in zip(zip(*rows), _schema(TOTALS))], schema=_schema(TOTALS))
 
     return asked.groupBy("r", "size").applyInArrow(add, TOTALS)
 
 
-class Automaton:
+# --- the automaton -------------------------------------------------------------------------
+
+
+class Smoothing:
     """The corpus-wide constants of the weights."""
 
-    def __init__(self, stats: list):
+    def __init__(self, stats: list, ranges: int = RANGES):
+        self.ranges = ranges
         by = {s.size: s for s in stats}
         uni, bi = by.get(1), by.get(2)
         self.tokens, self.known = (uni.tokens, uni.known) if uni else (0, 0)
         once, twice = (uni.once, uni.twice) if uni else (0, 0)
         self.discount = min(max(once / (once + 2 * twice), 0.1), 0.9) if once + twice else 0.5
-        self.weight = MOST_WEIGHT * (1 - bi.once / bi.tokens) if bi and bi.tokens else 0.0
+        self.weight = {2: MOST_WEIGHT * (1 - bi.once / bi.tokens) if bi and bi.tokens else 0.0, 3: MOST_WEIGHT}
 
     def base(self, count):
         return np.log10((count + 1) / (self.tokens + self.known + 1))
 
-    def traverse(self, word_count, before_count, pair_count):
-        """log10 weight of each token's path: its state's arc, or failure and the empty state."""
-        p = np.where(word_count > 0, word_count - self.discount, self.discount * self.known) / self.tokens
-        # a state is entered by its known word; an unknown one leaves the automaton at the empty state
-        hold = np.where(before_count > 0, self.weight * before_count / (before_count + CALM), 0.0)
-        seen = hold * pair_count / np.maximum(before_count, 1) + (1 - hold) * p
-        fail = np.log10(1 - hold) + np.log10(p)
-        return np.where(pair_count > 0, np.log10(np.where(pair_count > 0, seen, 1.0)), fail)
-
-
-def scores(blocked: DataFrame, answered: DataFrame, automaton: Automaton) -> DataFrame:
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        word, before, text, n = _grams(docs)
-        counts = {}
-        for size, key in zip((1, 2), _keys(word, before)):
-            own = answers.filter(pc.equal(answers["size"], size)).sort_by("r")
-            total = np.concatenate([unpack(k, m, np.int64) for k, m in zip(own["totals"].to_pylist(), own["n"].to_pylist())])
-            counts[size] = total[np.unique(key, return_inverse=True)[1]]
-            if size == 1:
-                # the state before a token is the one that the token before it entered
-                start = np.cumsum(n) - n
-                prior = np.empty_like(counts[1])
-                prior[1:] = counts[1][:-1]
-                ends = counts[1][np.cumsum(n) - 1]
-                prior[start] = ends  # every text ends in the same token
-        c = counts[1]
-        if automaton.tokens:
-            base = np.bincount(text, automaton.base(c), len(n))
-            score = np.bincount(text, automaton.traverse(c, prior, counts[2]), len(n))
-        else:
-            base = score = np.zeros(len(n))
-        cols = [docs["doc_id"].combine_chunks(), docs["held_out"].combine_chunks(), pa.array(n, pa.int64()), pa.array(np.bincount(text, c > 0, len(n)).astype(np.int64)), pa.array(base), pa.array(score)]
-        return pa.table(cols, names=[x.split()[0] for x in SCORES.split(", ")])
-
-    return blocked.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(run, SCORES)
-
-
-def score(docs: DataFrame) -> tuple[DataFrame, Automaton]:
-    size = text_bytes(docs)
-    blocked = blocks(docs, max(BLOCKS, size // BLOCK_BYTES))
-    answered = stage(totals(requests(blocked, max(RANGES, size // BLOCK_BYTES))), "lm-totals")
+    def word(self, count):
+        return np.where(count > 0, count - self.discount, self.discount * self.known) / self.tokens
+
+    def held(self, context, size: int):
+        """l of contexts with these counts, for n-grams of ``size`` words."""
+        more = np.maximum(context - 1.0, 0.0)
+        return self.weight[size] * more / (more + CALM)
+
+
+class Automaton:
+    """States 0 (empty), 1 + word, 1 + words + pair, of those contexts that are states."""
+
+    def __init__(self, t: Tokens, grams: list, counts: list, s: Smoothing):
+        one, two, three = counts
+        words = len(t.words)
+        # the state of each word and pair, or of its longest end that is one
+        self.of_word = np.where(one >= LEAST_CONTEXT, 1 + np.arange(words), 0)
+        at2 = grams[1][1]
+        a, b = t.before[at2], t.at[at2]
+        own = (two >= LEAST_CONTEXT) & (b != t.end)
+        of_pair = np.where(own, 1 + words + np.arange(len(two)), self.of_word[b])
+        # arcs of the empty state are all words
+        p1 = s.word(one)
+        self.weight0 = np.log10(p1)
+        # failure arcs
+        self.fail = np.zeros(1 + words + len(two), np.int64)
+        self.fail[1 + words :] = self.of_word[b]
+        self.backoff = np.concatenate([[0.0], np.log10(1 - s.held(one, 2)), np.log10(1 - s.held(two, 3))])
+        # arcs of words: the pairs that start with them
+        l2 = s.held(one[a], 2)
+        p2 = l2 * two / np.maximum(one[a], 1) + (1 - l2) * p1[b]
+        seen2 = (two > 0) & (one[a] >= LEAST_CONTEXT)
+        # arcs of pairs: the triples that start with them
+        at3 = grams[2][1]
+        pair, last = grams[1][2][at3 - 1], grams[1][2][at3]
+        l3 = s.held(two[pair], 3)
+        p3 = l3 * three / np.maximum(two[pair], 1) + (1 - l3) * p2[last]
+        seen3 = (three > 0) & own[pair]
+        self.words = words
+        key = np.concatenate([(1 + a[seen2]) * words + b[seen2], (1 + words + pair[seen3]) * words + t.at[at3][seen3]])
+        order = np.argsort(key)
+        self.key = np.append(key[order], np.iinfo(np.int64).max)
+        self.weight = np.append(np.log10(np.concatenate([p2[seen2], p3[seen3]]))[order], 0.0)
+        self.next = np.append(np.concatenate([of_pair[seen2], of_pair[last[seen3]]])[order], 0)
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next states, log10 weights) of taking one word each: its arc, or failure arcs up to one."""
+        state, weight, to = state.copy(), np.zeros(len(word)), np.zeros(len(word), np.int64)
+        todo = np.arange(len(word))
+        while len(todo):
+            s, w = state[todo], word[todo]
+            empty = s == 0
+            k = todo[empty]
+            weight[k] += self.weight0[word[k]]
+            to[k] = self.of_word[word[k]]
+            todo, s, w = todo[~empty], s[~empty], w[~empty]
+            want = s * self.words + w
+            at = np.searchsorted(self.key, want)
+            hit = self.key[at] == want
+            k = todo[hit]
+            weight[k] += self.weight[at[hit]]
+            to[k] = self.next[at[hit]]
+            todo, s = todo[~hit], s[~hit]
+            weight[todo] += self.backoff[s]
+            state[todo] = self.fail[s]
+        return to, weight
+
+    def traverse(self, t: Tokens, segment: int = SEGMENT) -> np.ndarray:
+        """The sum of weights of each text, in one pass from left to right."""
+        begin = np.cumsum(t.n) - t.n
+        parts = -(-t.n // segment)
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        text = np.repeat(np.arange(len(t.n)), parts)
+        early = np.where(nth > 0, np.minimum(2, segment), 0)
+        first = begin[text] + nth * segment - early
+        stop = np.minimum(begin[text] + (nth + 1) * segment, begin[text] + t.n[text])
+        order = np.argsort(first - stop, kind="stable")  # longest first, so that the live ones lead
+        first, stop, text, early = first[order], stop[order], text[order], early[order]
+        size = stop - first
+        state, total = np.where(early > 0, 0, self.of_word[t.end]), np.zeros(len(first))
+        for j in range(int(size.max(initial=0))):
+            live = int(np.searchsorted(-size, -j))
+            state[:live], weight = self.step(state[:live], t.at[first[:live] + j])
+            total[:live] += np.where(j >= early[:live], weight, 0.0)
+        return np.bincount(text, total, len(t.n))
+
+
+def scores(packed: DataFrame, answered: DataFrame, smoothing: Smoothing) -> DataFrame:
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        out = []
+        for row in rows.to_pylist():
+            t = Tokens(row)
+            grams, counts = list(t.grams()), []
+            for size, (kinds, _, _) in enumerate(grams, 1):
+                own = answers.filter(pc.equal(answers["size"], size)).sort_by("r")
+                # answers stand by range and within it in order of the keys, as ranges do
+                got = [unpack(k, m, np.int64) for k, m in zip(own["totals"].to_pylist(), own["n"].to_pylist())]
+                order = np.argsort(range_of(kinds, smoothing.ranges), kind="stable")
+                total = np.zeros(len(kinds), np.int64)
+                total[order] = np.concatenate(got) if got else total
+                counts.append(total)
+            c = counts[0][t.at]
+            base, score = np.zeros(len(t.n)), np.zeros(len(t.n))
+            if smoothing.tokens:
+                base = np.bincount(t.text, smoothing.base(c), len(t.n))
+                score = Automaton(t, grams, counts, smoothing).traverse(t)
+            cols = [pa.array(t.ids, mask=~t.known), pa.array(t.held), pa.array(t.n), pa.array(np.bincount(t.text, c > 0, len(t.n)).astype(np.int64)), pa.array(base), pa.array(score)]
+            out.append(pa.table(cols, schema=_schema(SCORES)))
+        return pa.concat_tables(out) if out else _schema(SCORES).empty_table()
+
+    return packed.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(run, SCORES)
+
+
+def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, Smoothing]:
+    """(SCORES rows of all documents, the model's constants)."""
+    ranges = int(max(RANGES, text_bytes(docs) // BLOCK_BYTES))
+    packed = blocks(docs, block_bytes)
+    answered = stage(totals(requests(packed, ranges)), "lm-totals")
     stats = answered.where("block is null").groupBy("size").agg(*[F.sum(c).alias(c) for c in ("known", "once", "twice", "tokens")]).collect()
-    automaton = Automaton(stats)
-    return scores(blocked, answered.where("block is not null").select("block", "size", "r", "n", "totals"), automaton), automaton
+    smoothing = Smoothing(stats, ranges)
+    return scores(packed, answered.where("block is not null").select("block", "size", "r", "n", "totals"), smoothing), smoothing
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got, automaton = score(documents(spark, sf_dir))
-    return got.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(automaton.tokens)).cast("long").alias("train_tokens"), "base_score", "score")
+    got, smoothing = score(documents(spark, sf_dir))
+    rounded = [F.round(c, 6).alias(c) for c in ("base_score", "score")]
+    return got.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(smoothing.tokens)).cast("long").alias("train_tokens"), *rounded)

@@ -79,23 +79,31 @@ def quality(text):
 def lm(docs):
     """{id: (tokens, known, train tokens, base, score)} by the documented formulas."""
     tokens = {i: words(t) + [None] for i, t in docs}
-    c, b = collections.Counter(), collections.Counter()
+    c, b, t3 = (collections.Counter() for _ in range(3))
     for i, t in tokens.items():
         if zlib.crc32(str(i).encode()) % 7 != 2:
             c.update(t)
             b.update(zip([None, *t[:-1]], t))
+            t3.update(zip([None, *t[:-2]], t, t[1:]))
     n, v = sum(c.values()), len(c)
     n1, n2 = (sum(x == k for x in c.values()) for k in (1, 2))
     d = min(max(n1 / (n1 + 2 * n2), 0.1), 0.9) if n1 + n2 else 0.5
     most = 0.8 * (1 - sum(x == 1 for x in b.values()) / sum(b.values()))
+    weight = lambda top, count: top * (count - 1) / (count + 4) if count > 1 else 0.0
     out = {}
     for i, t in tokens.items():
         base = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t)
         score = 0.0
-        for h, w in zip([None, *t[:-1]], t):
+        for k, w in enumerate(t):
+            h = t[k - 1] if k else None
             p = (c[w] - d if c[w] else d * v) / n
-            weight = most * c[h] / (c[h] + 5) if c[h] else 0
-            score += math.log10((weight * b[(h, w)] / c[h] if c[h] else 0) + (1 - weight) * p)
+            x = weight(most, c[h])
+            p = (x * b[(h, w)] / c[h] if x else 0) + (1 - x) * p
+            if k:
+                pair = (t[k - 2] if k > 1 else None, h)
+                x = weight(0.8, b[pair])
+                p = (x * t3[(*pair, w)] / b[pair] if x else 0) + (1 - x) * p
+            score += math.log10(p)
         out[i] = (len(t), sum(c[w] > 0 for w in t), n, base, score)
     return out
 

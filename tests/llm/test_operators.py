@@ -152,17 +152,70 @@ def test_pieces_on_tables(docs, empty):
 # --- 3 ---
 
 
-def test_lm_scores(docs, empty):
-    got, automaton = scoring.score(docs)
+@pytest.mark.parametrize("block", [1 << 22, 3_000])
+def test_lm_scores(docs, empty, block):
+    got, model = scoring.score(docs, block)
     want = plain.lm(DOCS)
     for r in got.collect():
         tokens, known, train, base, score = want[r.doc_id]
-        assert (r.n_tokens, r.n_known, automaton.tokens) == (tokens, known, train)
+        assert (r.n_tokens, r.n_known, model.tokens) == (tokens, known, train)
         assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, score, rel_tol=1e-9)
     assert got.count() == len(ROWS)
     assert scoring.score(empty)[0].count() == 0
 
 
+def _automaton(texts):
+    """The automaton of these texts, all of them learned from."""
+    words = sorted({w for t in texts for w in t})
+    hashes = np.array([hash((w, 7)) & (2**63 - 1) for w in words] + [int(scoring.END)], np.uint64)
+    order = np.argsort(hashes)
+    number = {w: int(np.flatnonzero(order == i)[0]) for i, w in enumerate([*words, None])}
+    at = [number[w] for t in texts for w in [*t, None]]
+    row = {"docs": len(texts), "tokens": len(at), "kinds": len(hashes), "ids": common.pack(np.arange(len(texts))), "known": np.ones(len(texts), bool).tobytes(), "held": np.zeros(len(texts), bool).tobytes()}
+    row |= {"n": common.pack(np.array([len(t) + 1 for t in texts], np.int32)), "words": common.pack(hashes[order]), "at": common.pack(np.array(at, np.int32))}
+    t = scoring.Tokens(row)
+    grams = list(t.grams())
+    counts = [np.bincount(w[w >= 0], minlength=len(k)) for k, _, w in grams]
+    stats = [type("Row", (), {"size": i + 1, "tokens": int(c.sum()), "known": int((c > 0).sum()), "once": int((c == 1).sum()), "twice": int((c == 2).sum())}) for i, c in enumerate(counts)]
+    smoothing = scoring.Smoothing(stats)
+    return scoring.Automaton(t, grams, counts, smoothing), t, number
+
+
+def test_automaton_weights_sum_to_one_in_every_state():
+    r = random.Random(21)
+    machine, t, number = _automaton([[r.choice("abcdef") for _ in range(r.randint(1, 30))] for _ in range(40)])
+    used = {0, *machine.of_word.tolist(), *machine.next.tolist()}
+    assert max(used) > 1 + len(t.words)
+    for state in used:
+        words = np.arange(len(t.words))
+        _, weight = machine.step(np.full(len(words), state), words)
+        # every word of the texts is known, and what unknown ones would have is left over
+        assert 0.8 < (10**weight).sum() <= 1 + 1e-9
+
+
+def test_automaton_fails_over_and_carries_its_state():
+    texts = [list("abcabcabd"), list("bca")]
+    machine, t, number = _automaton(texts)
+    take = lambda state, w: machine.step(np.array([state]), np.array([number[w]]))[0][0]
+    state = machine.of_word[number[None]]
+    for w in "ab":
+        state = take(state, w)
+    # the pair is a state, and fails over to its last word
+    assert state > len(t.words) and machine.fail[state] == machine.of_word[number["b"]] > 0
+    # d stands once: there is an arc to it, but it is no state
+    assert take(state, "d") == 0 == machine.of_word[number["d"]]
+    # no arc for a after b: the failure arcs lead to the empty state, whose arc leads to the word
+    assert take(state, "a") == machine.of_word[number["a"]]
+
+
+def test_segments_do_not_change_scores():
+    r = random.Random(22)
+    machine, t, _ = _automaton([[r.choice("abcdefgh") for _ in range(r.randint(0, 200))] for _ in range(30)])
+    whole = machine.traverse(t, 10_000)
+    for segment in (2, 3, 7, 50):
+        assert np.allclose(machine.traverse(t, segment), whole)
+
+
 # --- 4 ---
 
 
