@@ -228,6 +228,16 @@ def unpack(raw: bytes, n: int, dtype, width: int | None = None) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
 
 
+def squeeze(x: np.ndarray) -> bytes:
+    """``pack``, compressed: for counts, of which most are alike."""
+    return pa.compress(pack(x), codec="zstd", asbytes=True)
+
+
+def unsqueeze(raw: bytes, n: int, dtype) -> np.ndarray:
+    size = n * np.dtype(dtype).itemsize
+    return unpack(pa.decompress(raw, size, codec="zstd", asbytes=True) if size else b"", n, dtype)
+
+
 #: kind 0: keys to compare; 1: occurrences already known to be shared.  flag: the key is known
 #: to be shared within its task.
 PACKED = T.StructType(

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_range, chunks, documents, mix, pack, range_of, stage, text_bytes, unpack, word_hashes
+from .common import by_range, chunks, documents, mix, pack, range_of, squeeze, stage, text_bytes, unpack, unsqueeze, word_hashes
 from .toxicity import held_out
 
 ORDER = 3
@@ -72,8 +72,11 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
         def row():
             ids, known, held_, n, token = map(np.concatenate, zip(*held))
-            words, at = np.unique(token, return_inverse=True)
-            got = (task << 20 | made, len(ids), len(token), len(words), pack(ids), known.tobytes(), held_.tobytes(), pack(n.astype(np.int32)), pack(words), pack(at.astype(np.int32)))
+            words, at, count = np.unique(token, return_inverse=True, return_counts=True)
+            order = np.argsort(-count, kind="stable")  # frequent words have small numbers
+            number = np.empty(len(words), np.int32)
+            number[order] = np.arange(len(words))
+            got = (task << 20 | made, len(ids), len(token), len(words), pack(ids), known.tobytes(), held_.tobytes(), pack(n.astype(np.int32)), pack(words[order]), squeeze(number[at]))
             return pa.RecordBatch.from_arrays([pa.array([v], k.type) for v, k in zip(got, _schema(BLOCK))], schema=_schema(BLOCK))
 
         for part, b in chunks(batches):
@@ -97,10 +100,10 @@ class Tokens:
     def __init__(self, row: dict):
         self.ids, self.known = unpack(row["ids"], row["docs"], np.int64), np.frombuffer(row["known"], bool)
         self.held, self.n = np.frombuffer(row["held"], bool), unpack(row["n"], row["docs"], np.int32).astype(np.int64)
-        self.words, self.at = unpack(row["words"], row["kinds"], np.uint64), unpack(row["at"], row["tokens"], np.int32).astype(np.int64)
+        self.words, self.at = unpack(row["words"], row["kinds"], np.uint64), unsqueeze(row["at"], row["tokens"], np.int32).astype(np.int64)
         self.text = np.repeat(np.arange(len(self.n)), self.n)
         self.nth = np.arange(len(self.at)) - np.repeat(np.cumsum(self.n) - self.n, self.n)
-        self.end = int(np.searchsorted(self.words, END))
+        self.end = int(np.flatnonzero(self.words == END)[0])
         self.before = np.append(self.end, self.at[:-1])  # a text's first token follows an end
 
     def grams(self):
@@ -134,7 +137,7 @@ def requests(packed: DataFrame, ranges: int) -> DataFrame:
                     count = np.bincount(which[have], learn[have], len(kinds)).astype(np.int32)
                     r = range_of(kinds, ranges)
                     order = np.argsort(r, kind="stable")
-                    out = [(i, size, row["block"], len(at), pack(kinds[at], KEY_BYTES), pack(count[at])) for i, at in by_range(r, order)]
+                    out = [(i, size, row["block"], len(at), pack(kinds[at], KEY_BYTES), squeeze(count[at])) for i, at in by_range(r, order)]
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*out), _schema(REQUEST))], schema=_schema(REQUEST))
 
@@ -148,12 +151,12 @@ def totals(asked: DataFrame) -> DataFrame:
         r, size = table["r"][0].as_py(), table["size"][0].as_py()
         n, block = table["n"].to_pylist(), table["block"].to_pylist()
         keys = np.concatenate([unpack(k, m, np.uint64, KEY_BYTES) for k, m in zip(table["keys"].to_pylist(), n)])
-        count = np.concatenate([unpack(k, m, np.int32) for k, m in zip(table["counts"].to_pylist(), n)])
+        count = np.concatenate([unsqueeze(k, m, np.int32) for k, m in zip(table["counts"].to_pylist(), n)])
         kinds, which = np.unique(keys, return_inverse=True)
         total = np.bincount(which, count, len(kinds)).astype(np.int64)
         back = total[which]
         ends = np.cumsum(n)
-        rows = [(b, size, r, m, pack(back[z - m : z]), None, None, None, None) for b, m, z in zip(block, n, ends.tolist())]
+        rows = [(b, size, r, m, squeeze(back[z - m : z]), None, None, None, None) for b, m, z in zip(block, n, ends.tolist())]
         rows.append((None, size, r, 0, None, int((total > 0).sum()), int((total == 1).sum()), int((total == 2).sum()), int(total.sum())))
         return pa.table([pa.array(c, k.type) for c, k in zip(zip(*rows), _schema(TOTALS))], schema=_schema(TOTALS))
 
@@ -274,7 +277,7 @@ def scores(packed: DataFrame, answered: DataFrame, smoothing: Smoothing) -> Data
             for size, (kinds, _, _) in enumerate(grams, 1):
                 own = answers.filter(pc.equal(answers["size"], size)).sort_by("r")
                 # answers stand by range and within it in order of the keys, as ranges do
-                got = [unpack(k, m, np.int64) for k, m in zip(own["totals"].to_pylist(), own["n"].to_pylist())]
+                got = [unsqueeze(k, m, np.int64) for k, m in zip(own["totals"].to_pylist(), own["n"].to_pylist())]
                 order = np.argsort(range_of(kinds, smoothing.ranges), kind="stable")
                 total = np.zeros(len(kinds), np.int64)
                 total[order] = np.concatenate(got) if got else total

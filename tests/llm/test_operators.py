@@ -37,6 +37,8 @@ def test_packing_round_trips():
     x = np.array([0, 1, 300, 2**40 + 5], np.int64)
     assert (common.unpack(common.pack(x), 4, np.int64) == x).all()
     assert (common.unpack(common.pack(x, 6), 4, np.int64, 6) == x).all()
+    assert (common.unsqueeze(common.squeeze(x), 4, np.int64) == x).all()
+    assert len(common.unsqueeze(common.squeeze(x[:0]), 0, np.int64)) == 0
 
 
 def test_shared_keys_spans_tasks(spark):
@@ -172,7 +174,7 @@ def _automaton(texts):
     number = {w: int(np.flatnonzero(order == i)[0]) for i, w in enumerate([*words, None])}
     at = [number[w] for t in texts for w in [*t, None]]
     row = {"docs": len(texts), "tokens": len(at), "kinds": len(hashes), "ids": common.pack(np.arange(len(texts))), "known": np.ones(len(texts), bool).tobytes(), "held": np.zeros(len(texts), bool).tobytes()}
-    row |= {"n": common.pack(np.array([len(t) + 1 for t in texts], np.int32)), "words": common.pack(hashes[order]), "at": common.pack(np.array(at, np.int32))}
+    row |= {"n": common.pack(np.array([len(t) + 1 for t in texts], np.int32)), "words": common.pack(hashes[order]), "at": common.squeeze(np.array(at, np.int32))}
     t = scoring.Tokens(row)
     grams = list(t.grams())
     counts = [np.bincount(w[w >= 0], minlength=len(k)) for k, _, w in grams]
