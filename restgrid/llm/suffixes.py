@@ -7,18 +7,24 @@ smaller doc_id; strings are judged on the input.
 1. Each window of LENGTH bytes has the least hash of its PIECE-byte pieces as key; windows in a row
    with one key are a run.  Equal windows have equal keys, so only runs whose key stands in two
    documents or more can hold a repeat (one packed exchange finds them).
-2. A run's bytes with their LENGTH - 1 neighbours are a region.  Equal regions are one variant,
-   held by its smallest doc_id; later holders lose the whole region.
+2. A run's bytes with their LENGTH - 1 neighbours are a region.  Equal regions (equal keys and two
+   further 64-bit hashes of other bases: bytes are not compared here) are one variant, held by its
+   smallest doc_id; later holders lose the whole region.
 3. The variants of a key range meet in one suffix sort (equal strings have equal keys, so it
    sorts within keys): prefix polynomial hashes and binary
    search give the common extension of two suffixes in log steps, a mergesort compares by it,
    and neighbours that agree in LENGTH bytes are compared byte by byte.  The smallest doc_id of
-   each set of equal suffixes keeps them.  Keys with more than ``MOST_VARIANTS`` variants are
-   dealt out by whole windows instead, where equal windows are one row.
+   each set of equal suffixes keeps them.  Keys with more than ``MOST_VARIANTS`` variants would
+   make a group without bound; the exact way for them is to aggregate whole windows.
+
+Keys and variants with more than ``HOT`` rows are sent to all tasks, if they are at most MOST_SENT,
+so that no task holds all rows of a passage that many documents share.
 
 Defined cases: null and empty texts have no bytes; texts shorter than LENGTH lose nothing; equal
 texts belong to the smallest doc_id, whose rows all stay as they are; rows with a null doc_id
-neither lose nor hold anything; rows that repeat a doc_id should repeat its text.
+neither lose nor hold anything; rows that repeat a doc_id with other texts are judged one by one
+against smaller doc_ids (what goes is marked with the hash of its bytes); very long texts are cut
+into regions like all others; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, Bytes, chunks, documents, ids_of, inverse, mix, n_ranges, powers, shared_keys, stage
+from .common import BASE, WORD_STEP, Bytes, chunks, discard, documents, ids_of, inverse, mix, n_ranges, powers, shared_keys, stage
 
 LENGTH = 50
 PIECE = 20
@@ -39,6 +45,9 @@ MOST_VARIANTS = 20_000
 #: Key ranges of the suffix sort (at least), and variants for each beyond that.
 SUFFIX_RANGES = 256
 VARIANTS_A_RANGE = 2_000
+#: Keys with more rows are sent to all tasks, if there are so many of them at most.
+HOT = 1_000
+MOST_SENT = 50_000
 
 
 # --- candidate runs ------------------------------------------------------------------------
@@ -93,8 +102,27 @@ def shared_runs(docs: DataFrame, ranges: int) -> DataFrame:
     return shared_keys(docs, found, ranges)
 
 
+def _hash(b: Bytes, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each span."""
+    return mix(b.span(sums, start, end) + (end - start).astype(np.uint64)).view(np.int64)
+
+
+def matched(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join of rows with a table of distinct keys and ``rows_of``, the number of their rows: hot
+    keys by sending them to all tasks, the others by shuffle."""
+    hot = keys.where(F.col("rows_of") > HOT)
+    n = hot.count()
+    if not n:
+        return rows.join(keys.drop("rows_of"), on)
+    if n > MOST_SENT:
+        return rows.join(keys.drop("rows_of"), on)
+    sent = F.broadcast(hot.drop("rows_of"))
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(keys.where(F.col("rows_of") <= HOT).drop("rows_of"), on)
+    return rows.join(sent, on).unionByName(rest)
+
+
 def regions(docs: DataFrame, wanted: DataFrame, whole: bool) -> DataFrame:
-    """(key, h, doc, a, b) of wanted runs, h: the hash of their bytes; ``whole``: the bytes too."""
+    """(key, h, g, doc, a, b) of wanted runs, h and g: hashes of their bytes; ``whole``: the bytes too."""
     by_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "a", "b")).alias("runs"))
     joined = docs.join(by_doc, docs["doc_id"] == by_doc["doc"]).select("doc_id", "text", "runs")
 
@@ -110,15 +138,15 @@ def regions(docs: DataFrame, wanted: DataFrame, whole: bool) -> DataFrame:
                 start, end = b.off[text] + a, b.off[text] + a + n + LENGTH - 1
                 ok = end <= b.off[text + 1]
                 key, a, n, text, start, end = (x[ok] for x in (key, a, n, text, start, end))
-                h = mix(b.span(b.sums(), start, end) + (end - start).astype(np.uint64))
-                cols = [pa.array(key), pa.array(h.view(np.int64)), pa.array(ids_of(part)[text]), pa.array(a), pa.array(n)]
+                other = b.span(b.sums(WORD_STEP), start, end, WORD_STEP).view(np.int64)
+                cols = [pa.array(key), pa.array(_hash(b, b.sums(), start, end)), pa.array(other), pa.array(ids_of(part)[text]), pa.array(a), pa.array(n)]
                 if whole:
                     raw = b.data.tobytes()
                     cols.append(pa.array([raw[i:j] for i, j in zip(start.tolist(), end.tolist())], pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    names = ["key", "h", "doc", "a", "b", *["bytes"] * whole]
-    return joined.mapInArrow(cut, "key bigint, h bigint, doc bigint, a bigint, b bigint" + ", bytes binary" * whole)
+    names = ["key", "h", "g", "doc", "a", "b", *["bytes"] * whole]
+    return joined.mapInArrow(cut, "key bigint, h bigint, g bigint, doc bigint, a bigint, b bigint" + ", bytes binary" * whole)
 
 
 # --- the suffix sort -----------------------------------------------------------------------
@@ -210,55 +238,75 @@ def _earlier(table: pa.Table) -> pa.Table:
     least = np.full(kind.max() + 1 if len(kind) else 0, np.iinfo(np.int64).max)
     np.minimum.at(least, kind, doc[which])
     lost = np.flatnonzero(least[kind] < doc[which])
-    d, start = doc[which][lost], (a[which] + nth)[lost]
+    d, start, place = doc[which][lost], (a[which] + nth)[lost], s.starts[lost]
     new = np.ones(len(lost), bool)
     new[1:] = (which[lost][1:] != which[lost][:-1]) | (start[1:] != start[:-1] + 1)
     first = np.flatnonzero(new)
-    return pa.table({"doc": pa.array(d[first], pa.int64()), "start": pa.array(start[first], pa.int64()), "windows": pa.array(np.diff(np.append(first, len(lost))), pa.int64())})
+    windows = np.diff(np.append(first, len(lost)))
+    end = place[first] + windows + LENGTH - 1
+    h = mix((s.sums[end] - s.sums[place[first]]) * s.back[place[first]] + (end - place[first]).astype(np.uint64))
+    return pa.table({"doc": pa.array(d[first], pa.int64()), "start": pa.array(start[first], pa.int64()), "windows": pa.array(windows, pa.int64()), "h": pa.array(h.view(np.int64))})
 
 
-SPAN = "doc bigint, start bigint, windows bigint"
+SPAN = "doc bigint, start bigint, windows bigint, h bigint"
 
 
 def removed_windows(docs: DataFrame) -> DataFrame:
-    """(doc, start, windows): runs of LENGTH-byte windows that a smaller doc_id holds too."""
+    """SPAN rows: runs of LENGTH-byte windows that a smaller doc_id holds too, and the hash of their
+    bytes; null h: the whole text, which is the only one of its doc_id."""
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     whole = docs.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.octet_length("text").cast("long").alias("n")).where(f"n >= {LENGTH}")
     whole = stage(whole, "suffix-texts")
     owner = whole.groupBy("sha").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner <> last").select("sha", "owner")
-    copies = stage(whole.join(owner, "sha").where("doc_id > owner").select("doc_id", "n").distinct(), "suffix-copies")
-    shared = shared_runs(docs, n_ranges(docs)).join(copies.select(F.col("doc_id").alias("doc")), "doc", "left_anti")
+    # a doc_id with several texts is not left out of the search, as not all of them need be copies
+    copies = whole.join(owner, "sha").where("doc_id > owner").select("doc_id", "sha", "n").distinct()
+    single = whole.groupBy("doc_id").agg((F.min("sha") == F.max("sha")).alias("single")).where("single").select("doc_id")
+    copies = stage(copies.join(single, "doc_id"), "suffix-copies")
+    discard(whole)
+    shared = shared_runs(docs, n_ranges(docs)).join(copies.select(F.col("doc_id").alias("doc")).distinct(), "doc", "left_anti")
     shared = stage(shared, "suffix-shared")
-    two = shared.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high").select("key")
-    wanted = shared.join(two, "key", "left_semi")
-    cut = stage(regions(docs, wanted, False), "suffix-regions")
+    two = stage(shared.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("rows_of")).where("low <> high").select("key", "rows_of"), "suffix-keys")
+    cut = stage(regions(docs, matched(shared, two, ["key"]), False), "suffix-regions")
+    discard(shared, two)
     # equal regions are one variant, its smallest document holds it
-    variant = cut.groupBy("key", "h").agg(F.min(F.struct("doc", "a", "b")).alias("v")).select("key", "h", "v.*")
+    same = ["key", "h", "g"]
+    variant = cut.groupBy(*same).agg(F.min(F.struct("doc", "a", "b")).alias("v"), F.count("*").alias("rows_of")).select(*same, "v.*", "rows_of")
     variant = stage(variant, "suffix-variants")
-    later = cut.join(variant.select("key", "h", F.col("doc").alias("first")), ["key", "h"]).where("doc > first").select("doc", F.col("a").alias("start"), F.col("b").alias("windows"))
+    first = variant.where("rows_of > 1").select(*same, F.col("doc").alias("first"), "rows_of")
+    later = matched(cut, first, same).where("doc > first").select("doc", F.col("a").alias("start"), F.col("b").alias("windows"), "h")
     later = stage(later, "suffix-later")
+    discard(cut)
     # only keys with several variants are sorted: of the others all regions are equal
     several = variant.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    sort = stage(variant.join(several, "key").drop("h"), "suffix-sort")
+    sort = stage(variant.join(several, "key").drop("h", "g", "rows_of"), "suffix-sort")
+    discard(variant)
     ranges = max(SUFFIX_RANGES, sort.count() // VARIANTS_A_RANGE)
     hold = lambda where: regions(docs, sort.where(where), True)
     dealt = lambda df: df.withColumn("r", F.pmod(F.xxhash64("key"), F.lit(ranges))).select("r", "key", "doc", "a", "b", "bytes").groupBy("r").applyInArrow(_earlier, SPAN)
     few = dealt(hold(f"n <= {MOST_VARIANTS}"))
-    spans = later.union(few).union(copies.select(F.col("doc_id").alias("doc"), F.lit(0).cast("long").alias("start"), (F.col("n") - LENGTH + 1).alias("windows")))
+    spans = later.union(few).union(copies.select(F.col("doc_id").alias("doc"), F.lit(0).cast("long").alias("start"), (F.col("n") - LENGTH + 1).alias("windows"), F.lit(None).cast("long").alias("h")))
     if not sort.where(f"n > {MOST_VARIANTS}").limit(1).count():
         return spans
-    # keys with very many variants: whole windows, of which equal ones are one row
     window = hold(f"n > {MOST_VARIANTS}").select("doc", "a", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("k"), "bytes")
     window = window.select("doc", (F.col("a") + F.col("k")).alias("start"), F.substring("bytes", F.col("k").cast("int") + 1, F.lit(LENGTH)).alias("w"))
-    first = window.groupBy("w").agg(F.min("doc").alias("first"))
-    return spans.union(window.join(first, "w").where("doc > first").select("doc", "start", F.lit(1).cast("long").alias("windows")))
+    first = window.groupBy("w").agg(F.min("doc").alias("first"), F.count("*").alias("rows_of")).where("rows_of > 1")
+    lost = matched(window, stage(first, "suffix-windows"), ["w"]).where("doc > first").select("doc", "start", "w")
+
+    def hashed(batches):
+        for batch in batches:
+            b = Bytes(pa.array([""]), lower=False)
+            b.data = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8)
+            at = np.arange(batch.num_rows) * LENGTH
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.ones(batch.num_rows, np.int64)), pa.array(_hash(b, b.sums(), at, at + LENGTH))], names=["doc", "start", "windows", "h"])
+
+    return spans.union(lost.mapInArrow(hashed, SPAN))
 
 
 def without_repeats(docs: DataFrame, row: list[str]) -> DataFrame:
     """``row`` columns as c0, c1, ..., then n_bytes, n_removed, n_spans, kept (binary): what stays
     of each text, and kept_text: the same without characters that lost some of their bytes."""
     spans = removed_windows(docs)
-    spans = stage(spans.groupBy("doc").agg(F.collect_list(F.struct("start", "windows")).alias("spans")), "suffix-spans")
+    spans = stage(spans.groupBy("doc").agg(F.collect_list(F.struct("start", "windows", "h")).alias("spans")), "suffix-spans")
     base = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(row)], F.col("doc_id").cast("long").alias("id"), "text")
     df = base.join(spans, base["id"] == spans["doc"], "left").select(*[f"c{i}" for i in range(len(row))], "text", "spans")
     width = len(row)
@@ -266,15 +314,22 @@ def without_repeats(docs: DataFrame, row: list[str]) -> DataFrame:
     def cut(batches):
         for batch in batches:
             for part, b in chunks([batch], lower=False):
-                out = []
+                out, sums = [], b.sums()
                 for i, spans in enumerate(part.column(width + 1)):
                     data = b.data[b.off[i] : b.off[i + 1]]
                     n = len(data)
                     edge = np.zeros(n + 1, np.int32)
                     if spans.is_valid and len(spans.values):
-                        start, windows = (x.to_numpy() for x in spans.values.flatten())
-                        np.add.at(edge, np.minimum(start, n), 1)
-                        np.add.at(edge, np.minimum(start + windows + LENGTH - 1, n), -1)
+                        start, windows, h = spans.values.flatten()
+                        whole = h.is_null().to_numpy(zero_copy_only=False)
+                        start, windows, h = (x.fill_null(0).to_numpy() for x in (start, windows, h))
+                        end = start + windows + LENGTH - 1
+                        # a row whose id has other texts too loses only what stands in this one
+                        fits = np.flatnonzero((end <= n) & ~whole)
+                        mine = _hash(b, sums, b.off[i] + start[fits], b.off[i] + end[fits])
+                        fits = np.concatenate([fits[mine == h[fits]], np.flatnonzero(whole & (end == n))])
+                        np.add.at(edge, start[fits], 1)
+                        np.add.at(edge, end[fits], -1)
                     gone = np.cumsum(edge[:-1]) > 0
                     kept = data[~gone].tobytes()
                     out.append((n, int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum()), kept, kept.decode("utf-8", "ignore")))
