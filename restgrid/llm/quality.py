@@ -7,7 +7,8 @@ to the base rules.  DataFrame functions only.
 
 Defined cases: a null text has no words and fails the base rules; a null or unknown ``lang`` is
 a language of its own with no common words (its word distance is 0); repeated rows are judged
-one by one; further columns of any name pass through untouched.
+one by one; very long texts are judged whole; an empty table gives no rows; further columns of
+any name pass through untouched, those that the operator itself makes in between get free names.
 """
 
 from __future__ import annotations
@@ -143,15 +144,15 @@ def evaluate(docs: DataFrame, keep: list[str], name: str = "quality") -> DataFra
     refs = stage(references(scored, name), "quality-references")
     if refs.count() <= MOST_SENT:
         refs = F.broadcast(refs)
-    made = ["ref_lang", "ref_chars", "ref_common"]
-    if set(made) & set(keep):
-        raise ValueError(f"columns {made} are reserved")
-    q = F.col(name)
-    df = scored.join(refs, q["lang"] == F.col("ref_lang"), "left")
-    long = (F.aggregate(q["chars"], F.lit(0.0), lambda s, x: s + x) >= MIN_CHARS) & (q["n_words"] >= MIN_WORDS) & F.col("ref_lang").isNotNull()
+    ref = "ref"
+    while ref.lower() in {c.lower() for c in [*keep, name]}:
+        ref += "_"
+    q, r = F.col(name), F.col(ref)
+    df = scored.join(refs.select(F.struct("*").alias(ref)), q["lang"] == r["ref_lang"], "left")
+    long = (F.aggregate(q["chars"], F.lit(0.0), lambda s, x: s + x) >= MIN_CHARS) & (q["n_words"] >= MIN_WORDS) & r.isNotNull()
     had = [F.col(f"`{c}`") for c in keep]
     far = lambda a, b: F.when(long, distance(a, b)).otherwise(0.0)
-    df = df.select(*had, q.withField("char_distance", far(q["chars"], F.col("ref_chars"))).withField("word_distance", far(q["common"], F.col("ref_common"))).alias(name))
+    df = df.select(*had, q.withField("char_distance", far(q["chars"], r["ref_chars"])).withField("word_distance", far(q["common"], r["ref_common"])).alias(name))
     kept = ~q["base_failed"] & (q["char_distance"] <= MAX_CHAR_DISTANCE) & (q["word_distance"] <= MAX_WORD_DISTANCE)
     return df.select(*had, q.withField("kept", kept).alias(name))
 
@@ -164,6 +165,6 @@ def op10_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rules keep, with their own columns."""
     name = "quality_verdict"
-    while name in docs.columns:
+    while name in {c.lower() for c in docs.columns}:
         name += "_"
     return evaluate(docs, docs.columns, name).where(F.col(name)["kept"]).select(*[F.col(f"`{c}`") for c in docs.columns])
