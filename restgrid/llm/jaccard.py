@@ -15,7 +15,8 @@ compares the words themselves.
 
 Defined cases: null and empty texts, and texts without words, have an empty set and link with
 nothing; fewer than five words are one shingle; rows that repeat a doc_id and text are one
-document, and rows that repeat a doc_id with other texts link through that id.
+document, and rows that repeat a doc_id with other texts link through that id; rows with a null
+doc_id have the size of their set, no component and no links; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -207,15 +208,29 @@ def link_table(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, links.union(more)
 
 
+def set_sizes(docs: DataFrame) -> DataFrame:
+    """(n_shingles) of each row, for rows without an id."""
+
+    def sizes(batches):
+        for part, b in chunks(batches):
+            words, first = word_hashes(b)
+            yield pa.RecordBatch.from_arrays([pa.array([len(np.unique(shingles(words[a:z], N))) for a, z in zip(first, first[1:])], pa.int64())], names=["n_shingles"])
+
+    return docs.select("text").mapInArrow(sizes, "n_shingles bigint")
+
+
 def classes_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) of every row with a doc_id."""
+    """(doc_id, n_shingles, component_id, n_spanning_links) of every row; n_spanning_links: the
+    verified links that were looked at, which join a component but are not all of its links."""
     rows, links = link_table(docs)
     links = links.union(rows.where("class <> doc_id").select(F.col("class").alias("u"), F.col("doc_id").alias("v")))
     links = stage(links, "jaccard-all")
     ends = links.select("u").union(links.select("v")).groupBy(F.col("u").alias("doc_id")).agg(F.count("*").alias("n_links"))
     at = components(links, "jaccard-components").withColumnRenamed("node", "doc_id")
     out = rows.join(at, "doc_id", "left").join(ends, "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_spanning_links"))
+    null = F.lit(None).cast("long")
+    return out.union(set_sizes(docs.where("doc_id is null")).select(null, "n_shingles", null, F.lit(0).cast("long")))
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
