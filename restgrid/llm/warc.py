@@ -5,14 +5,18 @@ lines have five and ten fields, and each names the length of what follows.  Ever
 becomes a WARC/1.1 record: identifier from page and digest, timestamp from the 14-digit
 date, SHA-256 digest of the payload, type response or revisit.
 
+An archive starts with a warcinfo record, which takes the place of the version block.  What is no
+HTTP response becomes a resource record of its MIME type.
+
 Archives are written by Spark's text writer (a record's bytes end in CRLF, the writer's line
 end is CRLF), so they reach any file system that Spark reaches, compressed by gzip, and read
-back as whole files of bounded size by declared lengths.
+back as whole files by declared lengths.  A file holds about ``WARC_BYTES``, or one larger record.
 
 Defined cases: a null html is an empty payload; a null url stands as ``urn:page:<id>``; blanks
 and control characters in a url are percent-encoded; payloads under 100 bytes never revisit; a
 null page_id is no one's original and has no id in its record; rows that repeat a page_id and
-payload are one response each.
+payload are one response each; very long pages are archives of their own; an empty table gives no
+records; archives that end early or break their version's layout raise ValueError.
 """
 
 from __future__ import annotations
@@ -23,13 +27,14 @@ import re
 import uuid
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import discard_at_exit, shared_dir, small_batches
 
 ARCHIVE_BYTES = 1 << 20
-RECORDS_A_FILE = 1_000
+WARC_BYTES = 32 << 20
 LEAST_REVISIT = 100
 CRAWLED = "20240115143000"
 #: Fixed values of the two ARC versions.
@@ -37,7 +42,7 @@ ARC_FIELDS = {
     b"1": b"URL IP-address Archive-date Content-type Archive-length",
     b"2": b"URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
-ARC_RECORD = "url string, date string, mime string, content binary, archive string, offset bigint"
+ARC_RECORD = "url string, ip string, date string, mime string, content binary, archive string, offset bigint"
 WARC_ROW = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, record_id string, date string, url string"
 _UNSAFE = re.compile(rb"[\x00-\x20\x7f]")
 
@@ -61,6 +66,12 @@ def arc_entry(version: bytes, name: bytes, offset: int, url: bytes, content: byt
 
 def parse_arc(data: bytes):
     """(url, date, mime, content, offset) of each record but the version block."""
+    for url, _, date, mime, content, offset in arc_records(data):
+        yield url, date, mime, content, offset
+
+
+def arc_records(data: bytes):
+    """(url, ip, date, mime, content, offset) of each record but the version block."""
     at, width = 0, 0
     while at < len(data):
         end = data.find(b"\n", at)
@@ -81,7 +92,7 @@ def parse_arc(data: bytes):
             length = int(fields[-1])
             if end + 1 + length > len(data):
                 raise ValueError(f"ARC: the record at {at} is cut short")
-            yield fields[0], fields[2], fields[3], data[end + 1 : end + 1 + length], at
+            yield *fields[:4], data[end + 1 : end + 1 + length], at
         at = end + 1 + length + 1
 
 
@@ -124,9 +135,9 @@ def read_arc(archives: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 name, data = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-                rows = [(u.decode(), d.decode(), m.decode(), c, name, at) for u, d, m, c, at in parse_arc(data)]
+                rows = [(u.decode(), ip.decode(), d.decode(), m.decode(), c, name, at) for u, ip, d, m, c, at in arc_records(data)]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.string(), pa.string(), pa.string(), pa.binary(), pa.string(), pa.int64()))], names=["url", "date", "mime", "content", "archive", "offset"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (*(pa.string(),) * 4, pa.binary(), pa.string(), pa.int64()))], names=[c.split()[0] for c in ARC_RECORD.split(", ")])
 
     return archives.select("archive", "content").mapInArrow(parse, ARC_RECORD)
 
@@ -170,43 +181,66 @@ def write_warc(records: DataFrame, copies: DataFrame, path: str) -> None:
 
     def keyed(batches):
         for batch in batches:
-            got = [split_http(x.as_py()) for x in batch.column(2)]
+            got = [split_http(x.as_py()) for x in batch.column(4)]
             pages = [int(f[b"x-page-id"]) if b"x-page-id" in f else None for _, _, f in got]
             digests = [hashlib.sha256(b).hexdigest() for _, b, _ in got]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pages, pa.int64()), pa.array(digests, pa.string())], names=["url", "date", "content", "page_id", "digest"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pages, pa.int64()), pa.array(digests, pa.string())], names=[*ARC, "page_id", "digest"])
 
     def build(batches):
+        task, number, size = TaskContext.get().partitionId(), -1, WARC_BYTES
         for batch in batches:
-            out = []
-            for url, date, content, page, digest, refers in zip(*(c.to_pylist() for c in batch.columns)):
-                out.append(warc_record(url, date, content, page, digest, refers))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+            out, names = [], []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if size >= WARC_BYTES:
+                    number, size = number + 1, 0
+                    name = f"{task}-{number}"
+                    out.append(warc_info(name))
+                    names.append(name)
+                out.append(warc_record(*row))
+                names.append(name)
+                size += len(out[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(names)], names=["record", "archive"])
+
+    ARC = ["url", "ip", "date", "mime", "content"]
+    rows = records.select(*ARC).mapInArrow(keyed, "url string, ip string, date string, mime string, content binary, page_id bigint, digest string")
+    rows = rows.join(copies, ["page_id", "digest"], "left").select(*ARC, "page_id", "digest", "refers_to")
+    made = rows.mapInArrow(build, "record binary, archive string").select(F.col("record").cast("string").alias("value"), "archive")
+    made.write.option("lineSep", "\r\n").option("compression", "gzip").partitionBy("archive").text(path)
+
+
+def _lines(fields: list[str], block: bytes) -> bytes:
+    return ("\r\n".join(["WARC/1.1", *fields, f"Content-Length: {len(block)}"]) + "\r\n\r\n").encode() + block + b"\r\n"
+
+
+def warc_date(date: str) -> str:
+    return f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
+
 
-    rows = records.select("url", "date", "content").mapInArrow(keyed, "url string, date string, content binary, page_id bigint, digest string")
-    rows = rows.join(copies, ["page_id", "digest"], "left").select("url", "date", "content", "page_id", "digest", "refers_to")
-    made = rows.mapInArrow(build, "record binary").select(F.col("record").cast("string").alias("value"))
-    made.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+def warc_info(name: str) -> bytes:
+    """The record at the head of an archive."""
+    block = b"software: restgrid\r\nformat: WARC File Format 1.1\r\n"
+    return _lines(["WARC-Type: warcinfo", f"WARC-Record-ID: <{record_id(None, name)}>", f"WARC-Date: {warc_date(CRAWLED)}", f"WARC-Filename: {name}.warc.gz", "Content-Type: application/warc-fields"], block)
 
 
-def warc_record(url: str, date: str, content: bytes, page: int | None, digest: str, refers: int | None) -> bytes:
+def warc_record(url: str, ip: str, date: str, mime: str, content: bytes, page: int | None, digest: str, refers: int | None) -> bytes:
     """One record without its last CRLF, which the writer adds."""
     head, body, _ = split_http(content)
     block = content if refers is None else head
-    at = f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
     fields = [
-        "WARC/1.1",
-        f"WARC-Type: {'response' if refers is None else 'revisit'}",
+        f"WARC-Type: {'revisit' if refers is not None else 'response' if head else 'resource'}",
         f"WARC-Record-ID: <{record_id(page, digest)}>",
-        f"WARC-Date: {at}",
+        f"WARC-Date: {warc_date(date)}",
         f"WARC-Target-URI: {url}",
-        "Content-Type: application/http; msgtype=response",
+        f"Content-Type: {'application/http; msgtype=response' if head else mime}",
         f"WARC-Payload-Digest: sha256:{digest}",
         f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
         f"X-Payload-Length: {len(body)}",
     ]
+    if ip != "0.0.0.0":  # an archive's mark for an address that isn't known
+        fields.append(f"WARC-IP-Address: {ip}")
     if refers is not None:
         fields += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{record_id(refers, digest)}>", f"X-Refers-To-Page: {refers}"]
-    return ("\r\n".join([*fields, f"Content-Length: {len(block)}"]) + "\r\n\r\n").encode() + block + b"\r\n"
+    return _lines(fields, block)
 
 
 def parse_warc(data: bytes):
@@ -236,11 +270,13 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             for x in batch.column(0):
                 rows = []
                 for f, block in parse_warc(gzip.decompress(x.as_py())):
+                    if f[b"warc-type"] == b"warcinfo":
+                        continue
                     _, body, http = split_http(block)
                     kind, digest = f[b"warc-type"].decode(), f[b"warc-payload-digest"].decode().removeprefix("sha256:")
                     if hashlib.sha256(block).hexdigest() != f[b"warc-block-digest"].decode().removeprefix("sha256:"):
                         raise ValueError("WARC: a block doesn't match its digest")
-                    if kind == "response" and (hashlib.sha256(body).hexdigest() != digest or len(body) != int(f[b"x-payload-length"])):
+                    if kind != "revisit" and (hashlib.sha256(body).hexdigest() != digest or len(body) != int(f[b"x-payload-length"])):
                         raise ValueError("WARC: a payload doesn't match its digest or length")
                     page = http.get(b"x-page-id")
                     refers = f.get(b"x-refers-to-page")
@@ -249,14 +285,16 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[c.split()[0] for c in WARC_ROW.split(", ")])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path)
     return files.select("content").mapInArrow(parse, WARC_ROW)
 
 
 def convert(pages: DataFrame) -> DataFrame:
     """Pages through ARC archives into WARC archives in the shared folder, and read back."""
     spark = pages.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    discard_at_exit(spark, path)
     records = read_arc(pages_to_arc(pages))
     write_warc(records, originals(payloads(records)), path)
     return read_warc(spark, path)
