@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import math
 import random
@@ -227,6 +228,12 @@ def test_jaccard_components(docs, empty):
     assert jaccard.classes_of(empty).count() == 0
 
 
+def test_jaccard_of_null_ids(spark):
+    rows = [(None, "a b c d e f"), (1, "a b c d e f"), (None, None), (2, "x"), (3, "a b c d e f")]
+    got = jaccard.classes_of(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(None, 2, None), (None, 0, None), (1, 2, 1), (2, 1, 2), (3, 2, 1)], key=str)
+
+
 def test_jaccard_finds_near_copies_without_a_common_leader(spark):
     r = random.Random(8)
     base = [f"w{r.randrange(5000)}" for _ in range(120)]
@@ -398,6 +405,27 @@ def test_arc_versions_and_warc_round_trip(spark):
     assert warc.convert(pages.limit(0)).count() == 0
 
 
+def test_archives_are_bounded_by_bytes(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://a/{i}", f"{i:05d}" * 80_000) for i in range(1, 120)], "page_id long, url string, html string").coalesce(1)
+    path = str(tmp_path / "warc")
+    records = warc.read_arc(warc.pages_to_arc(pages))
+    warc.write_warc(records, warc.originals(warc.payloads(records)), path)
+    files = list((tmp_path / "warc").rglob("*.gz"))
+    assert len(files) > 1
+    for file in files:
+        data = gzip.decompress(file.read_bytes())
+        assert len(data) <= warc.WARC_BYTES + 500_000
+        kinds = [f[b"warc-type"] for f, _ in warc.parse_warc(data)]
+        assert kinds[0] == b"warcinfo" and set(kinds[1:]) <= {b"response", b"revisit"}
+    assert warc.read_warc(spark, path).count() == 119
+
+
+def test_other_than_http_becomes_a_resource():
+    record = warc.warc_record("dns:a", "10.0.0.1", "20010203040506", "text/dns", b"a record", None, hashlib.sha256(b"a record").hexdigest(), None) + b"\r\n"
+    ((fields, block),) = warc.parse_warc(record)
+    assert (fields[b"warc-type"], fields[b"content-type"], fields[b"warc-ip-address"], block) == (b"resource", b"text/dns", b"10.0.0.1", b"a record")
+
+
 def test_arc_parser_reads_both_versions_and_refuses_damage():
     for version in (b"1", b"2"):
         data = warc.arc_head(version, b"x.arc") + warc.arc_entry(version, b"x.arc", 9, b"http://a", b"body\n\nmore") + warc.arc_entry(version, b"x.arc", 9, b"http://b", b"")
@@ -434,6 +462,27 @@ def test_repeats_go(docs, empty, monkeypatch, most):
     assert suffixes.without_repeats(empty, ["doc_id"]).count() == 0
 
 
+def test_repeated_ids_with_other_texts(spark):
+    same = "abcdefghij" * 8
+    r = random.Random(31)
+    noise = lambda n: "".join(r.choice("klmnopqrst") for _ in range(n))
+    shared = noise(70)
+    rows = [(1, same), (2, same), (2, "qq" + same + "zz"), (3, shared), (4, noise(90)), (4, noise(20) + shared), (4, noise(20) + shared)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((x.c0, x.n_bytes, x.n_removed) for x in suffixes.without_repeats(docs, ["doc_id"]).collect())
+    assert got == [(1, 80, 0), (2, 80, 80), (2, 84, 80), (3, 70, 0), (4, 90, 0), (4, 90, 70), (4, 90, 70)]
+
+
+def test_hot_passages_are_sent(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT", 2)
+    r = random.Random(32)
+    noise = lambda n: "".join(r.choice("klmnopqrst") for _ in range(n))
+    passage = noise(130)
+    rows = [(i, noise(r.randint(0, 60)) + passage[r.choice([0, 0, 30]) :] + noise(r.randint(0, 60))) for i in range(30)] + [(None, passage), (31, None), (32, "")]
+    got = {x.c0: (x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in suffixes.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).where("c0 is not null").collect()}
+    assert got == plain.without_repeats([x for x in rows if x[0] is not None])
+
+
 # --- 9 ---
 
 

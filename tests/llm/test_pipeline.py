@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from restgrid.llm import jaccard, mixing, pieces, quality, suffixes
@@ -22,6 +23,20 @@ def test_stages_keep_the_columns(spark, docs):
         assert function(spark, docs.limit(0), "").count() == 0
 
 
+def test_stages_bear_clashing_names(spark, docs):
+    """Columns named like those that the operators make in between."""
+    names = "ref ref_lang ref_chars ref_common quality_verdict doc size row times taken shard bytes spans c0 c1 token_ids n_tokens round_trip key component_id".split()
+    more = docs.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    for function in (quality.quality_stage, jaccard.jaccard_stage, suffixes.suffix_stage, mixing.mixing_stage):
+        got, want = function(spark, more, ""), function(spark, docs, "")
+        assert got.columns == more.columns
+        assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in want.collect())
+        assert all(r[n] == i for r in got.collect() for i, n in enumerate(names))
+    got = pieces.pieces_stage(spark, more, "")
+    assert got.columns == [c for c in more.columns if c not in ("token_ids", "n_tokens", "round_trip")] + ["token_ids", "n_tokens", "round_trip"]
+    assert all(r.round_trip for r in got.collect())
+
+
 def test_quality_stage_drops_what_it_rejects(spark, docs):
     kept = {r.doc_id for r in quality.quality_stage(spark, docs, "").collect()}
     for r in docs.collect():
