@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 EARTH_KM = 6371.0
 KM_A_DEGREE = 111.0
-#: Symbols of the simplified code, and word lists of the simulated address.
+#: Symbols of the simplified code.  The word lists of the simulated address are our own.
 CODE_SYMBOLS = "23456789CFGHJMPQRVWX"
 THREE_WORDS = (
-    ("calm", "quiet", "soft", "warm", "gentle", "peaceful", "serene", "tranquil"),
-    ("comfort", "relief", "ease", "rest", "calm", "haven", "refuge", "shelter"),
-    ("maple", "willow", "birch", "oak", "pine", "elm", "ash", "holly"),
+    ("amber", "bright", "clear", "early", "fresh", "green", "light", "round"),
+    ("bridge", "corner", "garden", "harbour", "market", "meadow", "square", "valley"),
+    ("cedar", "heron", "lantern", "marble", "pebble", "river", "saddle", "thistle"),
 )
 HEADINGS = {0: "North", 45: "North East", 90: "East", 135: "South East", 180: "South", 225: "South West", 270: "West", 315: "North West"}
 
@@ -120,7 +120,7 @@ def links(lat: Column, lng: Column) -> dict[str, Column]:
 
 
 def emergency_card(lat: Column, lng: Column, words: Column, code: Column, sender: str = "restgrid") -> Column:
-    """Lines of a location card; lines of null or empty words and codes are left out."""
+    """Lines of a location card; lines of null or empty words and codes are left out.  Fixed values: the lines' texts."""
     line = F.lit("━" * 18)
     some = lambda label, x: F.when(x.isNotNull() & (x != ""), F.concat(F.lit(label), x))
     return F.concat_ws(

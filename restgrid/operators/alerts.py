@@ -22,6 +22,20 @@ def set_preference(preferences: DataFrame, new: DataFrame) -> DataFrame:
     return preferences.join(new, ["user_id", "facility_id"], "left_anti").select(preferences.columns).unionByName(new)
 
 
+def switch(preferences: DataFrame, users: DataFrame, enabled: bool) -> DataFrame:
+    """Alerts of (user_id, facility_id) on or off; where there is no entry, both kinds are on."""
+    keys = ["user_id", "facility_id"]
+    hit = users.select(*keys).distinct()
+    had = preferences.join(hit.withColumn("_hit", F.lit(True)), keys, "left").withColumn("enabled", F.when(F.col("_hit"), enabled).otherwise(F.col("enabled"))).select(preferences.columns)
+    made = hit.join(preferences, keys, "left_anti").select(*keys, F.lit(0).alias("position"), F.lit(enabled).alias("enabled"), F.lit(True).alias("closure_alerts"), F.lit(True).alias("update_alerts"))
+    return had.unionByName(made.select(preferences.columns))
+
+
+def outbox(found: DataFrame, as_of: Column) -> DataFrame:
+    """Notifications to send, one for each alert."""
+    return found.select("user_id", "title", "body", F.to_json(F.struct("facility_id", "report_id")).alias("data"), as_of.alias("sent_at"))
+
+
 def alerts(favourites: DataFrame, preferences: DataFrame, facilities: DataFrame, reports: DataFrame, as_of: Column) -> DataFrame:
     """(user_id, facility_id, report_id, title, body): reports reduced first, then joined by key."""
     active = reports.where(active_reports(as_of)).select("facility_id", "report_id", "type", "notes")

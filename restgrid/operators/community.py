@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels
+from . import sequence
 from .filters import active_reports
 
 #: Fixed values.
@@ -27,6 +28,32 @@ def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 
 # reports
+def within_limit(done: DataFrame, new: DataFrame, kind: str, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows of ``new`` (created_at and keys) that LIMITS of this kind allow, after what was done before:
+    rows of ``done`` count, in order of time, and so do rows of ``new`` that were allowed."""
+    most, hours = LIMITS.get(kind, LIMITS["default"])
+    row = F.struct(*new.columns)
+    micros = F.unix_micros(F.col("created_at").cast("timestamp"))
+    both = done.select(*keys, micros.alias("_t"), F.lit(0).alias("_new"), F.lit(None).cast(new.select(row.alias("r")).schema["r"].dataType).alias("_row"), *[F.lit(None).cast(new.schema[c].dataType).alias(f"_{c}") for c in order])
+    both = both.unionByName(new.select(*keys, micros.alias("_t"), F.lit(1).alias("_new"), row.alias("_row"), *[F.col(c).alias(f"_{c}") for c in order]))
+    judged = sequence.accepted(both, keys, ["_new", *[f"_{c}" for c in order]], "_t", hours * 3600, most)
+    return judged.where("accepted and _new = 1").select("_row.*")
+
+
+def report_allowed(reports: DataFrame, new: DataFrame, as_of: Column, order: str = "report_id") -> DataFrame:
+    """Reports that pass the limit of a user at a facility, then the rule against repeats, also of
+    one another, with their expiry."""
+    fresh = submit_report(reports, within_limit(reports, new, "report", ["user_id", "facility_id"], [order]), as_of)
+    earlier = F.max("expires_at").over(Window.partitionBy("facility_id", "type").orderBy("created_at", order).rowsBetween(Window.unboundedPreceding, -1))
+    return fresh.withColumn("_until", earlier).where("_until is null or _until < created_at").drop("_until")
+
+
+def newest(rows: DataFrame, time: str, key: str, limit: int | None = None) -> DataFrame:
+    """Newest first, then by key."""
+    out = rows.orderBy(F.desc(time), key)
+    return out if limit is None else out.limit(limit)
+
+
 def submit_report(reports: DataFrame, new: DataFrame, as_of: Column) -> DataFrame:
     """New reports (facility_id, user_id, type, created_at) but those that repeat an active report
     of that type; with their expiry."""
@@ -102,11 +129,12 @@ def upsert_codes(codes: DataFrame, new: DataFrame) -> DataFrame:
     """One code for each facility and user: the newest, with the first created_at."""
     both = codes.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
     first = F.min("created_at").over(Window.partitionBy("facility_id", "user_id"))
-    return latest(both.withColumn("_first", first), ["facility_id", "user_id"], [F.desc("_new"), F.desc("created_at")]).withColumn("created_at", F.col("_first")).drop("_first", "_new")
+    tie = [c for c in codes.columns if c not in ("facility_id", "user_id", "created_at")]
+    return latest(both.withColumn("_first", first), ["facility_id", "user_id"], [F.desc("_new"), F.desc("created_at"), *tie]).withColumn("created_at", F.col("_first")).drop("_first", "_new")
 
 
 def codes_of(codes: DataFrame) -> DataFrame:
-    return codes.orderBy(F.col("is_verified").desc(), F.col("created_at").desc())
+    return codes.orderBy(F.col("is_verified").desc(), F.col("created_at").desc(), "facility_id", "user_id")
 
 
 def save_profiles(profiles: DataFrame, new: DataFrame) -> DataFrame:
@@ -116,6 +144,32 @@ def save_profiles(profiles: DataFrame, new: DataFrame) -> DataFrame:
     return new.join(have, "user_id", "left").withColumn("_place", place).where(F.coalesce("_have", F.lit(0)) + F.col("_place") <= PROFILES).drop("_have", "_place")
 
 
+def update_profiles(profiles: DataFrame, changes: DataFrame) -> DataFrame:
+    """Profiles with the values that ``changes`` (user_id, profile_id, ...) has and does not leave null."""
+    keys = ["user_id", "profile_id"]
+    values = [c for c in changes.columns if c not in keys]
+    new = changes.select(*keys, *[F.col(c).alias(f"_{c}") for c in values])
+    out = profiles.join(new, keys, "left")
+    return out.withColumns({c: F.coalesce(f"_{c}", c) for c in values}).select(profiles.columns)
+
+
+def delete_profiles(profiles: DataFrame, gone: DataFrame) -> DataFrame:
+    return profiles.join(gone.select("user_id", "profile_id"), ["user_id", "profile_id"], "left_anti")
+
+
+def apply_profile(preferences: DataFrame, profiles: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Preferences of users, replaced by those of the profile that each chose."""
+    values = [c for c in preferences.columns if c != "user_id"]
+    mine = chosen.join(profiles, ["user_id", "profile_id"]).select("user_id", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in values])
+    out = preferences.join(mine, "user_id", "left")
+    return out.withColumns({c: F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)) for c in values}).select(preferences.columns)
+
+
+def review_report_rows(reported: DataFrame, as_of: Column) -> DataFrame:
+    """Moderation rows of reviews that users reported, each user's report of a review once."""
+    return reported.dropDuplicates(["review_id", "user_id"]).select("review_id", "user_id", "reason", F.lit("pending").alias("status"), as_of.alias("created_at"))
+
+
 def moderate_photos(photos: DataFrame, reported: DataFrame) -> DataFrame:
     """Photos that were reported go back to pending."""
     hit = reported.select("photo_id").distinct().withColumn("_hit", F.lit(True))

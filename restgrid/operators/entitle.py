@@ -26,7 +26,7 @@ def resolve(users: DataFrame, found: DataFrame, as_of: Column) -> DataFrame:
     """(user_id, tier, source, is_lifetime): the first of sdk, server, fresh cache that is active;
     no end means for life; of one source the highest tier, then the latest end; else free."""
     active = found.where(F.col("is_active") & (F.col("expires_at").isNull() | (F.col("expires_at") > as_of)))
-    active = active.where((F.col("source") != "cache") | (as_of - F.col("cached_at") <= F.expr("interval 24 hours")))
+    active = active.where("source <> 'cache'").unionByName(fresh_cache(active.where("source = 'cache'"), as_of))
     order = F.array_position(F.array(*map(F.lit, SOURCES)), F.col("source"))
     n = F.row_number().over(Window.partitionBy("user_id").orderBy(order, F.desc(tier_rank(F.col("tier"))), F.desc(F.col("expires_at").isNull()), F.desc("expires_at")))
     best = active.withColumn("_n", n).where("_n = 1").select("user_id", "tier", "source", F.col("expires_at").isNull().alias("is_lifetime"))

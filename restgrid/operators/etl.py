@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cleaning as c
 
 STALE_DAYS = 7
+#: Columns that an import sets.
+IMPORTED = ["name", "latitude", "longitude", "address", "town", "is_accessible", "has_baby_changing", "requires_radar_key", "is_free"]
 BLANK, NUMBER, OUTSIDE = "missing id", "non-numeric coordinates", "outside the country"
 
 
@@ -47,13 +49,15 @@ def normalise(raw: DataFrame) -> DataFrame:
 
 
 def plan_merge(staged: DataFrame, sources: DataFrame, reactivate: bool = True) -> DataFrame:
-    """Staged rows with ``action``: insert, update (newer than the stored row, or that has no time)
-    or unchanged; ``facility_id`` of the current source row.  Without ``reactivate`` a record once
-    marked gone is inserted anew; with it, it is found again."""
+    """Staged rows with ``action``: insert, update (newer than the stored row, or one of both has no
+    time) or unchanged; ``facility_id`` of the record's source row: the current one, then the one
+    seen last, then the smallest facility.  Without ``reactivate`` a record once marked gone is
+    inserted anew; with it, it is found again."""
     known = sources if reactivate else sources.where("is_current")
-    known = known.select("source_record_id", "facility_id", F.col("updated_at").alias("_had"))
+    n = F.row_number().over(Window.partitionBy("source_record_id").orderBy(F.desc("is_current"), F.desc("last_seen_at"), "facility_id"))
+    known = known.withColumn("_n", n).where("_n = 1").select("source_record_id", "facility_id", F.col("updated_at").alias("_had"))
     out = staged.join(known, "source_record_id", "left")
-    newer = F.col("_had").isNull() | (F.col("_had") < F.col("source_updated_at"))
+    newer = F.col("_had").isNull() | F.col("source_updated_at").isNull() | (F.col("_had") < F.col("source_updated_at"))
     return out.withColumn("action", F.when(F.col("facility_id").isNull(), "insert").when(newer, "update").otherwise("unchanged")).drop("_had")
 
 
@@ -65,12 +69,43 @@ def merge_sources(sources: DataFrame, planned: DataFrame, as_of: Column) -> Data
     gone = F.col("last_seen_at") < as_of - F.make_dt_interval(F.lit(STALE_DAYS))
     return out.select(
         "source_record_id", "facility_id",
-        F.when(F.col("action") == "update", F.col("source_updated_at")).otherwise(F.col("updated_at")).alias("updated_at"),
+        F.when(F.col("action") == "update", F.coalesce("source_updated_at", as_of)).otherwise(F.col("updated_at")).alias("updated_at"),
         F.when(hit, True).when(gone, False).otherwise(F.col("is_current")).alias("is_current"),
         F.when(hit, as_of).otherwise(F.col("last_seen_at")).alias("last_seen_at"),
     )
 
 
+def merged_sources(sources: DataFrame, planned: DataFrame, as_of: Column, new_id: Column) -> DataFrame:
+    """``merge_sources``, and a source row for each record that is new; ``new_id``: its facility."""
+    made = planned.where("action = 'insert'").select("source_record_id", new_id.alias("facility_id"), F.coalesce("source_updated_at", as_of).alias("updated_at"), F.lit(True).alias("is_current"), as_of.alias("last_seen_at"))
+    return merge_sources(sources, planned, as_of).unionByName(made)
+
+
+def merged_facilities(facilities: DataFrame, planned: DataFrame, new_id: Column, status: str = "source_imported") -> DataFrame:
+    """Facilities after a run: IMPORTED columns of updated ones are the source's, confirmed ones keep
+    their status, records that are new become published facilities with ``new_id``."""
+    rows = planned.where("action <> 'unchanged'")
+    known = rows.where("action = 'update'").select("facility_id", F.struct(*IMPORTED).alias("_new"))
+    out = facilities.join(known, "facility_id", "left")
+    hit = F.col("_new").isNotNull()
+    changed = {c: F.when(hit, F.col("_new")[c]).otherwise(F.col(c)) for c in IMPORTED}
+    changed["verification_status"] = F.when(hit, keep_stronger_status(F.col("verification_status"), F.lit(status))).otherwise(F.col("verification_status"))
+    out = out.withColumns(changed).select("facility_id", *IMPORTED, "publication_status", "verification_status")
+    made = rows.where("action = 'insert'").select(new_id.alias("facility_id"), *IMPORTED, F.lit("published").alias("publication_status"), F.lit(status).alias("verification_status"))
+    return out.unionByName(made)
+
+
+def append_staging(rows: DataFrame, run: str, path: str) -> None:
+    """Normalised rows of one run, beside those of other runs."""
+    rows.withColumn("run_id", F.lit(run)).write.mode("append").partitionBy("run_id").parquet(path)
+
+
+def dry_run(raw: DataFrame, rows: int = 5) -> tuple[DataFrame, DataFrame]:
+    """What an import would read: (received, valid, quarantined) and the first rows by id."""
+    checked = with_errors(raw).agg(F.count("*").alias("received"), F.count_if(F.size("errors") == 0).alias("valid"), F.count_if(F.size("errors") > 0).alias("quarantined"))
+    return checked, normalise(raw).orderBy("source_record_id").limit(rows)
+
+
 def stale_facilities(facilities: DataFrame, sources: DataFrame) -> DataFrame:
     """Facilities that had a source and have no current one; null ids in sources match nothing."""
     had = sources.where("facility_id is not null").groupBy("facility_id").agg(F.max(F.col("is_current").cast("int")).alias("_current"))

@@ -27,7 +27,7 @@ def region_metadata(rows: DataFrame, town: str, downloaded_ms: int) -> DataFrame
 def merge_rows(stored: DataFrame, new: DataFrame) -> DataFrame:
     """Insert or replace by facility: a facility is in the region that came last."""
     both = stored.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    n = F.row_number().over(Window.partitionBy("facility_id").orderBy(F.desc("_new")))
+    n = F.row_number().over(Window.partitionBy("facility_id").orderBy(F.desc("_new"), "region_id"))
     return both.withColumn("_n", n).where("_n = 1").drop("_n", "_new")
 
 

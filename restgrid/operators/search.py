@@ -30,6 +30,14 @@ def search(facilities: DataFrame, term: str, limit: int = SEARCH_CAP) -> DataFra
     return found.orderBy(F.col("overall_score").desc_nulls_first(), "facility_id").limit(limit)
 
 
+def listed(found: DataFrame, by: str, lat: float, lng: float) -> DataFrame:
+    """A list in order of distance, or of rating with unrated ones last; then by name and id."""
+    if by not in ("distance", "rating"):
+        raise ValueError("by is 'distance' or 'rating'")
+    found = found.withColumn("distance_metres", geo.metres(lat, lng, F.col("latitude"), F.col("longitude")))
+    return found.orderBy(F.col("distance_metres") if by == "distance" else F.col("overall_score").desc_nulls_last(), "name", "facility_id")
+
+
 def nearest(facilities: DataFrame, lat: float, lng: float, radius_m: float, k: int) -> DataFrame:
     """The k nearest published facilities by whole metres, then id."""
     if not -90 <= lat <= 90 or not -180 <= lng <= 180 or radius_m <= 0 or k < 1:

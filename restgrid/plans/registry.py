@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import geo, hours, labels, scoring
+from ..functions import cleaning, geo, hours, labels, scoring
 from ..operators import alerts, cluster, community, entitle, etl, filters, offline, recommend, route, search, sequence
 from ..sources import files
 from .fixtures import AS_OF, MINUTE, sql, table, view
@@ -207,7 +207,7 @@ def _(spark, sf):
     return facilities(spark, sf).select("facility_id", scoring.preference_score(PREFERENCES).alias("preference"), F.array_join(scoring.matches(PREFERENCES), ", ").alias("matches"))
 
 
-@query("location_codes", "select facility_id, concat('///', list_extract(['calm','quiet','soft','warm','gentle','peaceful','serene','tranquil'], cast(floor(h)%8 as int)+1), '.', list_extract(['comfort','relief','ease','rest','calm','haven','refuge','shelter'], cast(floor(h/8.0)%8 as int)+1), '.', list_extract(['maple','willow','birch','oak','pine','elm','ash','holly'], cast(floor(h/64.0)%8 as int)+1)) as words, format('{:.6f}, {:.6f}', latitude, longitude) as coordinates from (select *, abs(latitude*10000.0e0+longitude*10000.0e0) as h from facilities)", "facilities")
+@query("location_codes", "select facility_id, concat('///', list_extract(['amber','bright','clear','early','fresh','green','light','round'], cast(floor(h)%8 as int)+1), '.', list_extract(['bridge','corner','garden','harbour','market','meadow','square','valley'], cast(floor(h/8.0)%8 as int)+1), '.', list_extract(['cedar','heron','lantern','marble','pebble','river','saddle','thistle'], cast(floor(h/64.0)%8 as int)+1)) as words, format('{:.6f}, {:.6f}', latitude, longitude) as coordinates from (select *, abs(latitude*10000.0e0+longitude*10000.0e0) as h from facilities)", "facilities")
 def _(spark, sf):
     lat, lng = F.col("latitude"), F.col("longitude")
     return facilities(spark, sf).select("facility_id", geo.simulated_words(lat, lng).alias("words"), geo.coordinate_text(lat, lng).alias("coordinates"))
@@ -364,16 +364,17 @@ def _(spark, sf):
     return community.expire(_reports(spark, sf), now()).select("report_id", "is_expired")
 
 
-@query("duplicate_reports", "select report_id, facility_id, type from (select *, max(expires_at) over (partition by facility_id, type order by created_at, report_id rows between unbounded preceding and 1 preceding) as until from reports) where until >= created_at", "reports")
+@query("duplicate_reports", "select report_id, facility_id % 5 as facility_id, type from (select *, max(expires_at) over (partition by facility_id % 5, type order by created_at, report_id rows between unbounded preceding and 1 preceding) as until from reports) where until >= created_at", "reports")
 def _(spark, sf):
-    return community.duplicates(_reports(spark, sf)).select("report_id", "facility_id", "type")
+    # few facilities, so that reports overlap
+    return community.duplicates(_reports(spark, sf).withColumn("facility_id", F.col("facility_id") % 5)).select("report_id", "facility_id", "type")
 
 
-@query("resolve_report", f"select report_id, case when report_id=5 and user_id=(select user_id from reports where report_id=5) then true else is_expired end as is_expired, case when report_id=5 then {AS_OF} else expires_at end as expires_at from reports where report_id < 20", "reports")
+@query("resolve_report", f"select report_id, case when report_id=5 and user_id=(select user_id from reports where report_id=5) then true else is_expired end as is_expired, case when report_id=5 then {AS_OF} else expires_at end as expires_at from reports", "reports")
 def _(spark, sf):
     reports = _reports(spark, sf)
     user = reports.where("report_id = 5").first()
-    return community.resolve(reports, 5, user.user_id if user else -1, now()).where("report_id < 20").select("report_id", "is_expired", "expires_at")
+    return community.resolve(reports, 5, user.user_id if user else -1, now()).select("report_id", "is_expired", "expires_at")
 
 
 @query("report_expiry", f"select report_id, {_REPORT_LABEL} as label, created_at + to_hours(case type when 'out_of_order' then 4 when 'cleaning' then 1 when 'busy' then 1 when 'closed' then 2 when 'no_water' then 4 else 2 end) as expires_at from reports", "reports")
@@ -553,3 +554,115 @@ def _(spark, sf):
     return tiers.select("user_id", entitle.opens(F.col("tier"), F.lit("basic")).alias("opens"))
 
 
+
+# --- lists, limits and moderation ------------------------------------------------------------
+
+
+def _listed(by, order):
+    @query(f"list_by_{by}", f"select facility_id, distance_metres, cast(row_number() over (order by {order}, name, facility_id) as int) as place from (select *, {_m_sql(LAT, LNG)} as distance_metres from facilities where {_box_sql(LAT, LNG, 20)}) qualify place <= 100", "facilities")
+    def _(spark, sf):
+        got = search.listed(search.nearby(facilities(spark, sf), LAT, LNG, 20), by, LAT, LNG).limit(100)
+        # of the hundred rows that a screen shows
+        order_by = F.col("distance_metres") if by == "distance" else F.col("overall_score").desc_nulls_last()
+        return got.withColumn("place", F.row_number().over(Window.orderBy(order_by, "name", "facility_id"))).select("facility_id", "distance_metres", "place")
+
+
+_listed("distance", "distance_metres")
+_listed("rating", "overall_score desc nulls last")
+
+
+@query("subscription_events_newest", "select event_id, user_id, ts from events where event_type in ('purchase', 'signup') order by ts desc, event_id limit 20")
+def _(spark, sf):
+    return community.newest(table(spark, sf, "events").where("event_type in ('purchase', 'signup')"), "ts", "event_id", 20).select("event_id", "user_id", "ts")
+
+
+@query("reports_newest", "select report_id, created_at from reports where user_id = 7 order by created_at desc, report_id", "reports")
+def _(spark, sf):
+    return community.newest(_reports(spark, sf).where("user_id = 7"), "created_at", "report_id").select("report_id", "created_at")
+
+
+@query("geocoded_town", "select latitude, longitude from facilities where lower(town) = 'brand#5' and is_verified order by facility_id limit 1", "facilities")
+def _(spark, sf):
+    return route.geocode(facilities(spark, sf), TOWN.upper())
+
+
+@query("valid_json", "select source_key, case when json_valid(areas) then areas end as areas from source_rows", "source_rows")
+def _(spark, sf):
+    return _source(spark, sf).select("source_key", cleaning.json_or_null(F.col("areas")).alias("areas"))
+
+
+@query("region_catalogue", "select town, count(*) as n, 1700000000000 + max(facility_id) as downloaded_ms from facilities where is_verified group by town", "facilities")
+def _(spark, sf):
+    regions = facilities(spark, sf).where("is_verified").groupBy("town").agg(F.count("*").alias("n"), (F.lit(1_700_000_000_000) + F.max("facility_id")).alias("downloaded_ms"))
+    return offline.catalogue(regions.withColumn("region_id", F.col("town"))).select("town", "n", "downloaded_ms")
+
+
+def _photos(spark, sf):
+    return table(spark, sf, "events").select(F.col("event_id").alias("photo_id"), (F.col("event_id") % 200).alias("facility_id"), F.when(F.col("event_id") % 3 == 0, "pending").otherwise("approved").alias("status"))
+
+
+@query("approved_photos", "select event_id as photo_id from events where event_id % 200 = 7 and event_id % 3 <> 0 and event_id % 4 <> 0")
+def _(spark, sf):
+    photos = _photos(spark, sf)
+    return community.approved_photos(community.moderate_photos(photos, photos.where("photo_id % 4 = 0")), 7).select("photo_id")
+
+
+@query("reported_reviews", f"select distinct event_id % 100 as review_id, user_id, 'spam' as reason, 'pending' as status, {AS_OF} as created_at from events where event_type = 'error'")
+def _(spark, sf):
+    rows = table(spark, sf, "events").where("event_type = 'error'").select((F.col("event_id") % 100).alias("review_id"), "user_id", F.lit("spam").alias("reason"))
+    return community.review_report_rows(rows, now())
+
+
+@query("access_codes_listed", "select event_id % 200 as facility_id, user_id, event_id % 2 = 0 as is_verified, ts as created_at from events where event_type = 'click'")
+def _(spark, sf):
+    rows = table(spark, sf, "events").where("event_type = 'click'").select((F.col("event_id") % 200).alias("facility_id"), "user_id", (F.col("event_id") % 2 == 0).alias("is_verified"), F.col("ts").alias("created_at"))
+    return community.codes_of(rows)
+
+
+@query("alerts_switched_off", "select user_id, facility_id, not (user_id % 5 = 0) as enabled from favourites where user_id % 3 <> 0 union all select user_id, facility_id, false from favourites where user_id % 15 = 0", "favourites")
+def _(spark, sf):
+    favourites = view(spark, sf, "favourites")
+    have = favourites.where("user_id % 3 <> 0").select("user_id", "facility_id", F.lit(0).alias("position"), F.lit(True).alias("enabled"), F.lit(True).alias("closure_alerts"), F.lit(True).alias("update_alerts"))
+    return alerts.switch(have, favourites.where("user_id % 5 = 0"), False).select("user_id", "facility_id", "enabled")
+
+
+@query("badges_explorer", "select user_id, count(*) as n from events where event_type = 'signup' group by user_id", "reports")
+def _(spark, sf):
+    made = table(spark, sf, "events").where("event_type = 'signup'")
+    return community.badges(made, _reports(spark, sf), view(spark, sf, "corrections")).where("badge_type = 'explorer'").select("user_id", "n")
+
+
+@query("corrections_allowed", _ACCEPTED_SQL.format(key="user_id", source="(select * from events where event_type = 'click')", width=86_400_000_000, most=5).replace("select event_id, accepted from run", "select event_id as correction_id from run where accepted"))
+def _(spark, sf):
+    rows = view(spark, sf, "corrections")
+    return community.within_limit(rows.limit(0), rows, "correction", ["user_id"], ["correction_id"]).select("correction_id")
+
+
+@query("profiles_changed", "select event_id as profile_id, user_id, case when event_id % 4 = 0 then 'new' else event_type end as label from events where event_id % 7 <> 0")
+def _(spark, sf):
+    rows = table(spark, sf, "events").select("user_id", F.col("event_id").alias("profile_id"), F.col("event_type").alias("label"))
+    changed = community.update_profiles(rows, rows.where("profile_id % 4 = 0").select("user_id", "profile_id", F.lit("new").alias("label")))
+    return community.delete_profiles(changed, rows.where("profile_id % 7 = 0")).select("profile_id", "user_id", "label")
+
+
+_NEW_ID = 1_000_000_000
+
+
+@query("import_merged_facilities", _MERGE_SQL + f""" select f.facility_id, coalesce(case when p.action = 'update' then p.name end, f.name) as name, case when p.action = 'update' then p.latitude else f.latitude end as latitude,
+ case when p.action = 'update' then p.is_free else f.is_free end as is_free, publication_status, case when is_verified then 'confirmed' else 'source_imported' end as verification_status from facilities f left join p on p.facility_id = f.facility_id
+ union all select source_key + {_NEW_ID}, name, latitude, is_free, 'published', 'source_imported' from p where action = 'insert'""", "facilities", "source_rows")
+def _(spark, sf):
+    planned, _ = _merge(spark, sf)
+    have = facilities(spark, sf).withColumns({"requires_radar_key": F.lit(None).cast("boolean"), "verification_status": F.when(F.col("is_verified"), "confirmed").otherwise("source_imported")})
+    return etl.merged_facilities(have, planned, F.col("source_key") + _NEW_ID).select("facility_id", "name", "latitude", "is_free", "publication_status", "verification_status")
+
+
+@query("import_merged_sources", _MERGE_SQL + _STORED_SQL + f" select facility_id, is_current from q union all select source_key + {_NEW_ID}, true from p where action = 'insert'", "source_rows")
+def _(spark, sf):
+    planned, stored = _merge(spark, sf)
+    return etl.merged_sources(stored, planned, now(), F.col("source_key") + _NEW_ID).select("facility_id", "is_current")
+
+
+@query("import_dry_run", f"with n as ({_NORMAL_SQL}) select source_record_id, name from n order by source_record_id limit 5", "source_rows")
+def _(spark, sf):
+    return etl.dry_run(_source(spark, sf))[1].select("source_record_id", "name")
