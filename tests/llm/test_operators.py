@@ -167,6 +167,17 @@ def test_lm_scores(docs, empty, block):
     assert scoring.score(empty)[0].count() == 0
 
 
+def test_keys_of_requests():
+    r = np.random.default_rng(5)
+    for n in (1, 2, 5_000):
+        keys = np.sort(r.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        assert (scoring.unpack_keys(scoring.pack_keys(keys, 3), n, 3) == keys >> np.uint64(10)).all()
+        assert (scoring.unpack_keys(scoring.pack_keys(keys, 1), n, 1) == keys & np.uint64((1 << 48) - 1)).all()
+    dense = np.uint64(7 << 50) + np.sort(r.integers(0, 1 << 55, 4_000).astype(np.uint64))
+    assert len(scoring.pack_keys(dense, 2)) == 8 + 5 * 4_000
+    assert (scoring.unpack_keys(scoring.pack_keys(dense, 2), 4_000, 2) == dense >> np.uint64(10)).all()
+
+
 def _automaton(texts):
     """The automaton of these texts, all of them learned from."""
     words = sorted({w for t in texts for w in t})
