@@ -66,7 +66,8 @@ def _file_system(spark: SparkSession, path: str):
 
 
 def discard_at_exit(spark: SparkSession, path: str) -> None:
-    """Results are read from staged tables lazily, so these go when the session's process ends."""
+    """Results are read from staged tables lazily, so these go when the session's process ends.
+    Only a path that exists can be named for that."""
     files, at = _file_system(spark, path)
     files.deleteOnExit(at)
 
@@ -77,13 +78,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    discard_at_exit(spark, path)
     schema, before = df.schema, spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        discard_at_exit(spark, path)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -294,9 +294,11 @@ def convert(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     small_batches(spark)
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    discard_at_exit(spark, path)
     records = read_arc(pages_to_arc(pages))
-    write_warc(records, originals(payloads(records)), path)
+    try:
+        write_warc(records, originals(payloads(records)), path)
+    finally:
+        discard_at_exit(spark, path)
     return read_warc(spark, path)
 
 

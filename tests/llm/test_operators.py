@@ -56,6 +56,19 @@ def test_shared_keys_spans_tasks(spark):
     assert len(got) == 7 and all(r.n in (7, 8) for r in got)
 
 
+def test_written_tables_go_at_exit(spark, tmp_path, monkeypatch):
+    for module in (common, warc):
+        monkeypatch.setattr(module, "shared_dir", lambda spark: str(tmp_path))
+    common.stage(spark.range(3), "some-table")
+    pages = spark.createDataFrame([(1, "http://a.example/", "x" * 200)], "page_id long, url string, html string")
+    assert warc.convert(pages).count() == 1
+    written = [p for p in tmp_path.iterdir() if p.is_dir()]
+    assert len(written) >= 2
+    for p in written:
+        files, at = common._file_system(spark, str(p))
+        assert files.cancelDeleteOnExit(at), p
+
+
 def test_components(spark):
     r = random.Random(3)
     links = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)]
