@@ -339,6 +339,24 @@ def test_two_passages_of_one_chain(spark):
     assert _found(spark, texts) == [(2, 1, 0, 60), (2, 1, 260, 320)]
 
 
+def test_earlier_places_of_hot_keys(spark, monkeypatch):
+    r = random.Random(8)
+    rows = [(key, r.randint(0, 1) * 10**6 + r.randint(0, 40), r.randint(0, 9), int(key == 3)) for key, n in ((1, 90), (2, 4), (3, 60), (4, 11)) for _ in range(n)]
+    rows += [(5, 7, a, 0) for a in range(30)]
+    shared = spark.createDataFrame(rows, "key long, doc long, a long, b long")
+
+    def best(key, doc, a, b):
+        before = sorted((d, x) for k, d, x, _ in rows if k == key and d < doc)
+        return (doc, a, b, before[0] if before else None, before[-1] if before and not b else None)
+
+    want = sorted(map(repr, (best(*row) for row in rows)))
+    for hot, sent in ((10, 10_000), (10, 0), (10_000, 10_000)):
+        monkeypatch.setattr(chains, "HOT_ROWS", hot)
+        monkeypatch.setattr(chains, "MOST_SENT", sent)
+        got = chains.earlier_places(shared).collect()
+        assert sorted(repr((p.doc, p.a, p.b, p.first and tuple(p.first), p.before and tuple(p.before))) for p in got) == want
+
+
 def test_pieces_hold_every_passage_of_a_chain():
     r = random.Random(12)
     for _ in range(40):
