@@ -1,12 +1,14 @@
 """Toxicity: a factorization machine over hashed terms.
 
 Terms are lower-cased runs without white space and ASCII punctuation, and their beginnings of
-PREFIXES bytes, hashed to 64 bits.  The
-machine is fitted on a bounded sample of labelled rows (``MOST_LABELLED``, the smallest seeded
-hashes of doc_id) over the ``MOST_TERMS`` terms that tell the classes apart best, in one task of
-fixed size; its weights are a table of bounded size.  Scoring covers every whole text.
+PREFIXES bytes, hashed to BUCKETS buckets: every term has one, none is cut.  A bucket's value
+grows from 0 to 1 with how well it tells the classes apart (chi-square against CALM), so that
+the many which tell nothing stay quiet.  The machine is fitted on a bounded sample of labelled
+rows (``MOST_LABELLED``, the smallest seeded hashes) in one task, by STEPS batches of BATCH rows;
+what that task holds is bounded by the sample and the buckets.  The model has the size of the
+buckets.  Scoring covers every whole text.
 
-score = sigmoid(b + sum w_i + sum over pairs of <v_i, v_j>) over the distinct chosen terms.
+score = sigmoid(b + sum w_i + sum over pairs of <v_i, v_j>) over a text's distinct buckets.
 
 Defined cases: null and empty texts score the bias alone; rows with a null label or doc_id are
 not learned from; with no labels at all every score is 0; repeated rows score alike.
@@ -20,14 +22,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Bytes, chunks, documents, ids_of, mix
+from .common import Bytes, chunks, documents, mix
 
 MOST_LABELLED = 12_000
-MOST_TERMS = 2_048
-LEAST_TEXTS = 3
+BUCKET_BITS = 17
+BUCKETS = 1 << BUCKET_BITS
+CALM = 200.0
 FACTORS = 6
-ROUNDS = 120
-RATE = 0.1
+STEPS = 240
+BATCH = 256
+RATE = 0.03
 SEED = 7
 THRESHOLD = 0.3
 #: Bytes of the word beginnings that stand beside whole terms: inflected words share them.
@@ -36,7 +40,8 @@ PREFIXES = (4, 5, 6)
 _GAPS = np.zeros(256, bool)
 _GAPS[[*range(0, 48), *range(58, 65), *range(91, 97), *range(123, 128)]] = True
 
-MODEL = "term bigint, weight double, factors array<double>"
+#: weights: BUCKETS doubles; factors: BUCKETS x FACTORS doubles.
+MODEL = "bias double, weights binary, factors binary"
 
 
 def _terms(b: Bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -59,12 +64,15 @@ def _terms(b: Bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(texts)
 
 
-def _distinct(a: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((a, text))
-    a, text = a[order], text[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (text[1:] != text[:-1])
-    return a[new], text[new]
+def _buckets(b: Bytes, used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, text number), each pair once, by text; ``used``: only buckets marked there."""
+    h, text = _terms(b)
+    at = (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    if used is not None:
+        hit = used[at]
+        at, text = at[hit], text[hit]
+    pair = np.unique((text << BUCKET_BITS) | at)
+    return pair & (BUCKETS - 1), pair >> BUCKET_BITS
 
 
 def held_out(modulus: int, remainder: int):
@@ -78,83 +86,86 @@ def _machine(rows, cols, n, w, v, b):
     return b + np.bincount(rows, w[cols], n) + 0.5 * ((s**2).sum(1) - q), s
 
 
-def _fit(rows, cols, y, terms) -> tuple[np.ndarray, np.ndarray, float]:
-    """Adam on the mean logistic loss with a light L2 penalty."""
-    rng = np.random.default_rng(SEED)
-    n = len(y)
-    p = {"w": np.zeros(terms), "v": rng.normal(0, 0.01, (terms, FACTORS)), "b": np.array(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))}
+def _values(rows, cols, y) -> np.ndarray:
+    """Value of each bucket, 0 to 1: chi-square of bucket and label against CALM."""
+    have, toxic = np.bincount(cols, minlength=BUCKETS), np.bincount(cols, y[rows], BUCKETS)
+    expect = have * y.mean()
+    apart = (toxic - expect) ** 2 / np.maximum(expect, 1e-9) / np.maximum(1 - y.mean(), 1e-9)
+    return apart / (apart + CALM)
+
+
+def _fit(rows, cols, y) -> tuple[np.ndarray, np.ndarray, float]:
+    """Adam on the logistic loss of seeded batches with a light L2 penalty; ``rows`` ascend.
+    The buckets' values are multiplied into the weights and factors that are returned."""
+    rng, n = np.random.default_rng(SEED), len(y)
+    value = _values(rows, cols, y)
+    live = value[cols] > 0
+    rows, cols = rows[live], cols[live]
+    first_of = np.searchsorted(rows, np.arange(n + 1))
+    p = {"w": np.zeros(BUCKETS), "v": rng.normal(0, 0.01, (BUCKETS, FACTORS)), "b": np.array(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))}
     first, second = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    for t in range(1, ROUNDS + 1):
-        z, s = _machine(rows, cols, n, p["w"], p["v"], p["b"])
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-        at = g[rows]
-        grad = {"w": np.bincount(cols, at, terms) + 1e-6 * p["w"], "b": g.sum()}
-        pull = np.bincount(cols, at, terms)
-        grad["v"] = np.stack([np.bincount(cols, at * s[rows, f], terms) for f in range(FACTORS)], 1) - pull[:, None] * p["v"] + 1e-5 * p["v"]
+    order = np.zeros(0, np.int64)
+    for t in range(1, STEPS + 1):
+        if len(order) < min(BATCH, n):
+            order = rng.permutation(n)
+        some, order = order[:BATCH], order[BATCH:]
+        size = first_of[some + 1] - first_of[some]
+        at, to = np.repeat(np.arange(len(some)), size), np.cumsum(size)
+        c = cols[np.arange(size.sum()) + np.repeat(first_of[some] - to + size, size)]
+        x = value[c]
+        vx = p["v"][c] * x[:, None]
+        z, s = _machine(at, np.arange(len(c)), len(some), p["w"][c] * x, vx, p["b"])
+        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[some]) / len(some)
+        pull = g[at] * x
+        grad = {"w": np.bincount(c, pull, BUCKETS) + 1e-5 * p["w"], "b": g.sum()}
+        grad["v"] = np.stack([np.bincount(c, pull * (s[at, f] - vx[:, f]), BUCKETS) for f in range(FACTORS)], 1) + 1e-5 * p["v"]
         for k in p:
             first[k] = 0.9 * first[k] + 0.1 * grad[k]
             second[k] = 0.99 * second[k] + 0.01 * grad[k] ** 2
             p[k] = p[k] - RATE * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.99**t)) + 1e-8)
-    return p["w"], p["v"], float(p["b"])
+    return p["w"] * value, p["v"] * value[:, None], float(p["b"])
 
 
 def _train(table: pa.Table) -> pa.Table:
-    """The model of one bounded sample; term null: the bias."""
+    """The model of one bounded sample; the order of its rows is that of their hashes."""
+    table = table.sort_by("place")
     y = table["toxic"].to_numpy().astype(float)
-    lists = table["terms"].combine_chunks()
+    lists = table["buckets"].combine_chunks()
     size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-    rows, term = np.repeat(np.arange(len(y)), size), lists.flatten().to_numpy(zero_copy_only=False)
-    kinds, inverse = np.unique(term, return_inverse=True)
-    have, toxic = np.bincount(inverse, minlength=len(kinds)), np.bincount(inverse, y[rows], len(kinds))
-    expect = have * y.mean()
-    apart = np.where(have >= LEAST_TEXTS, (toxic - expect) ** 2 / np.maximum(expect, 1e-9) / np.maximum(1 - y.mean(), 1e-9), -1.0)
-    chosen = np.sort(np.lexsort((kinds, -apart))[:MOST_TERMS])
-    chosen = chosen[apart[chosen] > 0]
-    number = np.full(len(kinds), -1)
-    number[chosen] = np.arange(len(chosen))
-    keep = number[inverse] >= 0
-    w, v, b = _fit(rows[keep], number[inverse][keep], y, len(chosen))
-    return pa.table({"term": pa.array([None, *kinds[chosen].tolist()], pa.int64()), "weight": pa.array([b, *w.tolist()]), "factors": pa.array([[0.0] * FACTORS, *v.tolist()], pa.list_(pa.float64()))})
+    w, v, b = _fit(np.repeat(np.arange(len(y)), size), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), y)
+    return pa.table({"bias": [b], "weights": [w.tobytes()], "factors": [v.tobytes()]})
 
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2) -> list:
-    """Model rows, MOST_TERMS + 1 at most; none without labels."""
+    """The model as one row; none without labels."""
     few = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(modulus, remainder)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     few = few.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id", "toxic").limit(MOST_LABELLED)
 
-    def terms(batches):
+    def buckets(batches):
         for batch in batches:
             for part, b in chunks([batch]):
-                h, text = _distinct(*_terms(b))
+                at, text = _buckets(b)
                 cuts = np.searchsorted(text, np.arange(part.num_rows + 1)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(np.zeros(part.num_rows, np.int32))], names=["toxic", "terms", "one"])
+                lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(at.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists, pa.array(np.zeros(part.num_rows, np.int32))], names=["place", "toxic", "buckets", "one"])
 
-    found = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("toxic", "text")
-    return found.mapInArrow(terms, "toxic int, terms array<bigint>, one int").groupBy("one").applyInArrow(_train, MODEL).collect()
+    found = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select(F.xxhash64(F.lit(SEED), "doc_id", "toxic", "text").alias("place"), "toxic", "text")
+    found = found.mapInArrow(buckets, "place bigint, toxic int, buckets array<int>, one int")
+    # once more, as ids may repeat
+    return found.orderBy("place").limit(MOST_LABELLED).groupBy("one").applyInArrow(_train, MODEL).collect()
 
 
 def score(docs: DataFrame, model: list) -> DataFrame:
     """doc_id and score of every row."""
-    bias = next((r.weight for r in model if r.term is None), None)
-    rest = sorted(((r.term % (1 << 64), r.weight, r.factors) for r in model if r.term is not None), key=lambda r: r[0])
-    term = np.array([r[0] for r in rest], np.uint64)
-    w, v = np.array([r[1] for r in rest]), np.array([r[2] for r in rest], float).reshape(len(rest), FACTORS)
+    bias = model[0].bias if model else -np.inf
+    w = np.frombuffer(model[0].weights) if model else np.zeros(BUCKETS)
+    v = np.frombuffer(model[0].factors).reshape(BUCKETS, FACTORS) if model else np.zeros((BUCKETS, FACTORS))
 
     def scores(batches):
-        maybe = np.zeros(1 << 20, bool)
-        maybe[(term & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        used = (w != 0) | (v != 0).any(1)
         for part, b in chunks(batches):
-            n = part.num_rows
-            z = np.full(n, bias if bias is not None else -np.inf)
-            if len(term):
-                h, text = _terms(b)
-                hit = maybe[(h & np.uint64((1 << 20) - 1)).astype(np.int64)]
-                h, text = h[hit], text[hit]
-                at = np.minimum(np.searchsorted(term, h), len(term) - 1)
-                hit = term[at] == h
-                cols, rows = _distinct(at[hit], text[hit])
-                z, _ = _machine(rows, cols, n, w, v, bias)
+            cols, rows = _buckets(b, used)
+            z, _ = _machine(rows, cols, part.num_rows, w, v, bias)
             with np.errstate(over="ignore"):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(1 / (1 + np.exp(-z)))], names=["doc_id", "score"])
 

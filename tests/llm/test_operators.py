@@ -2,10 +2,12 @@ import gzip
 import hashlib
 import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from restgrid.llm import chains, common, jaccard, mixing, pieces, quality, scoring, suffixes, toxicity, warc
@@ -544,7 +546,8 @@ def test_toxicity_learns_insults(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     marks = spark.createDataFrame([*labels, (None, 1), (5, None)], "doc_id long, toxic int")
     model = toxicity.fit(docs, marks)
-    assert len(model) <= toxicity.MOST_TERMS + 1
+    assert len(model) == 1 and len(model[0].weights) == 8 * toxicity.BUCKETS
+    assert toxicity.fit(docs.repartition(3), marks) == model
     got = toxicity.score(docs, model).collect()
     assert len(got) == len(rows) and all(0 <= x.score <= 1 for x in got)
     held = {r.doc_id for r in docs.where(toxicity.held_out(4, 2)).collect()}
@@ -560,6 +563,30 @@ def test_machine_scores_pairs():
     assert math.isclose(z[0], 0.5 + 0.2 + (0.5 + 0 + 2.0))
 
 
+def test_machine_against_all_pairs(spark):
+    r = random.Random(8)
+    bucket = lambda term: int(toxicity._buckets(common.Bytes(pa.array([term])))[0][0])
+    terms = ["ab", "fool", "fools", "naïve", "x", "été"]
+    texts = [None, "", " ,.; ", *(" ".join(r.choice(terms) + r.choice([",", "", "!"]) for _ in range(r.randint(1, 12))) for _ in range(20))]
+    rng = np.random.default_rng(1)
+    w, v = rng.normal(0, 0.2, toxicity.BUCKETS), rng.normal(0, 0.2, (toxicity.BUCKETS, toxicity.FACTORS))
+    model = [Row(bias=-0.3, weights=w.tobytes(), factors=v.tobytes())]
+    got = dict(toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect())
+    whole = {t: toxicity._buckets(common.Bytes(pa.array([t])))[0].tolist() for t in terms}
+    assert whole["x"] == [bucket("x")] and len(whole["fools"]) == 2 and whole["fool"][0] in whole["fools"] + whole["fool"]
+    for i, t in enumerate(texts):
+        have = sorted({b for x in re.findall(r"[^\W\d_]+", t or "") for b in whole[x]})
+        z = -0.3 + sum(w[b] for b in have) + sum(v[a] @ v[b] for k, a in enumerate(have) for b in have[:k])
+        assert math.isclose(got[i], 1 / (1 + math.exp(-z)), rel_tol=1e-9)
+
+
+def test_fit_with_one_class_only(spark):
+    docs = spark.createDataFrame([(i, f"word{i} same") for i in range(20)], "doc_id long, text string")
+    for label in (0, 1):
+        model = toxicity.fit(docs, spark.createDataFrame([(i, label) for i in range(20)], "doc_id long, toxic int"))
+        assert all((x.score >= 0.5) == bool(label) for x in toxicity.score(docs, model).collect())
+
+
 # --- 10 ---
 
 
