@@ -107,9 +107,15 @@ def simulated_words(lat: Column, lng: Column) -> Column:
     return F.concat(F.lit("///"), word(0), F.lit("."), word(1), F.lit("."), word(2))
 
 
+def plain(x: Column) -> Column:
+    """A number of degrees without an exponent, which a link can't carry."""
+    small = F.regexp_replace(x.cast("decimal(38,30)").cast("string"), "0+$", "")
+    return F.when((x != 0) & (F.abs(x) < 0.001) & (F.abs(x) > 1e-12), small).otherwise(x.cast("string"))
+
+
 def links(lat: Column, lng: Column) -> dict[str, Column]:
     """Navigation, sharing and map links."""
-    pair = F.concat_ws(",", lat.cast("string"), lng.cast("string"))
+    pair = F.concat_ws(",", plain(lat), plain(lng))
     return {
         "walk_link": F.concat(F.lit("https://www.google.com/maps/dir/?api=1&destination="), F.url_encode(pair), F.lit("&travelmode=walking&dir_action=navigate")),
         "apple_link": F.concat(F.lit("maps://app?daddr="), pair, F.lit("&dirflg=w")),

@@ -213,7 +213,25 @@ def _(spark, sf):
     return facilities(spark, sf).select("facility_id", geo.simulated_words(lat, lng).alias("words"), geo.coordinate_text(lat, lng).alias("coordinates"))
 
 
-@query("simplified_codes")
+def _codes_sql():
+    """One table for each symbol: x and y are what is left of longitude and latitude."""
+    n, steps = len(geo.CODE_SYMBOLS), ["c0 as (select *, longitude + 180.0e0 as x, latitude + 90.0e0 as y, '' as code from facilities)"]
+    for i in range(10):
+        one, other, span = ("x", "y", "360.0e0") if i % 2 == 0 else ("y", "x", "180.0e0")
+        scaled = f"({one} / {span} * {n}.0e0)"
+        symbol = f"code || substr('{geo.CODE_SYMBOLS}', cast(least(floor{scaled}, {n - 1}) as int) + 1, 1){" || '+'" if i == 4 else ''}"
+        steps.append(f"c{i + 1} as (select * exclude (x, y, code), ({scaled} - floor{scaled}) * {n}.0e0 as {one}, {other}, {symbol} as code from c{i})")
+    word = lambda i: f"list_extract({list(geo.THREE_WORDS[i])!r}, cast(floor(h / {8.0**i!r}e0) as bigint) % 8 + 1)"
+    line = "━" * 18
+    return f"""with {", ".join(steps)},
+d as (select *, cast(latitude as varchar) || ',' || cast(longitude as varchar) as pair, abs(latitude * 10000.0e0 + longitude * 10000.0e0) as h from c10),
+w as (select *, '///' || {word(0)} || '.' || {word(1)} || '.' || {word(2)} as words, 'https://maps.google.com/?q=' || pair as map_link from d)
+select facility_id, code, concat_ws(chr(10), '🚨 EMERGENCY LOCATION', '{line}', '📍 Coordinates: ' || printf('%.6f, %.6f', latitude, longitude), '🗺️ Maps: ' || map_link, '🔤 What3Words: ' || words, '🔣 Plus Code: ' || code, '{line}', 'Sent via restgrid') as card,
+ 'https://www.google.com/maps/dir/?api=1&destination=' || replace(pair, ',', '%2C') || '&travelmode=walking&dir_action=navigate' as walk_link, 'maps://app?daddr=' || pair || '&dirflg=w' as apple_link,
+ 'https://waze.com/ul?ll=' || pair || '&navigate=yes' as waze_link, 'geo:' || pair || '?q=' || pair as geo_link, map_link from w"""
+
+
+@query("simplified_codes", _codes_sql(), "facilities")
 def _(spark, sf):
     lat, lng = F.col("latitude"), F.col("longitude")
     code, words = geo.simplified_code(lat, lng), geo.simulated_words(lat, lng)
@@ -320,9 +338,19 @@ def _(spark, sf):
     return search.nearest_per_probe(facilities(spark, sf), view(spark, sf, "probes"), "town", 25.0, 3).select("probe", "facility_id", "distance_metres", "rank")
 
 
-@query("map_clusters_greedy")
+_JOIN = cluster.threshold(2.5, 3.5, 800)
+_NEAR = "(j = rest[1] or sqrt((y[j] - y[rest[1]]) ** 2 + (x[j] - x[rest[1]]) ** 2) < " + repr(_JOIN) + "e0)"
+
+
+@query("map_clusters_greedy", f"""with recursive few as (select facility_id, name, latitude, longitude from facilities where {_IN_VIEW} order by name, facility_id limit 500),
+p as (select list(facility_id order by name, facility_id) as ids, list(latitude order by name, facility_id) as y, list(longitude order by name, facility_id) as x from few),
+r as (select range(1, len(ids) + 1) as rest, cast([] as bigint[]) as near, 0 as step from p
+ union all select list_filter(rest, lambda j: not {_NEAR}), list_filter(rest, lambda j: {_NEAR}), step + 1 from r, p where len(rest) > 0),
+g as (select list_sort(list_transform(near, lambda j: ids[j])) as m, list_transform(near, lambda j: y[j]) as ys, list_transform(near, lambda j: x[j]) as xs from r, p where step > 0)
+select case when len(m) = 1 then 'single-' || m[1] else 'cluster-' || m[1] || '-' || len(m) end as cluster_id, round(list_avg(ys), 9) as latitude, round(list_avg(xs), 9) as longitude, cast(len(m) as bigint) as n, array_to_string(m, ',') as members from g""", "facilities")
 def _(spark, sf):
-    return cluster.greedy(search.capped(search.viewport(facilities(spark, sf), *VIEWPORT)), cluster.threshold(2.5, 3.5, 800))
+    got = cluster.greedy(search.capped(search.viewport(facilities(spark, sf), *VIEWPORT)), _JOIN)
+    return got.select("cluster_id", F.round("latitude", 9).alias("latitude"), F.round("longitude", 9).alias("longitude"), "n", "members")
 
 
 @query("map_clusters_grid", "select cast(floor(latitude/0.05e0) as bigint) as cell_y, cast(floor(longitude/0.05e0) as bigint) as cell_x, count(*) as n, min(facility_id) as first_id, round(avg(latitude),6) as latitude, round(avg(longitude),6) as longitude from facilities where publication_status='published' group by 1, 2", "facilities")

@@ -111,3 +111,9 @@ def test_labels(spark):
     assert df.select(labels.preference_tags(F.col("p"))).first()[0] == ["Accessible", "★ 3+"]
     grid = spark.createDataFrame([(4.25, None)], "cleanliness_rating double, noise_rating double").select(labels.rating_grid(["cleanliness_rating", "noise_rating"])).first()[0]
     assert grid in ("Cleanliness 4.3, Noise —", "Cleanliness 4.2, Noise —")
+
+
+def test_degrees_without_exponent(spark):
+    given = [51.5, -0.0009, 0.00025, -3.0, 0.0, 0.001]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in given], "x double").select(geo.plain(F.col("x"))).collect()]
+    assert got == ["51.5", "-0.0009", "0.00025", "-3.0", "0.0", "0.001"]
