@@ -152,6 +152,12 @@ class Bytes:
         self.off = off - off[0] if len(off) else np.zeros(1, np.int64)
         self.data = _LOWER[data] if lower else data
 
+    @classmethod
+    def of(cls, data: np.ndarray, off: np.ndarray) -> "Bytes":
+        out = cls.__new__(cls)
+        out.data, out.off = data, off
+        return out
+
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(starts, ends, first): byte spans of the words; words of text i are first[i]:first[i+1]."""
         if not len(self.data):

@@ -9,6 +9,7 @@ from .quality import op10_quality_divergence
 from .scoring import op3_lm_scoring
 from .search import op8_topk_search
 from .suffixes import op7_suffix_array_dedup
+from .tokens import op12_token_counts
 from .toxicity import op9_toxicity_machine
 from .warc import OP6_SQL, op6_warc_from_arc
 
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_topk_search": op8_topk_search,
     "op9_toxicity_machine": op9_toxicity_machine,
     "op10_quality_divergence": op10_quality_divergence,
+    "op12_token_counts": op12_token_counts,
 }
 
 SQL: dict[str, str] = {
