@@ -96,3 +96,20 @@ h as (select g.*, coalesce(list_sum(chars), 0) >= {MIN_CHARS} and n_words >= {MI
 k as (select *, case when long then {_distance("chars", "rc")} else 0 end as cd, case when long then {_distance("words", "rw")} else 0 end as wd from h)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and cd <= {MAX_CHAR_DISTANCE} and wd <= {MAX_WORD_DISTANCE} as kept, round(cd, 6) as char_distance, round(wd, 6) as word_distance from k
 """
+
+TRIE = f"""
+with t as (select conv_id, dense_rank() over (order by role, text) as letter, strlen(text) as n, row_number() over (partition by conv_id order by turn nulls first, role, text) as i
+ from (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null)),
+c as (select conv_id, conv_id - conv_id % 5 as base, cast({_CRC.replace("doc_id", "conv_id")} % 9 as bigint) as h from (select distinct conv_id from t)),
+b as (select c.conv_id, count(t.i) as head from c left join t on t.conv_id = c.base and t.i <= c.h group by c.conv_id),
+r as (select c.conv_id, t.i as d, letter, n from c join t on t.conv_id = c.base and t.i <= c.h
+ union all select c.conv_id, t.i - c.h + b.head, letter, n from c join b on b.conv_id = c.conv_id join t on t.conv_id = c.conv_id and t.i > c.h),
+f as (select c.conv_id, coalesce(list(letter order by d) filter (d is not null), []) as path, coalesce(list(n order by d) filter (d is not null), []) as sizes from c left join r on r.conv_id = c.conv_id group by c.conv_id),
+m as (select conv_id, d, list_slice(path, 1, d) as node, coalesce(sizes[d], 0) as n, d = len(path) as ends from (select *, unnest(range(len(path) + 1)) as d from f)),
+x as (select node, d, min(conv_id) as conv_id, count(*) as n_convs, max(n) as n, sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (ends), '')) as ends_sha256 from m group by node, d),
+k as (select list_slice(node, 1, d - 1) as node, count(*) as n_children from x where d > 0 group by 1),
+y as (select x.*, coalesce(k.n_children, 0) as n_children from x left join k on k.node = x.node),
+s as (select list_slice(node, 1, a) as node, count(*) filter (n_children = 0) as n_leaves, sum((n_convs - 1) * n) as saved from (select *, unnest(range(d + 1)) as a from y) group by 1)
+select y.conv_id, y.d as depth, p.conv_id as parent_conv_id, y.n_convs, y.n_children, s.n_leaves, cast(s.saved as bigint) as saved_tokens, y.ends_sha256
+from y join s on s.node = y.node left join x p on y.d > 0 and p.node = list_slice(y.node, 1, y.d - 1)
+"""

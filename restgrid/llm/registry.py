@@ -11,6 +11,7 @@ from .search import op8_topk_search
 from .suffixes import op7_suffix_array_dedup
 from .tokens import op12_token_counts
 from .toxicity import op9_toxicity_machine
+from .trie import op11_prefix_trie
 from .warc import OP6_SQL, op6_warc_from_arc
 
 QUERIES = {
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_topk_search": op8_topk_search,
     "op9_toxicity_machine": op9_toxicity_machine,
     "op10_quality_divergence": op10_quality_divergence,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_token_counts": op12_token_counts,
 }
 
@@ -34,4 +36,5 @@ SQL: dict[str, str] = {
     "op7_suffix_array_dedup": oracle.SUFFIX,
     "op8_topk_search": oracle.SEARCH,
     "op10_quality_divergence": oracle.QUALITY,
+    "op11_prefix_trie": oracle.TRIE,
 }
