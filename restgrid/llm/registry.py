@@ -1,6 +1,7 @@
 """The queries of this subpackage and their SQL."""
 
 from . import oracle
+from .alignment import op13_token_alignment
 from .chains import op5_substring_chains
 from .jaccard import op4_ngram_jaccard_join
 from .mixing import op1_mix_sources
@@ -27,6 +28,7 @@ QUERIES = {
     "op10_quality_divergence": op10_quality_divergence,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_token_counts": op12_token_counts,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 SQL: dict[str, str] = {
