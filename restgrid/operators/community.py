@@ -40,12 +40,26 @@ def within_limit(done: DataFrame, new: DataFrame, kind: str, keys: list[str], or
     return judged.where("accepted and _new = 1").select("_row.*")
 
 
-def report_allowed(reports: DataFrame, new: DataFrame, as_of: Column, order: str = "report_id") -> DataFrame:
-    """Reports that pass the limit of a user at a facility, then the rule against repeats, also of
-    one another, with their expiry."""
-    fresh = submit_report(reports, within_limit(reports, new, "report", ["user_id", "facility_id"], [order]), as_of)
-    earlier = F.max("expires_at").over(Window.partitionBy("facility_id", "type").orderBy("created_at", order).rowsBetween(Window.unboundedPreceding, -1))
-    return fresh.withColumn("_until", earlier).where("_until is null or _until < created_at").drop("_until")
+def judge_reports(reports: DataFrame, new: DataFrame, order: str = "report_id") -> DataFrame:
+    """New reports with expires_at, is_expired and ``refused``: 'limit' where the user reported at that
+    facility within the hour, 'repeat' where a report of that type is active there, null where
+    it is accepted.  Rows are judged in order of time; stored reports and accepted ones count, refused ones
+    don't.  A null user or facility is one of its own."""
+    most, hours = LIMITS["report"]
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    keys = ["facility_id", "user_id", "type"]
+    made = new.withColumns({"expires_at": labels.expiry(F.col("created_at"), F.col("type")), "is_expired": F.lit(False)})
+    rows = made.select(*keys, micros("created_at").alias("_t"), F.col(order).alias("_order"), micros("expires_at").alias("_until"), F.lit(True).alias("_active"), F.lit(False).alias("_stored"), F.struct(*made.columns).alias("_row"))
+    had = reports.select(*keys, micros("created_at").alias("_t"), F.col(order).alias("_order"), micros("expires_at").alias("_until"), (~F.col("is_expired")).alias("_active"), F.lit(True).alias("_stored"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"))
+    rules = sequence.ReportRules(hours * 3600, most)
+    reach = F.greatest(F.col("_t") + rules.limit.width, F.coalesce("_until", "_t"))
+    both = sequence.with_sessions(had.unionByName(rows).withColumn("_first", (~F.col("_stored")).cast("int")), ["facility_id"], "_t", reach)
+    return sequence.judged(both, ["facility_id", "_session"], ["_first", "_order"], "_t", rules).where("not _stored").select("_row.*", "refused")
+
+
+def report_allowed(reports: DataFrame, new: DataFrame, order: str = "report_id") -> DataFrame:
+    """The new reports that both rules accept, with their expiry; see ``judge_reports``."""
+    return judge_reports(reports, new, order).where("refused is null").drop("refused")
 
 
 def newest(rows: DataFrame, time: str, key: str, limit: int | None = None) -> DataFrame:

@@ -10,7 +10,8 @@ from collections import deque
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def accepted(events: DataFrame, keys: list[str], order: list[str], micros: str, window_s: float, most: int) -> DataFrame:
@@ -37,3 +38,99 @@ def accepted(events: DataFrame, keys: list[str], order: list[str], micros: str,
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema)
     return events.repartition(*keys).sortWithinPartitions(*keys, micros, *order).mapInArrow(run, f"{kinds}, accepted boolean")
+
+
+class Sliding:
+    """At most ``most`` accepted rows within the window before a row; its start counts unless ``open``."""
+
+    inputs: tuple[str, ...] = ()
+
+    def __init__(self, window_s: float, most: int, open: bool = False):
+        self.width, self.most, self.open = int(window_s * 1_000_000), most, open
+
+    def start(self) -> list[int]:
+        return []
+
+    def step(self, times: list[int], now: int, row) -> str | None:
+        """Why the row is refused, or None; accepted rows go into the state."""
+        while times and times[0] < now - self.width + self.open:
+            times.pop(0)
+        if len(times) >= self.most:
+            return "limit"
+        times.append(now)
+        return None
+
+    def reach(self, times: list[int]) -> int:
+        """The last time at which the state still says anything."""
+        return times[-1] + self.width if times else -1
+
+
+class ReportRules:
+    """Reports at one facility: a user's limit, then the rule against repeats of an active type.
+    Only accepted reports use up a limit or stand in another's way; stored ones were accepted."""
+
+    inputs = ("user_id", "type", "_until", "_active", "_stored")
+
+    def __init__(self, window_s: float, most: int):
+        self.limit = Sliding(window_s, most)
+
+    def start(self) -> dict:
+        return {"users": {}, "until": {}}
+
+    def step(self, state: dict, now: int, row) -> str | None:
+        user, kind, until, active, stored = row
+        users, ends = state["users"], state["until"]
+        times = users.setdefault(str(user), [])
+        if not stored:
+            while times and times[0] < now - self.limit.width:
+                times.pop(0)
+            if len(times) >= self.limit.most:
+                return "limit"
+            if ends.get(str(kind), -1) >= now:
+                return "repeat"
+        times.append(now)
+        if active and until is not None:
+            ends[str(kind)] = max(until, ends.get(str(kind), -1))
+        if len(users) > 1000:  # users of an hour and more ago say nothing any more
+            for u in [u for u, t in users.items() if not t or t[-1] < now - self.limit.width]:
+                del users[u]
+        return None
+
+    def reach(self, state: dict) -> int:
+        return max([-1, *state["until"].values(), *(t[-1] + self.limit.width for t in state["users"].values() if t)])
+
+
+def with_sessions(events: DataFrame, keys: list[str], micros: str, reach: Column) -> DataFrame:
+    """Adds ``_session``: a key's rows up to a time from which nothing before can still have an effect
+    (``reach`` of every row is past), so that a long key is several groups.  Found from one row
+    for each key and hour."""
+    hour = F.floor(F.col(micros) / 3_600_000_000)
+    spans = events.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], hour.alias("_hour")).agg(F.min(micros).alias("_low"), F.max(reach).alias("_reach"))
+    by = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy("_hour")
+    before = F.max("_reach").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    new = (before < F.col("_low")).cast("long")
+    spans = spans.withColumn("_new", new).withColumn("_session", F.sum(F.coalesce("_new", F.lit(0))).over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("_low", "_reach", "_new")
+    same = hour == F.col("_hour")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return events.join(spans, same).drop("_hour", *[f"_k{i}" for i in range(len(keys))])
+
+
+def judged(events: DataFrame, keys: list[str], order: list[str], micros: str, machine) -> DataFrame:
+    """Adds ``refused``: why a machine refuses a row, or null.  A machine holds one key's state at a time
+    and sees the key's rows in order of time, then ``order``."""
+
+    def run(batches):
+        key, state = None, None
+        for batch in batches:
+            cols = [[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names] for names in (keys, machine.inputs)]
+            own, given = (zip(*c) if c else ((),) * batch.num_rows for c in cols)
+            out = []
+            for now, mine, row in zip(batch.column(batch.schema.get_field_index(micros)).to_pylist(), own, given):
+                if mine != key:
+                    key, state = mine, machine.start()
+                out.append(machine.step(state, now, row))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "refused"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema)
+    return events.repartition(*keys).sortWithinPartitions(*keys, micros, *order).mapInArrow(run, f"{kinds}, refused string")

@@ -398,6 +398,23 @@ def _(spark, sf):
     return community.duplicates(_reports(spark, sf).withColumn("facility_id", F.col("facility_id") % 5)).select("report_id", "facility_id", "type")
 
 
+_HOUR = 3_600_000_000
+_JUDGED_SQL = f"""with recursive e as (select report_id, facility_id % 5 as k, user_id % 20 as u, type as y, epoch_us(created_at) as t, epoch_us(expires_at) as x, is_expired as off, report_id % 4 = 0 as stored,
+  row_number() over (partition by facility_id % 5 order by created_at, report_id % 4 <> 0, report_id) as i from reports),
+ run as (select report_id, k, i, stored, cast(null as varchar) as refused, [struct_pack(u := u, y := y, t := t, x := case when stored and off then -1 else x end)] as held from e where i = 1
+  union all select report_id, k, i, stored, refused, case when refused is null then list_append(list_filter(held, lambda h: h.t >= t - {_HOUR} or h.x >= t), struct_pack(u := u, y := y, t := t, x := case when stored and off then -1 else x end)) else held end
+  from (select e.*, held, case when not e.stored and len(list_filter(held, lambda h: h.u = e.u and h.t >= e.t - {_HOUR})) > 0 then 'limit' when not e.stored and len(list_filter(held, lambda h: h.y = e.y and h.x >= e.t)) > 0 then 'repeat' end as refused from run join e on e.k = run.k and e.i = run.i + 1))
+ select report_id, refused from run where not stored"""
+
+
+@query("reports_judged", _JUDGED_SQL, "reports")
+def _(spark, sf):
+    # few facilities and users, so that both rules meet; every fourth report was there before
+    reports = _reports(spark, sf).withColumns({"facility_id": F.col("facility_id") % 5, "user_id": F.col("user_id") % 20})
+    new = reports.where("report_id % 4 <> 0").select("report_id", "facility_id", "user_id", "type", "created_at")
+    return community.judge_reports(reports.where("report_id % 4 = 0"), new).select("report_id", "refused")
+
+
 @query("resolve_report", f"select report_id, case when report_id=5 and user_id=(select user_id from reports where report_id=5) then true else is_expired end as is_expired, case when report_id=5 then {AS_OF} else expires_at end as expires_at from reports", "reports")
 def _(spark, sf):
     reports = _reports(spark, sf)
