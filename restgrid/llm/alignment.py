@@ -1,7 +1,8 @@
 """Cross-tokenizer alignment: which tokens of one tokenizer stand for which of another.
 
-A text (with a space before it) is cut into units, at spaces where both tokenizers always end a
-token, so equal units have equal tokens, groups and links; each worker encodes a unit once and keeps
+A text (with a space before it) is cut into units where both tokenizers always end a token: at the
+first one's pre-tokens, between two characters that stand side by side in no piece of the second.
+Equal units have equal tokens, groups and links, so each worker encodes a unit once and keeps
 it in a cache.  The first pass links every document's tokens and counts, for each distinct pair of
 ids, the documents that hold it: tasks send sorted pairs with counts, these are merged in a tree,
 and every shard of A ids gets a minimal perfect hash of its pairs, by which its count vector is
@@ -12,14 +13,14 @@ further pass.  A shard has at most 1/SHARDS of the pairs that two vocabularies c
 Defined cases: null and empty texts, and texts that either tokenizer's tokens don't give back byte by
 byte (a literal piece marker), have no tokens: zeros, '' for the groups, and no part in counts; rows
 that repeat an id, or have none, are documents of their own; very long texts are aligned in
-windows, a unit without spaces as a whole; an empty table gives an empty result.
+windows, a unit as a whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 from functools import lru_cache
-from itertools import islice
+from itertools import chain
 from math import isqrt
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Bytes, documents, mix, small_batches, stage
-from .pretokens import classes, distinct, split, tokenizer, windows
+from .pretokens import BLANK, char_kinds, classes, code_points, distinct, split, tokenizer, windows
 
 BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -38,15 +39,16 @@ MARKER = "▁"
 B_BITS = 15
 SHARDS = 64
 BLOCK = 1 << 24
-#: Pairs that a task holds before it sends them, cached units and their bytes.
+#: Pairs that a task holds before it sends them, cached units and their links.
 HELD = 1 << 21
-CACHED = 1 << 17
-CACHED_WIDTH = 256
+CACHED = 1 << 18
+CACHED_LINKS = 1 << 22
 NAMES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+_PAIR_SHIFT = np.int64(21)
 
 
 class Pair:
-    """Two tokenizers, and the bytes of each one's tokens."""
+    """Two tokenizers, the bytes of each one's tokens, and where units may be cut."""
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
@@ -57,43 +59,31 @@ class Pair:
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         spelt = {chr(x): x for x in own} | {chr(256 + i): x for i, x in enumerate(x for x in range(256) if x not in own)}
         assert set(spelt) == set(ByteLevel.alphabet())
-        words = sorted(self.a.get_vocab(with_added_tokens=True).items(), key=lambda x: x[1])
-        self.a_raw = {i: bytes(spelt.get(c, 0) for c in w) for w, i in words}
+        words = [w for w, _ in sorted(self.a.get_vocab(with_added_tokens=True).items(), key=lambda x: x[1])]
+        self.a_raw = [bytes(spelt.get(c, 0) for c in w) for w in words]
         n = self.b.get_piece_size()
         if n > 1 << B_BITS or len(words) > 1 << (31 - B_BITS):
             raise ValueError("ids must fit in 31 bits together")
-        byte = self.b.piece_to_id("<0x00>")
-        self.b_raw = [bytes([i - byte]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace(MARKER, " ").encode() for i in range(n)]
-        self.space = self.b.piece_to_id(MARKER)
-
-    def encode(self, units: list[bytes]):
-        """(A ids, B ids) of each unit; a unit begins with the space that B adds."""
-        texts = [u.decode() for u in units]
-        a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
-        b = self.b.encode([t[1:] for t in texts], num_threads=1)
-        return zip(a, (x or [self.space] for x in b))
-
-    def align(self, unit: bytes, a: list[int], b: list[int]):
-        """(n_a, n_b, n_groups, groups, links as bytes), or None where tokens don't give the unit."""
-        a_size, b_size = [len(self.a_raw[x]) for x in a], [len(self.b_raw[x]) for x in b]
-        if b"".join([self.a_raw[x] for x in a]) != unit or b"".join([self.b_raw[x] for x in b]) != unit:
-            return None
-        i = j = from_a = from_b = 0
-        a_end, b_end, links, groups = a_size[0], b_size[0], [], []
-        while True:
-            links.append(a[i] << B_BITS | b[j])
-            on_a, on_b = a_end <= b_end, b_end <= a_end
-            i, j = i + on_a, j + on_b
-            if on_a and on_b:
-                groups.append(f"{','.join(map(str, a[from_a:i]))}|{','.join(map(str, b[from_b:j]))}")
-                from_a, from_b = i, j
-                if i == len(a):
-                    break
-            if on_a:
-                a_end += a_size[i]
-            if on_b:
-                b_end += b_size[j]
-        return len(a), len(b), len(groups), ";".join(groups), np.array(links, np.uint32).tobytes()
+        byte, pieces = self.b.piece_to_id("<0x00>"), [self.b.id_to_piece(i) for i in range(n)]
+        self.b_raw = [bytes([i - byte]) if self.b.is_byte(i) else w.replace(MARKER, " ").encode() for i, w in enumerate(pieces)]
+        self.tables = [(np.frombuffer(b"".join(raw), np.uint8), np.array([len(x) for x in raw], np.int64)) for raw in (self.a_raw, self.b_raw)]
+        self.names = [[str(i) for i in range(max(n, len(words)))]] * 2
+        inner = {(x, y) for i, w in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i)) for x, y in zip(w, w[1:])}
+        # a line feed ends a token on both sides, and cuts at a space between letters are safe
+        if any("\n" in p for p in inner) or any(y == MARKER and x.isascii() and x.isalpha() for x, y in inner):
+            raise ValueError("pieces that go on beyond a line feed or into a space")
+        self.inner = np.array(sorted(ord(x) << 21 | ord(y) for x, y in inner), np.int64)
+        self.store = Store(self)
+
+    def may_cut(self, before: np.ndarray, here: np.ndarray) -> np.ndarray:
+        """Whether no piece has the two characters side by side."""
+        pairs = (np.where(before == 0x20, ord(MARKER), before).astype(np.int64) << _PAIR_SHIFT) | np.where(here == 0x20, ord(MARKER), here)
+        at = np.minimum(np.searchsorted(self.inner, pairs), len(self.inner) - 1)
+        return self.inner[at] != pairs
+
+    def encode(self, texts: list[str]) -> list[list[list[int]]]:
+        """A's and B's ids of each unit; the space that B adds and a line feed stand before, and are taken off."""
+        return [[e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)], [x[2:] for x in self.b.encode(["\n" + t for t in texts], num_threads=1)]]
 
 
 @lru_cache(maxsize=2)
@@ -101,52 +91,106 @@ def pair(a_path: str, b_path: str) -> Pair:
     return Pair(a_path, b_path)
 
 
-_CACHES: dict[tuple[str, str], dict[bytes, tuple]] = {}
+def _spread(values: np.ndarray, off: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values[off[r]:off[r + 1]] of all rows one after another, and how many each has."""
+    size = off[rows + 1] - off[rows]
+    ends = np.cumsum(size)
+    return values[np.repeat(off[rows] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)], size
 
 
-def aligned_units(paths: tuple[str, str], units: list[bytes]) -> list[tuple | None]:
-    """The alignment of each unit, through the worker's cache."""
-    cache, known = _CACHES.setdefault(paths, {}), pair(*paths)
-    new = [u for u in units if u not in cache]
-    got = {}
-    for k in range(0, len(new), 2048):
-        part = new[k : k + 2048]
-        got.update((u, known.align(u, *x)) for u, x in zip(part, known.encode(part)))
-    out = [got[u] if u in got else cache[u] for u in units]
-    if len(cache) + len(got) > CACHED:
-        for u in list(islice(cache, max(0, len(cache) + len(got) - CACHED // 2))):  # the oldest
-            del cache[u]
-    cache.update(islice(((u, x) for u, x in got.items() if len(u) <= CACHED_WIDTH), CACHED // 2))
+def _grown(x: np.ndarray, n: int) -> np.ndarray:
+    if n <= len(x):
+        return x
+    out = np.zeros((2 * n, *x.shape[1:]), x.dtype)
+    out[: len(x)] = x
     return out
 
 
-def unit_windows(column: pa.Array, packed: bytes, paths: tuple[str, str]):
-    """(owner, first, which, units) for the windows of a column of texts: the units of piece i are
-    units[which[first[i]:first[i + 1]]], and piece i is of text owner[i]."""
+class Store:
+    """A worker's cache of aligned units, a row for each: counts (n_a, n_b, n_groups; all 0 where the
+    tokens don't give the unit), links[off[i]:off[i + 1]], and groups as text where wanted."""
+
+    def __init__(self, known: Pair):
+        self.known = known
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows: dict[bytes, int] = {}
+        self.counts, self.off, self.links, self.groups = np.zeros((1024, 3), np.int64), np.zeros(1025, np.int64), np.zeros(4096, np.uint32), []
+
+    def find(self, units: list[bytes], text: bool) -> np.ndarray:
+        """The row of each of some distinct units; rows hold until the next call."""
+        if text and len(self.groups) < len(self.rows):
+            self.clear()  # aligned without their groups before
+        new = [u for u in units if u not in self.rows]
+        if len(self.rows) + len(new) > CACHED or self.off[len(self.rows)] > CACHED_LINKS:
+            self.clear()
+            new = units
+        for k in range(0, len(new), 8192):
+            self._add(new[k : k + 8192], text)
+        return np.fromiter((self.rows[u] for u in units), np.int64, len(units))
+
+    def _add(self, units: list[bytes], text: bool) -> None:
+        size = np.array([len(u) for u in units], np.int64)
+        ids = self.known.encode([u.decode() for u in units])
+        right, whole = np.ones(len(units), bool), b"".join(units)
+        for lists, (raw, sizes) in zip(ids, self.known.tables):
+            if b"".join(self._bytes(lists, raw, sizes)) != whole:
+                right &= np.array([b"".join(self._bytes([x], raw, sizes)) == u for x, u in zip(lists, units)])
+        ends = np.cumsum(np.where(right, size, 0))
+        flat, stop, n = [], [], []
+        for lists, (_, sizes) in zip(ids, self.known.tables):
+            kept = [x for x, ok in zip(lists, right) if ok]
+            flat.append(np.fromiter(chain.from_iterable(kept), np.int64))
+            stop.append(np.cumsum(sizes[flat[-1]]))
+            n.append(np.array([len(x) if ok else 0 for x, ok in zip(lists, right)], np.int64))
+        every, both = np.union1d(*stop), np.intersect1d(*stop, assume_unique=True)
+        links = (flat[0][np.searchsorted(stop[0], every)] << B_BITS | flat[1][np.searchsorted(stop[1], every)]).astype(np.uint32)
+        until, grouped = np.searchsorted(every, ends, "right"), np.searchsorted(both, ends, "right")
+        at, off = len(self.rows), self.off[len(self.rows)]
+        self.counts, self.off, self.links = _grown(self.counts, at + len(units)), _grown(self.off, at + len(units) + 1), _grown(self.links, off + len(links))
+        self.counts[at : at + len(units)] = np.stack([*n, np.diff(grouped, prepend=0)], axis=1)
+        self.off[at + 1 : at + len(units) + 1] = off + until
+        self.links[off : off + len(links)] = links
+        if text:
+            cuts = [[0, *np.searchsorted(s, both, "right").tolist()] for s in stop]
+            words = [[names[i] for i in x.tolist()] for names, x in zip(self.known.names, flat)]
+            made = [f"{','.join(words[0][a:z])}|{','.join(words[1][b:y])}" for a, z, b, y in zip(cuts[0], cuts[0][1:], cuts[1], cuts[1][1:])]
+            self.groups += [made[a] if z == a + 1 else ";".join(made[a:z]) for a, z in zip([0, *grouped[:-1].tolist()], grouped.tolist())]
+        self.rows.update(zip(units, range(at, at + len(units))))
+
+    @staticmethod
+    def _bytes(lists, raw: np.ndarray, sizes: np.ndarray):
+        ids = np.fromiter(chain.from_iterable(lists), np.int64)
+        off = np.concatenate([[0], np.cumsum(sizes)])
+        yield _spread(raw, off, ids)[0].tobytes()
+
+
+def unit_windows(column: pa.Array, packed: bytes, paths: tuple[str, str], text: bool):
+    """(owner, first, which, rows, store) for the windows of a column of texts: the units of piece i of a
+    window are which[first[i]:first[i + 1]], numbers of distinct units with these rows of the store,
+    and piece i is of text owner[i]."""
+    known = pair(*paths)
     b = Bytes(column, lower=False)
     full = np.diff(b.off) > 0
     spaced = Bytes.of(np.insert(b.data, b.off[:-1][full], 0x20), b.off + np.concatenate([[0], np.cumsum(full)]))
     for w, owner in windows(spaced):
         starts = split(w, packed)[0]
-        cut = (w.data[starts] == 0x20) & (w.data[np.maximum(starts - 1, 0)] != 0x20)
-        cut[np.searchsorted(starts, w.off[:-1])] = True
+        lead = np.flatnonzero((w.data & 0xC0) != 0x80)
+        cp, at = code_points(w.data, lead), np.searchsorted(lead, starts)
+        before = cp[np.maximum(at - 1, 0)]
+        safe, blank = known.may_cut(before, cp[at]), char_kinds(packed)[before] == BLANK
+        begin = np.searchsorted(starts, w.off[:-1])
+        safe[begin], blank[begin] = True, False
+        # white space that is two pre-tokens before other text would be one at a unit's end
+        after = np.append(True, safe[:-1]) | ~np.append(False, blank[:-1])
+        cut = safe & (after | ~blank)
+        cut[begin] = True
         starts = starts[cut]
         ends = np.append(starts[1:], len(w.data))
-        _, at, which = distinct(w, starts, ends)
-        units = aligned_units(paths, [w.data[x:y].tobytes() for x, y in zip(starts[at].tolist(), ends[at].tolist())])
-        yield owner, np.searchsorted(starts, w.off), which, units
-
-
-def _spread(values: np.ndarray, off: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The values[off[r]:off[r + 1]] of all rows one after another, and how many each has."""
-    size = (off[1:] - off[:-1])[rows]
-    ends = np.cumsum(size)
-    return values[np.repeat(off[rows] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)], size
-
-
-def _links(units: list[tuple | None]) -> tuple[np.ndarray, np.ndarray]:
-    raw = [u[4] if u else b"" for u in units]
-    return np.frombuffer(b"".join(raw), np.uint32), np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])])
+        _, one, which = distinct(w, starts, ends)
+        rows = known.store.find([w.data[x:y].tobytes() for x, y in zip(starts[one].tolist(), ends[one].tolist())], text)
+        yield owner, np.searchsorted(starts, w.off), which, rows, known.store
 
 
 class Perfect:
@@ -229,12 +273,12 @@ def pair_counts(docs: DataFrame, a_path: str = BYTE_LEVEL, b_path: str = PIECES)
         keys, counts, held = [], [], 0
         for batch in batches:
             found, lost = [], np.zeros(batch.num_rows, bool)
-            for owner, first, which, units in unit_windows(batch.column(0), packed, paths):
-                n = len(units)
+            for owner, first, which, rows, store in unit_windows(batch.column(0), packed, paths, False):
+                n = len(rows)
                 mine = np.unique(np.repeat(owner, np.diff(first)) * n + which)  # a document's distinct units
-                of, unit = mine // n, mine % n
-                lost[of[np.array([u is None for u in units])[unit]]] = True
-                links, size = _spread(*_links(units), unit)
+                of, unit = mine // n, rows[mine % n]
+                lost[of[store.counts[unit, 0] == 0]] = True
+                links, size = _spread(store.links, store.off, unit)
                 found.append(np.unique(np.repeat(of, size).astype(np.uint64) << np.uint64(32) | links))
             if not found:
                 continue
@@ -327,20 +371,20 @@ def alignments(docs: DataFrame, a_path: str = BYTE_LEVEL, b_path: str = PIECES)
             for batch in batches:
                 n = batch.num_rows
                 sums, lost, digests = np.zeros((len(NAMES), n), np.int64), np.zeros(n, bool), {}
-                for owner, first, which, units in unit_windows(batch.column(batch.schema.get_field_index(text)), packed, paths):
-                    links, off = _links(units)
+                for owner, first, which, rows, store in unit_windows(batch.column(batch.schema.get_field_index(text)), packed, paths, not more):
+                    links, size = _spread(store.links, store.off, rows)
                     values, of = np.unique(links, return_inverse=True)
                     found = np.concatenate([np.zeros((2, 1), np.int64), np.cumsum(np.stack(counts.find(values))[:, of], axis=1)], axis=1)
-                    linked = found[:, off[1:]] - found[:, off[:-1]]
-                    each = np.array([u[:3] if u else (0, 0, 0) for u in units], np.int64).reshape(-1, 3).T
-                    each = np.concatenate([each, np.diff(off)[None], linked[1:], linked[:1]])
+                    ends = np.cumsum(size)
+                    linked = found[:, ends] - found[:, ends - size]
+                    each = np.concatenate([store.counts[rows].T, size[None], linked[1:], linked[:1]])
                     total = np.concatenate([np.zeros((len(NAMES), 1), np.int64), np.cumsum(each[:, which], axis=1)], axis=1)
                     np.add.at(sums, (slice(None), owner), total[:, first[1:]] - total[:, first[:-1]])
-                    bad = np.concatenate([[0], np.cumsum(np.array([u is None for u in units])[which])])
+                    bad = np.concatenate([[0], np.cumsum(each[0][which] == 0)])
                     lost[owner[bad[first[1:]] > bad[first[:-1]]]] = True
                     if more:
                         continue
-                    groups = [u[3] if u else "" for u in units]
+                    groups = [store.groups[i] for i in rows.tolist()]
                     for i, a, z in zip(owner.tolist(), first[:-1].tolist(), first[1:].tolist()):
                         part = ";".join([groups[u] for u in which[a:z].tolist()]).encode()
                         if i in digests:

@@ -51,7 +51,7 @@ def classes() -> bytes:
 
 
 @lru_cache(maxsize=2)
-def _kinds(packed: bytes) -> np.ndarray:
+def char_kinds(packed: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(packed), np.uint8)
 
 
@@ -107,7 +107,7 @@ def split(b: Bytes, packed: bytes, special: bytes = b"") -> tuple[np.ndarray, np
         return z, z, np.zeros(len(b.off), np.int64), z
     lead = np.flatnonzero((data & 0xC0) != 0x80)
     m, cp = len(lead), code_points(data, lead)
-    kind = _kinds(packed)[cp]
+    kind = char_kinds(packed)[cp]
     edge = np.zeros(m + 1, bool)
     edge[np.searchsorted(lead, b.off[:-1])], edge[m] = True, True
     spans = []

@@ -163,7 +163,7 @@ def test_alignments_of_windows(monkeypatch):
     """A text in many windows has the units of the whole."""
     text = " ".join(plain.corpus()[0][1] or "x" for _ in range(3)) * 5 + " it's  \n  odd 1 2  x"
     args = (pretokens.classes(), (alignment.BYTE_LEVEL, alignment.PIECES))
-    units = lambda: [u[3] for _, first, which, units in alignment.unit_windows(pa.array([text]), *args) for u in (units[k] for k in which)]
+    units = lambda: [store.groups[k] for _, _, which, rows, store in alignment.unit_windows(pa.array([text]), *args, True) for k in rows[which]]
     want, real = units(), pretokens.windows
     monkeypatch.setattr(alignment, "windows", lambda b: real(b, 50))
     assert units() == want
@@ -180,14 +180,18 @@ def test_caches_are_bounded(monkeypatch):
     words = [t.encode() for t in dict.fromkeys(random_texts(300, 11)) if t and "<|endoftext|>" not in t]
     monkeypatch.setattr(tokens, "CACHED", 16)
     monkeypatch.setattr(tokens, "_CACHES", {})
-    monkeypatch.setattr(alignment, "CACHED", 16)
-    monkeypatch.setattr(alignment, "_CACHES", {})
-    paths = (alignment.BYTE_LEVEL, alignment.PIECES)
-    units = [b" " + w for w in words]
-    want, known = library_counts([w.decode() for w in words]), alignment.pair(*paths)
-    both = [known.align(u, *x) for u, x in zip(units, known.encode(units))]
+    want = library_counts([w.decode() for w in words])
     for a, z in ((0, 5), (0, 12), (3, 40), (0, len(words)), (20, 30)):
         assert tokens.encoded_lengths(tokens.VOCABULARY, words[a:z]) == want[a:z]
-        assert alignment.aligned_units(paths, units[a:z]) == both[a:z]
-        assert len(alignment._CACHES[paths]) <= 16
     assert len(tokens._CACHES[tokens.VOCABULARY]) <= len(words)
+
+    monkeypatch.setattr(alignment, "CACHED", 16)
+    known, args = alignment.pair(alignment.BYTE_LEVEL, alignment.PIECES), (pretokens.classes(), (alignment.BYTE_LEVEL, alignment.PIECES))
+    texts = [t for t in random_texts(40, 12) if t]
+    for t in texts + texts:
+        for text in (False, True):
+            n = links = 0
+            for _, _, which, rows, store in alignment.unit_windows(pa.array([t]), *args, text):
+                n, links = n + store.counts[rows[which], 0].sum(), links + (store.off[rows[which] + 1] - store.off[rows[which]]).sum()
+            assert (n, links) == brute_alignment([t])[0][:4:3]
+        assert len(known.store.rows) <= max(16, len(rows))
