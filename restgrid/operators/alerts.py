@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels
+from . import sequence
 from .filters import active_reports
 
 COOLDOWN_HOURS = 1
@@ -36,10 +37,37 @@ def outbox(found: DataFrame, as_of: Column) -> DataFrame:
     return found.select("user_id", "title", "body", F.to_json(F.struct("facility_id", "report_id")).alias("data"), as_of.alias("sent_at"))
 
 
+def due(found: DataFrame, sent: DataFrame, as_of: Column) -> DataFrame:
+    """Alerts whose text was not sent to the user within COOLDOWN_HOURS before ``as_of``; of alerts with
+    one text the one with the smallest report."""
+    keys = ["user_id", "title", "body"]
+    recent = sent.where(F.col("sent_at") > as_of - F.make_dt_interval(F.lit(0), F.lit(COOLDOWN_HOURS))).select(*keys).distinct()
+    first = found.groupBy(*keys).agg(F.min(F.struct("report_id", "facility_id")).alias("_r"))
+    return first.join(recent, keys, "left_anti").select("user_id", "_r.facility_id", "_r.report_id", "title", "body")
+
+
+def polls(favourites: DataFrame, preferences: DataFrame, facilities: DataFrame, reports: DataFrame, first: Column, last: Column, minutes: int = 30) -> DataFrame:
+    """(user_id, facility_id, report_id, title, body, sent_at): what polls every ``minutes`` from ``first`` to
+    ``last`` send.  A report is told at each poll at which it is active, but a text goes to a user once in
+    COOLDOWN_HOURS, so the sendings of a text decide each other."""
+    step = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes))
+    # a report is active for a day at most, so it meets a bounded number of polls
+    at = F.explode(F.filter(F.sequence(first, last, step), lambda t: (t >= F.col("created_at")) & (t <= F.col("expires_at"))))
+    seen = reports.where(~F.col("is_expired") & (F.col("expires_at") >= first) & (F.col("created_at") <= last)).withColumn("sent_at", at)
+    found = _told(favourites, preferences, facilities, seen.select("facility_id", "report_id", "type", "notes", "sent_at"), ["sent_at"])
+    keys = ["user_id", "title", "body"]
+    tries = found.groupBy(*keys, "sent_at").agg(F.min(F.struct("report_id", "facility_id")).alias("_r")).withColumn("_t", F.unix_micros(F.col("sent_at").cast("timestamp")))
+    sent = sequence.judged(tries, keys, [], "_t", sequence.Sliding(COOLDOWN_HOURS * 3600, 1, open=True)).where("refused is null")
+    return sent.select("user_id", "_r.facility_id", "_r.report_id", "title", "body", "sent_at")
+
+
 def alerts(favourites: DataFrame, preferences: DataFrame, facilities: DataFrame, reports: DataFrame, as_of: Column) -> DataFrame:
     """(user_id, facility_id, report_id, title, body): reports reduced first, then joined by key."""
-    active = reports.where(active_reports(as_of)).select("facility_id", "report_id", "type", "notes")
+    return _told(favourites, preferences, facilities, reports.where(active_reports(as_of)).select("facility_id", "report_id", "type", "notes"), [])
+
+
+def _told(favourites: DataFrame, preferences: DataFrame, facilities: DataFrame, active: DataFrame, more: list[str]) -> DataFrame:
     wanted = favourites.join(latest_preferences(preferences), ["user_id", "facility_id"]).join(active, "facility_id")
     wanted = wanted.where((F.col("closure_alerts") & F.col("type").isin(*labels.CLOSURES)) | (F.col("update_alerts") & F.col("type").isin(*labels.UPDATES)))
     found = wanted.join(facilities.select("facility_id", "name"), "facility_id")
-    return found.select("user_id", "facility_id", "report_id", labels.alert_title(F.col("name"), F.col("type")).alias("title"), labels.alert_body(F.col("notes"), F.col("type")).alias("body"))
+    return found.select("user_id", "facility_id", "report_id", labels.alert_title(F.col("name"), F.col("type")).alias("title"), labels.alert_body(F.col("notes"), F.col("type")).alias("body"), *more)

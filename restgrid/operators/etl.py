@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import cleaning as c
 
 STALE_DAYS = 7
-#: Columns that an import sets.
-IMPORTED = ["name", "latitude", "longitude", "address", "town", "is_accessible", "has_baby_changing", "requires_radar_key", "is_free"]
+#: Columns that an import sets on a facility that is there; one that is made also gets its place.
+IMPORTED = ["name", "address", "postcode", "town", "is_accessible", "has_baby_changing", "requires_radar_key", "is_free", "opening_hours"]
+PLACE = ["latitude", "longitude"]
 BLANK, NUMBER, OUTSIDE = "missing id", "non-numeric coordinates", "outside the country"
 
 
@@ -48,30 +50,40 @@ def normalise(raw: DataFrame) -> DataFrame:
     )
 
 
+def latest_staged(staged: DataFrame) -> DataFrame:
+    """One row for each record: the one with the latest source time (no time: now); ties by the
+    smallest of the other columns."""
+    rest = [F.hash(F.to_json(c)) if isinstance(t, (T.ArrayType, T.MapType, T.StructType)) else F.col(c) for c, t in ((f.name, f.dataType) for f in staged.schema) if c != "source_record_id"]
+    n = F.row_number().over(Window.partitionBy("source_record_id").orderBy(F.col("source_updated_at").desc_nulls_first(), *rest))
+    return staged.withColumn("_n", n).where("_n = 1").drop("_n")
+
+
 def plan_merge(staged: DataFrame, sources: DataFrame, reactivate: bool = True) -> DataFrame:
-    """Staged rows with ``action``: insert, update (newer than the stored row, or one of both has no
-    time) or unchanged; ``facility_id`` of the record's source row: the current one, then the one
-    seen last, then the smallest facility.  Without ``reactivate`` a record once marked gone is
+    """Staged records, each once, with ``action``: insert, update (newer than the stored row, or one of
+    both has no time) or unchanged; ``facility_id`` of the record's source row: the current one, then the
+    one seen last, then the smallest facility.  Without ``reactivate`` a record once marked gone is
     inserted anew; with it, it is found again."""
     known = sources if reactivate else sources.where("is_current")
     n = F.row_number().over(Window.partitionBy("source_record_id").orderBy(F.desc("is_current"), F.desc("last_seen_at"), "facility_id"))
     known = known.withColumn("_n", n).where("_n = 1").select("source_record_id", "facility_id", F.col("updated_at").alias("_had"))
-    out = staged.join(known, "source_record_id", "left")
+    out = latest_staged(staged).join(known, "source_record_id", "left")
     newer = F.col("_had").isNull() | F.col("source_updated_at").isNull() | (F.col("_had") < F.col("source_updated_at"))
     return out.withColumn("action", F.when(F.col("facility_id").isNull(), "insert").when(newer, "update").otherwise("unchanged")).drop("_had")
 
 
 def merge_sources(sources: DataFrame, planned: DataFrame, as_of: Column) -> DataFrame:
-    """Source rows after a run: seen ones are current and bumped, ones unseen for STALE_DAYS go."""
-    seen = planned.select("source_record_id", "source_updated_at", "action").where("action <> 'insert'")
+    """Source rows after a run: all rows of a record that came are seen now, but only the one of the
+    facility that the plan chose is current and gets the time; rows unseen for STALE_DAYS go."""
+    seen = planned.where("action <> 'insert'").select("source_record_id", "source_updated_at", "action", F.col("facility_id").alias("_chosen"))
     out = sources.join(seen, "source_record_id", "left")
-    hit = F.col("action").isNotNull()
+    came = F.col("action").isNotNull()
+    hit = came & F.col("facility_id").eqNullSafe(F.col("_chosen"))
     gone = F.col("last_seen_at") < as_of - F.make_dt_interval(F.lit(STALE_DAYS))
     return out.select(
         "source_record_id", "facility_id",
-        F.when(F.col("action") == "update", F.coalesce("source_updated_at", as_of)).otherwise(F.col("updated_at")).alias("updated_at"),
-        F.when(hit, True).when(gone, False).otherwise(F.col("is_current")).alias("is_current"),
-        F.when(hit, as_of).otherwise(F.col("last_seen_at")).alias("last_seen_at"),
+        F.when(hit & (F.col("action") == "update"), F.coalesce("source_updated_at", as_of)).otherwise(F.col("updated_at")).alias("updated_at"),
+        F.when(hit, True).when(~came & gone, False).otherwise(F.col("is_current")).alias("is_current"),
+        F.when(came, as_of).otherwise(F.col("last_seen_at")).alias("last_seen_at"),
     )
 
 
@@ -82,16 +94,19 @@ def merged_sources(sources: DataFrame, planned: DataFrame, as_of: Column, new_id
 
 
 def merged_facilities(facilities: DataFrame, planned: DataFrame, new_id: Column, status: str = "source_imported") -> DataFrame:
-    """Facilities after a run: IMPORTED columns of updated ones are the source's, confirmed ones keep
-    their status, records that are new become published facilities with ``new_id``."""
-    rows = planned.where("action <> 'unchanged'")
-    known = rows.where("action = 'update'").select("facility_id", F.struct(*IMPORTED).alias("_new"))
+    """Facilities after a run: IMPORTED columns of updated ones are the source's and they are published,
+    their place stays, confirmed ones keep their status; records that are new become published
+    facilities with ``new_id``.  Of several records of one facility the smallest decides."""
+    columns = [*IMPORTED, *PLACE]
+    known = planned.where("action = 'update'").groupBy("facility_id").agg(F.min_by(F.struct(*IMPORTED), "source_record_id").alias("_new"))
     out = facilities.join(known, "facility_id", "left")
     hit = F.col("_new").isNotNull()
     changed = {c: F.when(hit, F.col("_new")[c]).otherwise(F.col(c)) for c in IMPORTED}
     changed["verification_status"] = F.when(hit, keep_stronger_status(F.col("verification_status"), F.lit(status))).otherwise(F.col("verification_status"))
-    out = out.withColumns(changed).select("facility_id", *IMPORTED, "publication_status", "verification_status")
-    made = rows.where("action = 'insert'").select(new_id.alias("facility_id"), *IMPORTED, F.lit("published").alias("publication_status"), F.lit(status).alias("verification_status"))
+    changed["publication_status"] = F.when(hit, "published").otherwise(F.col("publication_status"))
+    out = out.withColumns(changed).select("facility_id", *columns, "publication_status", "verification_status")
+    blank = [F.coalesce(c, F.lit("")).alias(c) if c in ("address", "postcode", "town") else F.col(c) for c in columns]
+    made = planned.where("action = 'insert'").select(new_id.alias("facility_id"), *blank, F.lit("published").alias("publication_status"), F.lit(status).alias("verification_status"))
     return out.unionByName(made)
 
 
@@ -107,9 +122,17 @@ def dry_run(raw: DataFrame, rows: int = 5) -> tuple[DataFrame, DataFrame]:
 
 
 def stale_facilities(facilities: DataFrame, sources: DataFrame) -> DataFrame:
-    """Facilities that had a source and have no current one; null ids in sources match nothing."""
-    had = sources.where("facility_id is not null").groupBy("facility_id").agg(F.max(F.col("is_current").cast("int")).alias("_current"))
-    return facilities.join(had.where("_current = 0"), "facility_id", "left_semi")
+    """Imported facilities without a current source row, whether they had one or never did; null ids in
+    sources match nothing."""
+    current = sources.where("is_current and facility_id is not null").select("facility_id")
+    return facilities.where("verification_status = 'source_imported'").join(current, "facility_id", "left_anti")
+
+
+def mark_stale(facilities: DataFrame, sources: DataFrame) -> DataFrame:
+    """All facilities, ``stale_facilities`` with that status."""
+    current = sources.where("is_current and facility_id is not null").select("facility_id").distinct().withColumn("_current", F.lit(True))
+    gone = (F.col("verification_status") == "source_imported") & F.col("_current").isNull()
+    return facilities.join(current, "facility_id", "left").withColumn("verification_status", F.when(gone, "stale").otherwise(F.col("verification_status"))).drop("_current")
 
 
 def statistics(raw: DataFrame, planned: DataFrame, stale: DataFrame) -> DataFrame:

@@ -78,8 +78,17 @@ select case when p_partkey%29=0 then ' ' else concat('s', cast(p_partkey as varc
 from {part}
 """
 
-VIEWS = {"facilities": FACILITIES, "reports": REPORTS, "favourites": FAVOURITES, "corrections": CORRECTIONS, "probes": PROBES, "source_rows": SOURCE}
-BASE = {"facilities": ["part"], "reports": ["events"], "favourites": ["orders", "lineitem"], "corrections": ["events"], "probes": ["part"], "source_rows": ["part"]}
+#: Stored source rows of the even ids, times as days before now; every third of these has an old row that
+#: names another facility.
+STORED_SOURCES = """
+select concat('s', cast(p_partkey as varchar(20))) as source_record_id, p_partkey as facility_id, p_partkey%14 <> 0 as is_current, cast(p_partkey%20 as int) as seen_days, case when p_partkey%10 <> 0 then 100 end as updated_days
+from {part} where p_partkey%2 = 0
+union all
+select concat('s', cast(p_partkey as varchar(20))), p_partkey+1, false, cast(p_partkey%20 + 8 as int), 200 from {part} where p_partkey%6 = 0
+"""
+
+VIEWS = {"stored_sources": STORED_SOURCES, "facilities": FACILITIES, "reports": REPORTS, "favourites": FAVOURITES, "corrections": CORRECTIONS, "probes": PROBES, "source_rows": SOURCE}
+BASE = {"stored_sources": ["part"], "facilities": ["part"], "reports": ["events"], "favourites": ["orders", "lineitem"], "corrections": ["events"], "probes": ["part"], "source_rows": ["part"]}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -471,6 +471,39 @@ def _(spark, sf):
     return alerts.alerts(favourites, wanted, facilities(spark, sf), _reports(spark, sf).where(F.col("created_at") <= now()), now())
 
 
+_POLLS_SQL = f"""with recursive r as (select *, unnest(range({AS_OF} - interval 24 hour, {AS_OF} + interval 1 minute, interval 30 minute)) as poll from reports where not is_expired),
+ a as (select v.user_id, f.facility_id, report_id, poll, case when type in ('closed','out_of_order','refurbishment') then concat('⚠️ ', name, ' - ', {_REPORT_LABEL}) else concat('📢 ', name, ' Update') end as title,
+  coalesce(nullif(notes,''), case when type in ('closed','out_of_order','refurbishment') then concat('This facility has been reported as ', type, '.') else concat('Status: ', {_REPORT_LABEL}) end) as body
+  from r join favourites v on v.facility_id = r.facility_id join facilities f on f.facility_id = r.facility_id where created_at <= poll and poll <= expires_at and v.user_id%4<>0 and ((v.user_id%2=0 and type in ('closed','out_of_order','refurbishment')) or (v.user_id%3=0 and type in ('cleaning','busy','no_water')))),
+ o as (select user_id, title, body, poll, min(struct_pack(report_id := report_id, facility_id := facility_id)) as g from a group by all),
+ n as (select *, row_number() over (partition by user_id, title, body order by poll) as i from o),
+ run as (select user_id, title, body, poll, g, i, true as sends, poll as had from n where i = 1
+  union all select n.user_id, n.title, n.body, n.poll, n.g, n.i, n.poll - had >= interval 1 hour, case when n.poll - had >= interval 1 hour then n.poll else had end from run join n on n.user_id = run.user_id and n.title = run.title and n.body = run.body and n.i = run.i + 1)
+ select user_id, g.facility_id as facility_id, g.report_id as report_id, title, body, poll as sent_at from run where sends"""
+
+
+def _preferences(favourites):
+    return favourites.select("user_id", "facility_id", F.lit(0).alias("position"), (F.col("user_id") % 4 != 0).alias("enabled"), (F.col("user_id") % 2 == 0).alias("closure_alerts"), (F.col("user_id") % 3 == 0).alias("update_alerts"))
+
+
+@query("alerts_polled", _POLLS_SQL, "facilities", "favourites", "reports")
+def _(spark, sf):
+    favourites = view(spark, sf, "favourites")
+    return alerts.polls(favourites, _preferences(favourites), facilities(spark, sf), _reports(spark, sf), now() - F.expr("interval 24 hours"), now())
+
+
+@query("alerts_outbox", f"""select user_id, title, body, concat('{{"facility_id":', facility_id, ',"report_id":', report_id, '}}') as data, {AS_OF} as sent_at from (select user_id, title, body, g.facility_id as facility_id, g.report_id as report_id from (select user_id, title, body, min(struct_pack(report_id := report_id, facility_id := facility_id)) as g from (
+ select v.user_id, r.facility_id, report_id, case when type in ('closed','out_of_order','refurbishment') then concat('⚠️ ', name, ' - ', {_REPORT_LABEL}) else concat('📢 ', name, ' Update') end as title,
+ coalesce(nullif(notes,''), case when type in ('closed','out_of_order','refurbishment') then concat('This facility has been reported as ', type, '.') else concat('Status: ', {_REPORT_LABEL}) end) as body
+ from favourites v join facilities f on f.facility_id=v.facility_id join reports r on r.facility_id=v.facility_id where {_ACTIVE} and created_at <= {AS_OF} and v.user_id%4<>0 and ((v.user_id%2=0 and type in ('closed','out_of_order','refurbishment')) or (v.user_id%3=0 and type in ('cleaning','busy','no_water')))) where user_id % 6 <> 2 group by 1, 2, 3))""", "facilities", "favourites", "reports")
+def _(spark, sf):
+    # what a poll sends if users whose number leaves 2 by 6 were told half an hour ago
+    favourites = view(spark, sf, "favourites")
+    found = alerts.alerts(favourites, _preferences(favourites), facilities(spark, sf), _reports(spark, sf).where(F.col("created_at") <= now()), now())
+    sent = found.where("user_id % 6 = 2").withColumn("sent_at", now() - F.expr("interval 30 minutes"))
+    return alerts.outbox(alerts.due(found, sent, now()), now())
+
+
 @query("access_codes_latest", "select facility_id, user_id, event_id, first_at as created_at from (select event_id%200 as facility_id, user_id, event_id, min(ts) over (partition by event_id%200, user_id) as first_at, row_number() over (partition by event_id%200, user_id order by event_id%2 desc, ts desc) as n from events) where n=1")
 def _(spark, sf):
     codes = table(spark, sf, "events").select((F.col("event_id") % 200).alias("facility_id"), "user_id", "event_id", F.col("ts").alias("created_at"))
@@ -537,37 +570,46 @@ def _(spark, sf):
 
 
 def _merge(spark, sf, reactivate=True):
-    """Staged rows are a day old at least; the stored snapshot holds the even ids."""
-    staged = etl.normalise(_source(spark, sf)).withColumn("source_updated_at", now() - F.make_dt_interval(F.col("age_days").cast("int")))
-    stored = table(spark, sf, "part").where("p_partkey % 2 = 0").select(
-        F.concat(F.lit("s"), F.col("p_partkey").cast("string")).alias("source_record_id"), F.col("p_partkey").alias("facility_id"),
-        F.when(F.col("p_partkey") % 10 != 0, now() - F.expr("interval 100 days")).alias("updated_at"), (F.col("p_partkey") % 14 != 0).alias("is_current"),
-        (now() - F.make_dt_interval((F.col("p_partkey") % 20).cast("int"))).alias("last_seen_at"),
-    )
+    """Staged rows are a day old at least, and every ninth came a second time, older; the stored
+    snapshot holds the even ids, some with rows of another facility."""
+    rows = etl.normalise(_source(spark, sf))
+    older = rows.where("source_key % 9 = 0").withColumns({"age_days": F.col("age_days") + 50, "name": F.lit("older")})
+    staged = rows.unionByName(older).withColumn("source_updated_at", now() - F.make_dt_interval(F.col("age_days").cast("int")))
+    ago = lambda c: now() - F.make_dt_interval(F.col(c))
+    stored = view(spark, sf, "stored_sources").select("source_record_id", "facility_id", ago("updated_days").alias("updated_at"), "is_current", ago("seen_days").alias("last_seen_at"))
     return etl.plan_merge(staged, stored, reactivate), stored
 
 
-_MERGE_SQL = f"with n as ({_NORMAL_SQL}), p as (select n.*, k.p_partkey as facility_id, case when k.p_partkey is null then 'insert' when k.p_partkey%10=0 or age_days<100 then 'update' else 'unchanged' end as action from n left join part k on k.p_partkey=n.source_key and k.p_partkey%2=0)"
+_MERGE_SQL = f"""with n as ({_NORMAL_SQL}),
+ s as (select * from (select *, row_number() over (partition by source_record_id order by age_days) as k from (select * from n union all select * replace ('older' as name, age_days + 50 as age_days) from n where source_key % 9 = 0)) where k = 1),
+ b as (select * from (select *, row_number() over (partition by source_record_id order by is_current desc, seen_days, facility_id) as k from stored_sources) where k = 1),
+ p as (select s.*, b.facility_id, case when b.facility_id is null then 'insert' when b.updated_days is null or s.age_days < b.updated_days then 'update' else 'unchanged' end as action from s left join b on b.source_record_id = s.source_record_id)"""
 
 
-@query("import_merge", _MERGE_SQL + " select source_record_id, coalesce(facility_id, 0) as facility_id, action from p", "source_rows")
+@query("import_merge", _MERGE_SQL + " select source_record_id, coalesce(facility_id, 0) as facility_id, action from p", "source_rows", "stored_sources")
 def _(spark, sf):
     return _merge(spark, sf)[0].select("source_record_id", F.coalesce("facility_id", F.lit(0)).alias("facility_id"), "action")
 
 
-_STORED_SQL = f", q as (select k.p_partkey as facility_id, coalesce(p.action is not null or case when {AS_OF} - to_days(cast(k.p_partkey%20 as int)) < {AS_OF} - interval 7 day then false else k.p_partkey%14<>0 end, false) as is_current from part k left join p on p.source_key=k.p_partkey where k.p_partkey%2=0)"
+_STORED_SQL = ", q as (select k.source_record_id, k.facility_id, case when p.facility_id = k.facility_id then true when p.action in ('update', 'unchanged') then k.is_current when k.seen_days > 7 then false else k.is_current end as is_current from stored_sources k left join p on p.source_record_id = k.source_record_id)"
+_IMPORTED_STATUS = "case when is_verified then 'confirmed' else 'source_imported' end"
+
 
+def _imported_facilities(spark, sf):
+    """Facilities as an import finds them: a third confirmed, no opening hours."""
+    return facilities(spark, sf).withColumns({"requires_radar_key": F.lit(None).cast("boolean"), "opening_hours": F.lit(None).cast(etl.normalise(_source(spark, sf)).schema["opening_hours"].dataType), "verification_status": F.when(F.col("is_verified"), "confirmed").otherwise("source_imported")})
 
-@query("stale_facilities", _MERGE_SQL + _STORED_SQL + " select facility_id from q where not is_current", "source_rows")
+
+@query("stale_facilities", _MERGE_SQL + _STORED_SQL + " select facility_id from facilities where not is_verified and facility_id not in (select facility_id from q where is_current)", "facilities", "source_rows", "stored_sources")
 def _(spark, sf):
     planned, stored = _merge(spark, sf)
-    return etl.stale_facilities(facilities(spark, sf), etl.merge_sources(stored, planned, now())).select("facility_id")
+    return etl.stale_facilities(_imported_facilities(spark, sf), etl.merge_sources(stored, planned, now())).select("facility_id")
 
 
-@query("import_stats", _MERGE_SQL + _STORED_SQL + f", e as ({_ERRORS_SQL}) select (select count(*) from e) as received, (select count(*) from e where errors='') as valid, (select count(*) from e where errors<>'') as quarantined, (select count(*) from p where action='insert') as inserted, (select count(*) from p where action='update') as updated, (select count(*) from p where action='unchanged') as unchanged, (select count(*) from q where not is_current) as stale", "source_rows")
+@query("import_stats", _MERGE_SQL + _STORED_SQL + f", e as ({_ERRORS_SQL}) select (select count(*) from e) as received, (select count(*) from e where errors='') as valid, (select count(*) from e where errors<>'') as quarantined, (select count(*) from p where action='insert') as inserted, (select count(*) from p where action='update') as updated, (select count(*) from p where action='unchanged') as unchanged, (select count(*) from facilities where not is_verified and facility_id not in (select facility_id from q where is_current)) as stale", "facilities", "source_rows", "stored_sources")
 def _(spark, sf):
     planned, stored = _merge(spark, sf)
-    stale = etl.stale_facilities(facilities(spark, sf), etl.merge_sources(stored, planned, now()))
+    stale = etl.stale_facilities(_imported_facilities(spark, sf), etl.merge_sources(stored, planned, now()))
     return etl.statistics(_source(spark, sf), planned, stale)
 
 
@@ -693,19 +735,24 @@ def _(spark, sf):
 _NEW_ID = 1_000_000_000
 
 
-@query("import_merged_facilities", _MERGE_SQL + f""" select f.facility_id, coalesce(case when p.action = 'update' then p.name end, f.name) as name, case when p.action = 'update' then p.latitude else f.latitude end as latitude,
- case when p.action = 'update' then p.is_free else f.is_free end as is_free, publication_status, case when is_verified then 'confirmed' else 'source_imported' end as verification_status from facilities f left join p on p.facility_id = f.facility_id
- union all select source_key + {_NEW_ID}, name, latitude, is_free, 'published', 'source_imported' from p where action = 'insert'""", "facilities", "source_rows")
+@query("import_merged_facilities", _MERGE_SQL + _STORED_SQL + f""", u as (select * from (select *, row_number() over (partition by facility_id order by source_record_id) as k2 from p where action = 'update') where k2 = 1),
+ f as (select f.facility_id, coalesce(u.name, f.name) as name, f.latitude, case when u.action is not null then u.is_free else f.is_free end as is_free, case when u.action is not null then null else f.postcode end as postcode, coalesce(u.has_hours, false) as has_hours,
+  case when u.action is not null then 'published' else f.publication_status end as publication_status, {_IMPORTED_STATUS} as verification_status from facilities f left join u on u.facility_id = f.facility_id
+  union all select source_key + {_NEW_ID}, name, latitude, is_free, '', has_hours, 'published', 'source_imported' from p where action = 'insert'),
+ c as (select facility_id from q where is_current union all select source_key + {_NEW_ID} from p where action = 'insert')
+ select facility_id, name, latitude, is_free, postcode, has_hours, publication_status, case when verification_status = 'source_imported' and facility_id not in (select facility_id from c) then 'stale' else verification_status end as verification_status from f""", "facilities", "source_rows", "stored_sources")
 def _(spark, sf):
-    planned, _ = _merge(spark, sf)
-    have = facilities(spark, sf).withColumns({"requires_radar_key": F.lit(None).cast("boolean"), "verification_status": F.when(F.col("is_verified"), "confirmed").otherwise("source_imported")})
-    return etl.merged_facilities(have, planned, F.col("source_key") + _NEW_ID).select("facility_id", "name", "latitude", "is_free", "publication_status", "verification_status")
+    planned, stored = _merge(spark, sf)
+    new_id = F.col("source_key") + _NEW_ID
+    merged = etl.merged_facilities(_imported_facilities(spark, sf), planned, new_id)
+    out = etl.mark_stale(merged, etl.merged_sources(stored, planned, now(), new_id))
+    return out.select("facility_id", "name", "latitude", "is_free", "postcode", F.col("opening_hours").isNotNull().alias("has_hours"), "publication_status", "verification_status")
 
 
-@query("import_merged_sources", _MERGE_SQL + _STORED_SQL + f" select facility_id, is_current from q union all select source_key + {_NEW_ID}, true from p where action = 'insert'", "source_rows")
+@query("import_merged_sources", _MERGE_SQL + _STORED_SQL + f" select source_record_id, facility_id, is_current from q union all select source_record_id, source_key + {_NEW_ID}, true from p where action = 'insert'", "source_rows", "stored_sources")
 def _(spark, sf):
     planned, stored = _merge(spark, sf)
-    return etl.merged_sources(stored, planned, now(), F.col("source_key") + _NEW_ID).select("facility_id", "is_current")
+    return etl.merged_sources(stored, planned, now(), F.col("source_key") + _NEW_ID).select("source_record_id", "facility_id", "is_current")
 
 
 @query("import_dry_run", f"with n as ({_NORMAL_SQL}) select source_record_id, name from n order by source_record_id limit 5", "source_rows")

@@ -28,8 +28,11 @@ def test_import_runs(spark):
     after = etl.merge_sources(stored, plan, at())
     got = {r.source_record_id: (r.is_current, r.last_seen_at == NOW) for r in after.collect()}
     assert got == {"a": (True, True), "b": (True, True), "c": (False, False), "d": (True, True), "e": (True, False)}
-    f = spark.createDataFrame([(i,) for i in range(1, 7)], "facility_id long")
-    assert [r.facility_id for r in etl.stale_facilities(f, after).collect()] == [3]
+    f = spark.createDataFrame([(i, "confirmed" if i == 7 else "source_imported") for i in range(1, 8)], "facility_id long, verification_status string")
+    # 3 has gone, 6 never had a source; 7 neither, but someone confirmed it
+    assert sorted(r.facility_id for r in etl.stale_facilities(f, after).collect()) == [3, 6]
+    with_null = after.unionByName(after.limit(1).withColumn("facility_id", F.lit(None).cast("long")))
+    assert {r.facility_id: r.verification_status for r in etl.mark_stale(f, with_null).collect() if r.verification_status == "stale"}.keys() == {3, 6}
     again = etl.plan_merge(staged.where("source_record_id <> 'n'"), after)
     assert {r.action for r in again.collect()} == {"unchanged"}
 
@@ -119,17 +122,28 @@ def test_rank_keeps_input_order_on_ties(spark, small):
 
 
 def test_merge_takes_one_source_row_and_yields_tables(spark):
-    stored = spark.createDataFrame([("a", 1, NOW - DAY, True, NOW), ("a", 9, NOW - 9 * DAY, False, NOW - 8 * DAY), ("b", 2, NOW, True, NOW)], STORED)
-    columns = "source_record_id string, source_updated_at timestamp_ntz, name string, latitude double, longitude double, address string, town string, is_accessible boolean, has_baby_changing boolean, requires_radar_key boolean, is_free boolean"
-    row = lambda i, at: (i, at, f"new {i}", 1.0, 2.0, "x", "t", True, None, None, False)
-    plan = etl.plan_merge(spark.createDataFrame([row("a", NOW), row("b", None), row("c", NOW)], columns), stored)
-    assert sorted((r.source_record_id, r.facility_id, r.action) for r in plan.collect()) == [("a", 1, "update"), ("b", 2, "update"), ("c", None, "insert")]
-    names = "facility_id long, name string, latitude double, longitude double, address string, town string, is_accessible boolean, has_baby_changing boolean, requires_radar_key boolean, is_free boolean, publication_status string, verification_status string"
-    old = lambda i, status: (i, f"old {i}", 5.0, 6.0, "y", "u", None, True, True, True, "hidden", status)
-    got = {r.facility_id: r for r in etl.merged_facilities(spark.createDataFrame([old(1, "confirmed"), old(2, None), old(3, "confirmed")], names), plan, F.lit(77).cast("long")).collect()}
-    assert {i: (r.name, r.publication_status, r.verification_status) for i, r in got.items()} == {1: ("new a", "hidden", "confirmed"), 2: ("new b", "hidden", "source_imported"), 3: ("old 3", "hidden", "confirmed"), 77: ("new c", "published", "source_imported")}
-    after = {r.facility_id: (r.updated_at, r.is_current) for r in etl.merged_sources(stored, plan, at(), F.lit(77).cast("long")).collect()}
-    assert after[2] == (NOW, True) and after[77] == (NOW, True)
+    """Record a has a current row (facility 1) and a historic one (facility 9), and came twice."""
+    stored = spark.createDataFrame([("a", 1, NOW - DAY, True, NOW), ("a", 9, NOW - 9 * DAY, False, NOW - 8 * DAY), ("b", 2, NOW, True, NOW), ("z", 8, NOW, True, NOW - 8 * DAY)], STORED)
+    columns = "source_record_id string, source_updated_at timestamp_ntz, name string, latitude double, longitude double, address string, postcode string, town string, is_accessible boolean, has_baby_changing boolean, requires_radar_key boolean, is_free boolean, opening_hours array<array<string>>"
+    row = lambda i, at, name=None: (i, at, name or f"new {i}", 1.0, 2.0, "x", None, "t", True, None, None, False, [["09:00", "17:00"]])
+    staged = [row("a", NOW), row("a", NOW - 2 * DAY, "older"), row("a", NOW, "zz tie"), row("b", None), row("b", NOW, "not now"), row("c", NOW), row("c", NOW - DAY, "older")]
+    plan = etl.plan_merge(spark.createDataFrame(staged, columns), stored)
+    assert sorted((r.source_record_id, r.facility_id, r.action, r.name) for r in plan.collect()) == [("a", 1, "update", "new a"), ("b", 2, "update", "new b"), ("c", None, "insert", "new c")]
+    names = "facility_id long, name string, latitude double, longitude double, address string, postcode string, town string, is_accessible boolean, has_baby_changing boolean, requires_radar_key boolean, is_free boolean, opening_hours array<array<string>>, publication_status string, verification_status string"
+    old = lambda i, status: (i, f"old {i}", 5.0, 6.0, "y", "L1", "u", None, True, True, True, None, "hidden", status)
+    have = spark.createDataFrame([old(1, "confirmed"), old(2, None), old(3, "confirmed"), old(8, "source_imported"), old(9, "source_imported"), old(10, "source_imported")], names)
+    merged = etl.merged_facilities(have, plan, F.lit(77).cast("long"))
+    got = {r.facility_id: r for r in merged.collect()}
+    assert {i: (r.name, r.latitude, r.postcode, r.publication_status, r.verification_status, r.opening_hours is not None) for i, r in got.items()} == {
+        1: ("new a", 5.0, None, "published", "confirmed", True), 2: ("new b", 5.0, None, "published", "source_imported", True), 3: ("old 3", 5.0, "L1", "hidden", "confirmed", False),
+        8: ("old 8", 5.0, "L1", "hidden", "source_imported", False), 9: ("old 9", 5.0, "L1", "hidden", "source_imported", False), 10: ("old 10", 5.0, "L1", "hidden", "source_imported", False), 77: ("new c", 1.0, "", "published", "source_imported", True),
+    }
+    sources = etl.merged_sources(stored, plan, at(), F.lit(77).cast("long"))
+    after = {r.facility_id: (r.updated_at, r.is_current, r.last_seen_at) for r in sources.collect()}
+    assert after == {1: (NOW, True, NOW), 9: (NOW - 9 * DAY, False, NOW), 2: (NOW, True, NOW), 8: (NOW, False, NOW - 8 * DAY), 77: (NOW, True, NOW)}
+    assert sources.count() == 5
+    # 8 lost its source, 9 has an old one only, 10 never had one
+    assert sorted(r.facility_id for r in etl.mark_stale(merged, sources).where("verification_status = 'stale'").collect()) == [8, 9, 10]
 
 
 def test_reports_pass_limits_and_repeats(spark):
