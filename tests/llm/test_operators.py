@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import inspect
 import math
 import random
 import re
@@ -281,23 +282,96 @@ def test_prefix_bound_is_safe():
 # --- 5 ---
 
 
-def test_chain_score_is_the_best(spark):
-    r = random.Random(2)
-    for _ in range(30):
-        n = r.randint(1, 40)
-        a, o = (np.array([r.randrange(60) for _ in range(n)]) for _ in range(2))
-        found = chains.chain(a, o)
-        for c in found:
-            assert all(a[i] < a[j] and o[i] < o[j] for i, j in zip(c, c[1:]))
-        order = sorted(range(n), key=lambda i: (a[i], o[i]))
+def _wrong_chains(chain, r):
+    """Of random seeds, how often the first chain isn't one of the best score, or chains don't ascend."""
+    wrong = 0
+    for _ in range(60):
+        n, far = r.randint(1, 40), r.choice([30, 60, 400])
+        a, o = (np.array([r.randrange(far) for _ in range(n)]) for _ in range(2))
+        found = chain(a, o)
+        assert sorted(i for c in found for i in c) == list(range(n))
         best = {}
-        for i in order:
+        for i in sorted(range(n), key=lambda i: (a[i], o[i])):
             best[i] = 5 + max([0.0, *(best[j] - chains.GAP_COST * float(a[i] - a[j] + o[i] - o[j]) for j in best if a[j] < a[i] and o[j] < o[i])])
-        top = max(best.values())
-        if found and len(found[0]) >= chains.MIN_SEEDS:
-            c = found[0]
-            score = 5 * len(c) - chains.GAP_COST * float(a[c[-1]] - a[c[0]] + o[c[-1]] - o[c[0]])
-            assert score <= top + 1e-9
+        c = found[0]
+        score = 5 * len(c) - chains.GAP_COST * float(a[c[-1]] - a[c[0]] + o[c[-1]] - o[c[0]])
+        ascend = all(a[i] < a[j] and o[i] < o[j] for c in found for i, j in zip(c, c[1:]))
+        wrong += not ascend or abs(score - max(best.values())) > 1e-9
+    return wrong
+
+
+def test_chain_score_is_the_best(monkeypatch):
+    monkeypatch.setattr(chains, "MIN_SEEDS", 1)
+    assert _wrong_chains(chains.chain, random.Random(2)) == 0
+
+
+@pytest.mark.parametrize("right, broken", [("if tree[r] > best:", "if best == -1e18:"), ("if value > tree[r]:", "if True:"), ("r -= r & -r", "r -= 1 if r % 3 else r"), ("r += r & -r", "r += r"), ("int(rank[i]) - 1,", "int(rank[i]),"), ("- here\n", "- here / 2\n")])
+def test_a_broken_tree_is_noticed(monkeypatch, right, broken):
+    """The test above fails for any of these changes to the tree."""
+    monkeypatch.setattr(chains, "MIN_SEEDS", 1)
+    source = inspect.getsource(chains.chain)
+    assert source.count(right) == 1
+    scope = dict(vars(chains))
+    exec(source.replace(right, broken), scope)
+    try:
+        assert _wrong_chains(scope["chain"], random.Random(2)) > 0
+    except (AssertionError, IndexError):
+        pass
+
+
+def test_texts_of_one_id_are_judged_apart(spark):
+    r = random.Random(18)
+    passage, plenty = _invented(r, 60), _invented(r, 90)
+    rows = [(1, _invented(r, 20) + passage), (2, passage + _invented(r, 20)), (2, plenty), (3, _invented(r, 5) + passage), (4, plenty), (4, plenty)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    found = {(p.doc, p.start, p.end, p.other, p.other_start, p.other_end, p.matches) for p in chains.fuzzy_passages(docs).collect()}
+    assert found >= {(2, 0, 60, 1, 20, 80, 60), (3, 5, 65, 1, 20, 80, 60), (3, 5, 65, 2, 0, 60, 60), (4, 0, 90, 2, 0, 90, 90)}
+    assert all((e - s, m) in ((60, 60), (90, 90)) for _, s, e, _, _, _, m in found)
+    spans = chains.fuzzy_passages(docs)
+    assert {p.v for p in spans.where("doc = 2").collect()} == {docs.where("doc_id = 2").select(chains.version().alias("v")).first().v}
+
+
+def test_seeds_count_once_their_words_are_compared():
+    x, y = np.arange(100, dtype=np.uint32), np.arange(1000, 1100, dtype=np.uint32)
+    places = np.arange(0, 90, 5)
+    assert chains.pieces(places, places, x, 0, y, 0) == []
+    assert chains.pieces(places + 50, places, x, 0, y, 0) == []  # beyond the text
+    y[:60] = x[:60]
+    assert chains.pieces(places, places, x, 0, y, 0) == [(0, 60, 0, 60, 60)]
+
+
+@pytest.mark.parametrize("hot", [2_000, 3])
+def test_planted_fuzzy_passages_are_found(spark, monkeypatch, hot):
+    """Copies with a tenth of their words changed, left out or put in, one passage in every third
+    document: at least nine tenths of them are covered, and nothing else is."""
+    monkeypatch.setattr(chains, "HOT_PAIRS", hot)
+    r = random.Random(19)
+    passages = [_invented(r, r.randint(60, 140)) for _ in range(12)]
+
+    def copy(words):
+        out = []
+        for w in words:
+            kind = r.random()
+            out += [w] if kind > 0.1 else [] if kind < 0.03 else [f"e{r.randrange(10**9)}"] * (1 if kind < 0.07 else 2)
+        return out
+
+    texts, planted = [], []
+    for i in range(120):
+        k = 0 if i % 3 == 0 else 1 + i % 11
+        head, own = _invented(r, r.randint(5, 60)), passages[k] if i < 24 else copy(passages[k])
+        texts.append(head + own + _invented(r, r.randint(5, 60)))
+        planted.append((k, len(head), len(head) + len(own)))
+    found = {}
+    for doc, _, s, e in _found(spark, texts):
+        found.setdefault(doc - 1, set()).update(range(s, e))
+    caught = total = 0
+    for i in range(24, 120):
+        k, s, e = planted[i]
+        total += 1
+        caught += len(found.get(i, set()) & set(range(s, e))) >= 0.8 * (e - s)
+        assert len(found.get(i, set()) - set(range(s - 2, e + 2))) == 0
+    print(f"recall of planted fuzzy passages: {caught / total:.3f}")
+    assert caught >= 0.9 * total
 
 
 def test_passages(docs, empty):
@@ -343,20 +417,20 @@ def test_two_passages_of_one_chain(spark):
 
 def test_earlier_places_of_hot_keys(spark, monkeypatch):
     r = random.Random(8)
-    rows = [(key, r.randint(0, 1) * 10**6 + r.randint(0, 40), r.randint(0, 9), int(key == 3)) for key, n in ((1, 90), (2, 4), (3, 60), (4, 11)) for _ in range(n)]
+    rows = [(key, r.randint(0, 1) * 10**6 + r.randint(0, 40), r.randint(0, 9), int(key == 3) + 2 * r.randint(0, 2**31 - 1)) for key, n in ((1, 90), (2, 4), (3, 60), (4, 11)) for _ in range(n)]
     rows += [(5, 7, a, 0) for a in range(30)]
     shared = spark.createDataFrame(rows, "key long, doc long, a long, b long")
 
     def best(key, doc, a, b):
-        before = sorted((d, x) for k, d, x, _ in rows if k == key and d < doc)
-        return (doc, a, b, before[0] if before else None, before[-1] if before and not b else None)
+        before = sorted((d, x, v // 2) for k, d, x, v in rows if k == key and d < doc)
+        return (doc, a, b % 2, b // 2, before[0] if before else None, before[-1] if before and not b % 2 else None)
 
     want = sorted(map(repr, (best(*row) for row in rows)))
     for hot, sent in ((10, 10_000), (10, 0), (10_000, 10_000)):
         monkeypatch.setattr(chains, "HOT_ROWS", hot)
         monkeypatch.setattr(chains, "MOST_SENT", sent)
         got = chains.earlier_places(shared).collect()
-        assert sorted(repr((p.doc, p.a, p.b, p.first and tuple(p.first), p.before and tuple(p.before))) for p in got) == want
+        assert sorted(repr((p.doc, p.a, p.kind, p.v, p.first and tuple(p.first), p.before and tuple(p.before))) for p in got) == want
 
 
 def test_pieces_hold_every_passage_of_a_chain():
