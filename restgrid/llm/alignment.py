@@ -41,8 +41,8 @@ SHARDS = 64
 BLOCK = 1 << 24
 #: Pairs that a task holds before it sends them, cached units and their links.
 HELD = 1 << 21
-CACHED = 1 << 18
-CACHED_LINKS = 1 << 22
+CACHED = 1 << 19
+CACHED_LINKS = 1 << 23
 NAMES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 _PAIR_SHIFT = np.int64(21)
 
@@ -55,6 +55,9 @@ class Pair:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.a, self.b = tokenizer(a_path, True), sentencepiece.SentencePieceProcessor(model_file=b_path)
+        # the same tokenizer with its special string, which then ends a text: many units are one call
+        self.a_many = tokenizer(a_path, False)
+        self.end, self.end_id = next(((t.content, i) for i, t in self.a_many.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)), (None, None))
         # characters that stand for bytes: those of printable Latin-1 for themselves, others from 256 on
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         spelt = {chr(x): x for x in own} | {chr(256 + i): x for i, x in enumerate(x for x in range(256) if x not in own)}
@@ -81,9 +84,33 @@ class Pair:
         at = np.minimum(np.searchsorted(self.inner, pairs), len(self.inner) - 1)
         return self.inner[at] != pairs
 
-    def encode(self, texts: list[str]) -> list[list[list[int]]]:
-        """A's and B's ids of each unit; the space that B adds and a line feed stand before, and are taken off."""
-        return [[e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)], [x[2:] for x in self.b.encode(["\n" + t for t in texts], num_threads=1)]]
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For A and B the ids of all units one after another, and how many each has."""
+        if self.end and not any(self.end in t for t in texts):
+            ids = np.array(self.a_many.encode_batch_fast([self.end.join(texts)], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.append(np.flatnonzero(ids == self.end_id), len(ids))
+            a = ids[ids != self.end_id], np.diff(ends, prepend=-1) - 1
+        else:
+            a = _flat([e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)])
+        # the space that B adds and a line feed stand before a unit, and are taken off
+        return [a, _flat([x[2:] for x in self.b.encode(["\n" + t for t in texts], num_threads=1)])]
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    n = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(n.sum())), n
+
+
+def _sorted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """x in order, and where a new value begins."""
+    x, new = np.sort(x), np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x, new
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x, new = _sorted(x)
+    return x[new]
 
 
 @lru_cache(maxsize=2)
@@ -133,18 +160,16 @@ class Store:
     def _add(self, units: list[bytes], text: bool) -> None:
         size = np.array([len(u) for u in units], np.int64)
         ids = self.known.encode([u.decode() for u in units])
-        right, whole = np.ones(len(units), bool), b"".join(units)
-        for lists, (raw, sizes) in zip(ids, self.known.tables):
-            if b"".join(self._bytes(lists, raw, sizes)) != whole:
-                right &= np.array([b"".join(self._bytes([x], raw, sizes)) == u for x, u in zip(lists, units)])
+        right = np.ones(len(units), bool)
+        for (flat, n), (raw, sizes) in zip(ids, self.known.tables):
+            right &= self._gives(flat, n, raw, sizes, units, size)
+        if not right.all():
+            ids = [(flat[np.repeat(right, n)], np.where(right, n, 0)) for flat, n in ids]
         ends = np.cumsum(np.where(right, size, 0))
-        flat, stop, n = [], [], []
-        for lists, (_, sizes) in zip(ids, self.known.tables):
-            kept = [x for x, ok in zip(lists, right) if ok]
-            flat.append(np.fromiter(chain.from_iterable(kept), np.int64))
-            stop.append(np.cumsum(sizes[flat[-1]]))
-            n.append(np.array([len(x) if ok else 0 for x, ok in zip(lists, right)], np.int64))
-        every, both = np.union1d(*stop), np.intersect1d(*stop, assume_unique=True)
+        flat, n = zip(*ids)
+        stop = [np.cumsum(sizes[x]) for x, (_, sizes) in zip(flat, self.known.tables)]
+        every, new = _sorted(np.concatenate(stop))
+        every, both = every[new], every[~new]
         links = (flat[0][np.searchsorted(stop[0], every)] << B_BITS | flat[1][np.searchsorted(stop[1], every)]).astype(np.uint32)
         until, grouped = np.searchsorted(every, ends, "right"), np.searchsorted(both, ends, "right")
         at, off = len(self.rows), self.off[len(self.rows)]
@@ -160,10 +185,13 @@ class Store:
         self.rows.update(zip(units, range(at, at + len(units))))
 
     @staticmethod
-    def _bytes(lists, raw: np.ndarray, sizes: np.ndarray):
-        ids = np.fromiter(chain.from_iterable(lists), np.int64)
-        off = np.concatenate([[0], np.cumsum(sizes)])
-        yield _spread(raw, off, ids)[0].tobytes()
+    def _gives(ids: np.ndarray, n: np.ndarray, raw: np.ndarray, sizes: np.ndarray, units: list[bytes], size: np.ndarray) -> np.ndarray:
+        """Whether the bytes of each unit's tokens are the unit."""
+        made = _spread(raw, np.concatenate([[0], np.cumsum(sizes)]), ids)[0].tobytes()
+        if made == b"".join(units):
+            return np.ones(len(units), bool)
+        ends = np.concatenate([[0], np.cumsum(sizes[ids])])[np.cumsum(n)]
+        return np.array([made[a:z] == u for a, z, u in zip([0, *ends[:-1].tolist()], ends.tolist(), units)])
 
 
 def unit_windows(column: pa.Array, packed: bytes, paths: tuple[str, str], text: bool):
@@ -275,14 +303,14 @@ def pair_counts(docs: DataFrame, a_path: str = BYTE_LEVEL, b_path: str = PIECES)
             found, lost = [], np.zeros(batch.num_rows, bool)
             for owner, first, which, rows, store in unit_windows(batch.column(0), packed, paths, False):
                 n = len(rows)
-                mine = np.unique(np.repeat(owner, np.diff(first)) * n + which)  # a document's distinct units
+                mine = _distinct(np.repeat(owner, np.diff(first)) * n + which)  # a document's distinct units
                 of, unit = mine // n, rows[mine % n]
                 lost[of[store.counts[unit, 0] == 0]] = True
                 links, size = _spread(store.links, store.off, unit)
-                found.append(np.unique(np.repeat(of, size).astype(np.uint64) << np.uint64(32) | links))
+                found.append(_distinct(np.repeat(of, size).astype(np.uint64) << np.uint64(32) | links))
             if not found:
                 continue
-            each = np.unique(np.concatenate(found)) if len(found) > 1 else found[0]
+            each = _distinct(np.concatenate(found)) if len(found) > 1 else found[0]
             each = each[~lost[(each >> np.uint64(32)).astype(np.int64)]].astype(np.uint32)
             values, n = np.unique(each, return_counts=True)
             keys.append(values)
