@@ -94,18 +94,21 @@ def _values(rows, cols, y) -> np.ndarray:
     return apart / (apart + CALM)
 
 
-def _fit(rows, cols, y) -> tuple[np.ndarray, np.ndarray, float]:
+def _fit(rows, cols, y, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, float]:
     """Adam on the logistic loss of seeded batches with a light L2 penalty; ``rows`` ascend.
-    The buckets' values are multiplied into the weights and factors that are returned."""
+    The buckets' values are multiplied into the weights and factors that are returned; buckets without
+    a value stay 0, so only the others are held while the machine is fitted."""
     rng, n = np.random.default_rng(SEED), len(y)
     value = _values(rows, cols, y)
     live = value[cols] > 0
     rows, cols = rows[live], cols[live]
+    kept = np.unique(cols)  # the buckets that are fitted
+    cols, value, m = np.searchsorted(kept, cols), value[kept], len(kept)
     first_of = np.searchsorted(rows, np.arange(n + 1))
-    p = {"w": np.zeros(BUCKETS), "v": rng.normal(0, 0.01, (BUCKETS, FACTORS)), "b": np.array(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))}
+    p = {"w": np.zeros(m), "v": rng.normal(0, 0.01, (BUCKETS, FACTORS))[kept], "b": np.array(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))}
     first, second = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
     order = np.zeros(0, np.int64)
-    for t in range(1, STEPS + 1):
+    for t in range(1, steps + 1):
         if len(order) < min(BATCH, n):
             order = rng.permutation(n)
         some, order = order[:BATCH], order[BATCH:]
@@ -117,13 +120,15 @@ def _fit(rows, cols, y) -> tuple[np.ndarray, np.ndarray, float]:
         z, s = _machine(at, np.arange(len(c)), len(some), p["w"][c] * x, vx, p["b"])
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[some]) / len(some)
         pull = g[at] * x
-        grad = {"w": np.bincount(c, pull, BUCKETS) + 1e-5 * p["w"], "b": g.sum()}
-        grad["v"] = np.stack([np.bincount(c, pull * (s[at, f] - vx[:, f]), BUCKETS) for f in range(FACTORS)], 1) + 1e-5 * p["v"]
+        grad = {"w": np.bincount(c, pull, m) + 1e-5 * p["w"], "b": g.sum()}
+        grad["v"] = np.stack([np.bincount(c, pull * (s[at, f] - vx[:, f]), m) for f in range(FACTORS)], 1) + 1e-5 * p["v"]
         for k in p:
             first[k] = 0.9 * first[k] + 0.1 * grad[k]
             second[k] = 0.99 * second[k] + 0.01 * grad[k] ** 2
             p[k] = p[k] - RATE * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.99**t)) + 1e-8)
-    return p["w"] * value, p["v"] * value[:, None], float(p["b"])
+    weights, factors = np.zeros(BUCKETS), np.zeros((BUCKETS, FACTORS))
+    weights[kept], factors[kept] = p["w"] * value, p["v"] * value[:, None]
+    return weights, factors, float(p["b"])
 
 
 def _train(table: pa.Table) -> pa.Table:
