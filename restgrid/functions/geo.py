@@ -3,11 +3,21 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EARTH_KM = 6371.0
+#: WGS84: radius at the equator, flattening, and what follows from them.
+EQUATOR_M, FLATTENING = 6_378_137.0, 1 / 298.257223563
+POLE_M = EQUATOR_M * (1 - FLATTENING)
+MEAN_M = (2 * EQUATOR_M + POLE_M) / 3
+#: Steps at most, and radians of longitude by which the last may still move.
+SPHEROID_STEPS, SETTLED = 20, 1e-12
+#: A degree of latitude has at least 110.574 km on the spheroid, and one of longitude more than on the
+#: sphere of EARTH_KM, so a box of KM_A_DEGREE this much wider holds every point of the circle.
+SPHEROID_MARGIN = 1.01
 KM_A_DEGREE = 111.0
 #: Symbols of the simplified code.  The word lists of the simulated address are our own.
 CODE_SYMBOLS = "23456789CFGHJMPQRVWX"
@@ -35,6 +45,66 @@ def haversine_km(lat1, lng1, lat2, lng2) -> Column:
     return F.lit(EARTH_KM * 2) * F.atan2(F.sqrt(a), F.sqrt(1 - a))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _struct(**parts: Column) -> Column:
+    return F.struct(*[x.alias(n) for n, x in parts.items()])
+
+
+def spheroid_metres(lat1, lng1, lat2, lng2) -> Column:
+    """Metres of the geodesic on the WGS84 spheroid: the inverse series in the longitude on the auxiliary
+    sphere, iterated at most SPHEROID_STEPS times, to within half a millimetre.
+
+    Defined for all points: equal ones give 0, poles and lines across the date line are like any other.  Lines on
+    which the iteration doesn't settle (both ends within about half a degree of each other's antipode)
+    have their length on the sphere of the mean radius, within 0.6 %.  Nulls give null.
+    """
+    lat1, lng1, lat2, lng2 = (x if isinstance(x, Column) else F.lit(float(x)) for x in (lat1, lng1, lat2, lng2))
+    f = FLATTENING
+    reduced = lambda lat: F.atan2((1 - f) * F.sin(F.radians(lat)), F.cos(F.radians(lat)))
+    turn = F.radians(lng2 - lng1)
+    fixed = _struct(u=reduced(lat1), v=reduced(lat2), lng=F.atan2(F.sin(turn), F.cos(turn)))
+    fixed = _let(fixed, lambda x: _struct(lng=x["lng"], ss=F.sin(x["u"]) * F.sin(x["v"]), cc=F.cos(x["u"]) * F.cos(x["v"]), sc=F.sin(x["u"]) * F.cos(x["v"]), cs=F.cos(x["u"]) * F.sin(x["v"]), cv=F.cos(x["v"])))
+
+    def arc(k: Column, lam: Column) -> Column:
+        """The arc on the auxiliary sphere: its sine, cosine and length, and the azimuth at the equator."""
+        turned = _let(_struct(s=F.sin(lam), c=F.cos(lam)), lambda t: _struct(s=t["s"], x=k["cv"] * t["s"], y=k["cs"] - k["sc"] * t["c"], cos=k["ss"] + k["cc"] * t["c"]))
+        long = _let(turned, lambda t: _struct(s=t["s"], sin=F.sqrt(t["x"] * t["x"] + t["y"] * t["y"]), cos=t["cos"]))
+        with_alpha = _let(long, lambda t: _struct(sin=t["sin"], cos=t["cos"], sigma=F.atan2(t["sin"], t["cos"]), alpha=F.when(t["sin"] == 0, 0.0).otherwise(k["cc"] * t["s"] / t["sin"])))
+        squared = _let(with_alpha, lambda t: _struct(sin=t["sin"], cos=t["cos"], sigma=t["sigma"], alpha=t["alpha"], c2=1 - t["alpha"] * t["alpha"]))
+        return _let(squared, lambda t: _struct(sin=t["sin"], cos=t["cos"], sigma=t["sigma"], alpha=t["alpha"], c2=t["c2"], mid=F.when(t["c2"] < 1e-15, 0.0).otherwise(t["cos"] - 2 * k["ss"] / t["c2"])))
+
+    def step(k: Column, lam: Column) -> Column:
+        def turned(t: Column) -> Column:
+            c = f / 16 * t["c2"] * (4 + f * (4 - 3 * t["c2"]))
+            return _let(c, lambda c: k["lng"] + (1 - c) * f * t["alpha"] * (t["sigma"] + c * t["sin"] * (t["mid"] + c * t["cos"] * (2 * t["mid"] * t["mid"] - 1))))
+
+        return _let(arc(k, lam), turned)
+
+    def length(t: Column) -> Column:
+        u2 = t["c2"] * (EQUATOR_M**2 - POLE_M**2) / POLE_M**2
+
+        def series(w: Column) -> Column:
+            a = 1 + w["u2"] / 16384 * (4096 + w["u2"] * (-768 + w["u2"] * (320 - 175 * w["u2"])))
+            b, m2 = w["b"], w["m2"]
+            bend = b * t["sin"] * (t["mid"] + b / 4 * (t["cos"] * (2 * m2 - 1) - b / 6 * t["mid"] * (4 * t["sin"] * t["sin"] - 3) * (4 * m2 - 3)))
+            return POLE_M * a * (t["sigma"] - bend)
+
+        return _let(u2, lambda u: _let(_struct(u2=u, b=u / 1024 * (256 + u * (-128 + u * (74 - 47 * u))), m2=t["mid"] * t["mid"]), series))
+
+    def whole(k: Column) -> Column:
+        start = _struct(lam=k["lng"], moved=F.lit(1.0))
+        again = lambda s, _: F.when(s["moved"] <= SETTLED, s).otherwise(_let(step(k, s["lam"]), lambda x: _struct(lam=x, moved=F.abs(x - s["lam"]))))
+        end = F.aggregate(F.sequence(F.lit(1), F.lit(SPHEROID_STEPS)), start, again)
+        return _let(end, lambda e: F.when((e["moved"] <= SETTLED) & (F.abs(e["lam"]) <= math.pi), _let(arc(k, e["lam"]), length)))
+
+    there = lat1.isNotNull() & lng1.isNotNull() & lat2.isNotNull() & lng2.isNotNull()
+    return F.when(there, F.coalesce(_let(fixed, whole), haversine_km(lat1, lng1, lat2, lng2) / EARTH_KM * MEAN_M))
+
+
 def metres(lat1, lng1, lat2, lng2) -> Column:
     """Whole metres on the sphere: two engines agree on these, not on the last bit of a double."""
     return js_round(haversine_km(lat1, lng1, lat2, lng2) * 1000)

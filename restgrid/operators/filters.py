@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, hours
@@ -59,11 +59,11 @@ def search_term(term: str, *columns: str, wildcards: bool = True) -> Column:
 
 
 def by_id(df: DataFrame, key: str, value) -> DataFrame:
-    """The row of a unique key, or none; more than one raises."""
+    """The row of a unique key, or none; where the rows are read, more than one raises."""
     found = df.where(F.col(key) == value)
-    if found.limit(2).count() > 1:
-        raise ValueError(f"{key} {value!r} isn't unique")
-    return found
+    n = F.count(F.lit(1)).over(Window.partitionBy(key))
+    several = F.raise_error(F.lit(f"{key} {value!r} isn't unique")).cast("boolean")
+    return found.withColumn("_n", n).where(F.when(F.col("_n") > 1, several).otherwise(True)).drop("_n")
 
 
 def active_reports(as_of: Column) -> Column:
@@ -76,6 +76,12 @@ def within_radius(lat: float, lng: float, radius_m: float) -> Column:
     return geo.within(bounds) & (geo.haversine_km(lat, lng, F.col("latitude"), F.col("longitude")) * 1000 <= radius_m)
 
 
+def within_spheroid_radius(lat: float, lng: float, radius_m: float) -> Column:
+    """True distance on the spheroid; the box in front of it reaches the scan."""
+    bounds = geo.box(lat, lng, radius_m / 1000 * geo.SPHEROID_MARGIN)
+    return geo.within(bounds) & (geo.spheroid_metres(lat, lng, F.col("latitude"), F.col("longitude")) <= radius_m)
+
+
 def normalise_submission(df: DataFrame) -> DataFrame:
     """Trimmed texts, upper-case postcode, no price note where free; ``errors`` lists what is missing."""
     texts = [c for c in ("name", "address", "town", "price_note") if c in df.columns]

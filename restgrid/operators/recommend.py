@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, hours
 from ..functions import scoring as s
 from .filters import amenities
+from .ranking import with_place
 from .search import CAP, capped, nearby
 
 LIMIT, PREDICTIONS, LEAST_RELEVANCE = 20, 5, 50
@@ -48,7 +49,7 @@ def smart(facilities: DataFrame, lat: float, lng: float, minute: int, preference
 def rank(found: DataFrame, lat: float, lng: float, minute: int, preferences: dict, ordinal: str) -> DataFrame:
     """Every row with its place; ties keep the input's order, given by ``ordinal``."""
     out = scored(found, lat, lng, minute, preferences)
-    return out.withColumn("place", F.row_number().over(Window.orderBy(F.desc("total"), ordinal)))
+    return with_place(out, "total", [ordinal])
 
 
 def by_mode(facilities: DataFrame, lat: float, lng: float, minute: int, radius_km: float, best: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from . import filters as f
+from .ranking import with_place
 
 CAP, SEARCH_CAP, RADII_KM = 500, 20, (5, 10, 25)
 
@@ -38,10 +39,30 @@ def listed(found: DataFrame, by: str, lat: float, lng: float) -> DataFrame:
     return found.orderBy(F.col("distance_metres") if by == "distance" else F.col("overall_score").desc_nulls_last(), "name", "facility_id")
 
 
-def nearest(facilities: DataFrame, lat: float, lng: float, radius_m: float, k: int) -> DataFrame:
-    """The k nearest published facilities by whole metres, then id."""
+def listed_places(found: DataFrame, by: str, lat: float, lng: float) -> DataFrame:
+    """The rows of ``listed`` with their place in it, all of them and in any order."""
+    if by not in ("distance", "rating"):
+        raise ValueError("by is 'distance' or 'rating'")
+    found = found.withColumn("distance_metres", geo.metres(lat, lng, F.col("latitude"), F.col("longitude")))
+    return with_place(found, "distance_metres" if by == "distance" else "overall_score", ["name", "facility_id"], descending=by == "rating")
+
+
+def _checked(lat: float, lng: float, radius_m: float, k: int) -> None:
     if not -90 <= lat <= 90 or not -180 <= lng <= 180 or radius_m <= 0 or k < 1:
         raise ValueError("latitude, longitude, radius or limit out of range")
+
+
+def nearest_on_spheroid(facilities: DataFrame, lat: float, lng: float, radius_m: float, k: int) -> DataFrame:
+    """The k nearest published facilities by millimetres on the WGS84 spheroid, then id."""
+    _checked(lat, lng, radius_m, k)
+    found = facilities.where(f.published() & f.within_spheroid_radius(lat, lng, radius_m))
+    mm = geo.js_round(geo.spheroid_metres(lat, lng, F.col("latitude"), F.col("longitude")) * 1000)
+    return found.withColumn("distance_mm", mm).orderBy("distance_mm", "facility_id").limit(k)
+
+
+def nearest(facilities: DataFrame, lat: float, lng: float, radius_m: float, k: int) -> DataFrame:
+    """The k nearest published facilities by whole metres, then id."""
+    _checked(lat, lng, radius_m, k)
     found = facilities.where(f.published() & f.within_radius(lat, lng, radius_m))
     return found.withColumn("distance_metres", geo.metres(lat, lng, F.col("latitude"), F.col("longitude"))).orderBy("distance_metres", "facility_id").limit(k)
 

@@ -45,6 +45,19 @@ _SOUTH, _NORTH, _WEST, _EAST = VIEWPORT
 _IN_VIEW = f"publication_status='published' and latitude between {_SOUTH} and {_NORTH} and longitude between {_WEST} and {_EAST}"
 
 
+# the geodesic series of geo.spheroid_metres, a step a row
+_F, _POLE, _EQUATOR = geo.FLATTENING, geo.POLE_M, geo.EQUATOR_M
+_ARC = """sqrt(power(cv * sin(lam), 2) + power(cs - sc * cos(lam), 2)) as sin_s, ss + cc * cos(lam) as cos_s, atan2(sin_s, cos_s) as sigma, case when sin_s = 0 then 0 else cc * sin(lam) / sin_s end as alpha, 1 - alpha * alpha as c2, case when c2 < 1e-15 then 0 else cos_s - 2 * ss / c2 end as mid"""
+_SPHEROID_SQL = f"""with recursive k0 as (select facility_id, latitude, longitude, publication_status, atan2({1 - _F!r} * sin(radians({LAT})), cos(radians({LAT}))) as u, atan2({1 - _F!r} * sin(radians(latitude)), cos(radians(latitude))) as v, atan2(sin(radians(longitude - ({LNG}))), cos(radians(longitude - ({LNG})))) as lng from facilities),
+ k as (select *, sin(u) * sin(v) as ss, cos(u) * cos(v) as cc, sin(u) * cos(v) as sc, cos(u) * sin(v) as cs, cos(v) as cv from k0),
+ r as (select facility_id, 0 as i, lng as lam, 1e0 as moved from k
+  union all select facility_id, i + 1, next, abs(next - lam) from (select facility_id, i, lam, {_ARC}, {_F / 16!r} * c2 * (4 + {_F!r} * (4 - 3 * c2)) as c, lng + (1 - c) * {_F!r} * alpha * (sigma + c * sin_s * (mid + c * cos_s * (2 * mid * mid - 1))) as next from r join k using (facility_id) where i < {geo.SPHEROID_STEPS} and moved > {geo.SETTLED!r})),
+ e as (select facility_id, arg_max(lam, i) as lam from r group by facility_id),
+ m as (select facility_id, latitude, longitude, publication_status, {_ARC}, c2 * {(_EQUATOR**2 - _POLE**2) / _POLE**2!r} as u2, u2 / 1024 * (256 + u2 * (-128 + u2 * (74 - 47 * u2))) as b, mid * mid as m2,
+  {_POLE!r} * (1 + u2 / 16384 * (4096 + u2 * (-768 + u2 * (320 - 175 * u2)))) * (sigma - b * sin_s * (mid + b / 4 * (cos_s * (2 * m2 - 1) - b / 6 * mid * (4 * sin_s * sin_s - 3) * (4 * m2 - 3)))) as metres from e join k using (facility_id)),
+ mm as (select *, cast(floor(metres * 1000 + 0.5) as bigint) as distance_mm from m)"""
+
+
 def _box_sql(lat, lng, km):
     s, n, w, e = geo.box(lat, lng, km)
     return f"publication_status='published' and latitude between {s!r} and {n!r} and longitude between {w!r} and {e!r}"
@@ -279,10 +292,21 @@ def _(spark, sf):
     return flagship(spark, sf)
 
 
+@query("spheroid_distances", _SPHEROID_SQL + " select facility_id, distance_mm from mm", "facilities")
+def _(spark, sf):
+    mm = geo.js_round(geo.spheroid_metres(LAT, LNG, F.col("latitude"), F.col("longitude")) * 1000)
+    return facilities(spark, sf).select("facility_id", mm.alias("distance_mm"))
+
+
+@query("nearest_on_spheroid", _SPHEROID_SQL + " select facility_id, distance_mm from mm where publication_status = 'published' and metres <= 50000 order by distance_mm, facility_id limit 10", "facilities")
+def _(spark, sf):
+    return search.nearest_on_spheroid(facilities(spark, sf), LAT, LNG, 50_000, 10).select("facility_id", "distance_mm")
+
+
 @query("rank_facilities", f"select facility_id, total, cast(row_number() over (order by total desc, facility_id) as int) as place from ({_scored_sql('(select * from facilities where ' + _box_sql(LAT, LNG, 60) + ')', WIDE)})", "facilities")
 def _(spark, sf):
     got = recommend.rank(search.nearby(facilities(spark, sf), LAT, LNG, 60), LAT, LNG, MINUTE, WIDE, "facility_id")
-    return got.select("facility_id", "total", "place")
+    return got.select("facility_id", "total", F.col("place").cast("int").alias("place"))
 
 
 @query("recommendations_by_mode", " union all ".join(f"select '{m}' as mode, '{x[2]}' as mode_name, facility_id, total, cast(row_number() over (order by total desc, name, facility_id) as int) as place from ({_smart_sql(scoring.mode_preferences(m), 30, 5)})" for m, x in scoring.MODES.items()), "facilities")
@@ -646,12 +670,10 @@ def _(spark, sf):
 
 
 def _listed(by, order):
-    @query(f"list_by_{by}", f"select facility_id, distance_metres, cast(row_number() over (order by {order}, name, facility_id) as int) as place from (select *, {_m_sql(LAT, LNG)} as distance_metres from facilities where {_box_sql(LAT, LNG, 20)}) qualify place <= 100", "facilities")
+    @query(f"list_by_{by}", f"select facility_id, distance_metres, cast(row_number() over (order by {order}, name, facility_id) as int) as place from (select *, {_m_sql(LAT, LNG)} as distance_metres from facilities where {_box_sql(LAT, LNG, 20)})", "facilities")
     def _(spark, sf):
-        got = search.listed(search.nearby(facilities(spark, sf), LAT, LNG, 20), by, LAT, LNG).limit(100)
-        # of the hundred rows that a screen shows
-        order_by = F.col("distance_metres") if by == "distance" else F.col("overall_score").desc_nulls_last()
-        return got.withColumn("place", F.row_number().over(Window.orderBy(order_by, "name", "facility_id"))).select("facility_id", "distance_metres", "place")
+        got = search.listed_places(search.nearby(facilities(spark, sf), LAT, LNG, 20), by, LAT, LNG)
+        return got.select("facility_id", "distance_metres", F.col("place").cast("int").alias("place"))
 
 
 _listed("distance", "distance_metres")
