@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels
 from .filters import search_term, verified
+from .staged import files_of, stage
 
 SEARCH_CAP = 20
 
@@ -35,6 +36,35 @@ def write_region(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("region_id").parquet(path)
 
 
+def replace_region(spark: SparkSession, path: str, rows: DataFrame) -> list[str]:
+    """Writes downloaded rows into the table at ``path`` (partitioned by region_id): a facility moves to the
+    region that came last.  Only regions that gain or lose a facility are written anew, each in one step;
+    one that loses all goes.  Returns the regions that changed."""
+    files, at = files_of(spark, path)
+    if not files.exists(at) or not any(x.isDirectory() for x in files.listStatus(at)):
+        rows.write.mode("overwrite").partitionBy("region_id").parquet(path)
+        return sorted(r.region_id for r in rows.select("region_id").distinct().collect())
+    stored = spark.read.schema(rows.schema).parquet(path)
+    ids = rows.select("facility_id").distinct()
+    touched = rows.select("region_id").union(stored.join(ids, "facility_id", "left_semi").select("region_id")).distinct()
+    regions = sorted(r.region_id for r in touched.collect())  # one row for each region
+    after = stage(merge_rows(stored.where(F.col("region_id").isin(regions)), rows.select(stored.columns)), "offline-regions")
+    after.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("region_id").parquet(path)
+    left = {r.region_id for r in after.select("region_id").distinct().collect()}
+    for folder in files.listStatus(at):
+        name = folder.getPath().getName()
+        region = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(name.removeprefix("region_id="))
+        if name.startswith("region_id=") and region in regions and region not in left:
+            files.delete(folder.getPath(), True)
+    return regions
+
+
+def region_counts(stored: DataFrame) -> DataFrame:
+    """(region_id, n, size_bytes) as the table stands."""
+    size = 2 * (F.sum(F.length("data")) + F.count("*") - 1 + 2)
+    return stored.groupBy("region_id").agg(F.count("*").alias("n"), size.alias("size_bytes"))
+
+
 def read_region(stored: DataFrame, region: str, schema) -> DataFrame:
     return stored.where(F.col("region_id") == region).select(F.from_json("data", schema).alias("f")).select("f.*")
 

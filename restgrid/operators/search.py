@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from . import filters as f
 from .ranking import with_place
+from .staged import stage
 
 CAP, SEARCH_CAP, RADII_KM = 500, 20, (5, 10, 25)
 
@@ -89,3 +90,27 @@ def nearest_per_probe(facilities: DataFrame, probes: DataFrame, key: str, radius
     found = found.withColumn("distance_metres", geo.metres(F.col("lat"), F.col("lng"), F.col("latitude"), F.col("longitude"))).where(F.col("distance_metres") <= radius_km * 1000)
     rank = F.row_number().over(Window.partitionBy("probe").orderBy("distance_metres", "facility_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+#: Radii in which neighbours are looked for, one after the other; the last is that of the last tier.
+LADDER_KM = (0.25, 1, 5, 10, 25)
+
+
+def closest_per_probe(facilities: DataFrame, probes: DataFrame, key: str, k: int = 1, ladder=LADDER_KM) -> DataFrame:
+    """For each probe (key, lat, lng) its k nearest facilities within 25 km, with ``rank`` and the first tier of
+    RADII_KM that holds all k (the last, where there are fewer).
+
+    A probe that has its k within a radius is done; only the others go on to the next, so where facilities
+    are dense a probe meets those of a few small cells.
+    """
+    left, out = probes.select(key, "lat", "lng"), None
+    for radius in ladder:
+        found = nearest_per_probe(facilities, left, key, radius, k).select("probe", "facility_id", "distance_metres", "rank")
+        if radius != ladder[-1]:
+            found = stage(found, "closest-found")
+            full = found.where(F.col("rank") == k).select("probe")
+            found, left = found.join(full, "probe", "left_semi"), stage(left.join(full, F.col(key) == F.col("probe"), "left_anti"), "closest-left")
+        out = found if out is None else out.unionByName(found)
+    last = F.when(F.count("*").over(Window.partitionBy("probe")) >= k, F.max("distance_metres").over(Window.partitionBy("probe")))
+    tier = F.when(last <= RADII_KM[0] * 1000, RADII_KM[0]).when(last <= RADII_KM[1] * 1000, RADII_KM[1]).otherwise(RADII_KM[2])
+    return out.withColumn("radius_km", tier.cast("long"))

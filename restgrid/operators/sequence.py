@@ -7,6 +7,7 @@ one key's state at a time: the accepted times of one window, so memory doesn't g
 from __future__ import annotations
 
 from collections import deque
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -134,3 +135,29 @@ def judged(events: DataFrame, keys: list[str], order: list[str], micros: str, ma
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema)
     return events.repartition(*keys).sortWithinPartitions(*keys, micros, *order).mapInArrow(run, f"{kinds}, refused string")
+
+
+def trailing_counts(events: DataFrame, keys: list[str], micros: str, window_s: float, buckets: int = 64) -> DataFrame:
+    """Adds ``n``: the key's rows within the window that ends with each row, both ends and ties included.
+
+    A key's time is cut into buckets, ``buckets`` a window, so that a key of very many rows is many groups: a
+    count is that of the rows up to now less that before the window, each the sum of the buckets
+    before and a place within one bucket.
+    """
+    width = int(window_s * 1_000_000)
+    step = max(1, width // buckets)
+    moments = events.groupBy(*keys, F.col(micros).alias("_t")).agg(F.count("*").alias("_m"))
+    mark = lambda t, m, kind: moments.select(*keys, "_t", t.alias("_at"), m.alias("_add"), F.lit(kind).alias("_kind"), F.floor(t / step).alias("_bucket"))
+    # kind 0 asks for the rows before its time, kind 1 adds its own and asks with them
+    marks = mark(F.col("_t") - width, F.lit(0), 0).unionByName(mark(F.col("_t"), F.col("_m"), 1))
+    names = [f"_k{i}" for i in range(len(keys))]
+    named = [F.col(k).alias(n) for k, n in zip(keys, names)]
+    by = Window.partitionBy(*names).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = marks.groupBy(*named, F.col("_bucket").alias("_b")).agg(F.sum("_add").alias("_sum_b")).withColumn("_before", F.coalesce(F.sum("_sum_b").over(by), F.lit(0))).drop("_sum_b")
+    inside = Window.partitionBy(*keys, "_bucket").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)], F.col("_bucket") == F.col("_b"))
+    up_to = F.when(F.col("_kind") == 1, 1).otherwise(-1) * (F.col("_before") + F.col("_sum"))
+    totals = marks.withColumn("_sum", F.sum("_add").over(inside)).join(before, same).select(*names, "_t", up_to.alias("_n"))
+    counts = totals.groupBy(*names, "_t").agg(F.sum("_n").alias("n"))
+    joined = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)], F.col(micros) == F.col("_t"))
+    return events.join(counts, joined).drop("_t", *names)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import cleaning, geo, hours, labels, scoring
-from ..operators import alerts, cluster, community, entitle, etl, filters, offline, recommend, route, search, sequence
+from ..operators import alerts, cluster, community, entitle, etl, filters, offline, recommend, route, runs, search, sequence, staged, textindex
 from ..sources import files
 from .fixtures import AS_OF, MINUTE, sql, table, view
 
@@ -366,6 +368,26 @@ _JOIN = cluster.threshold(2.5, 3.5, 800)
 _NEAR = "(j = rest[1] or sqrt((y[j] - y[rest[1]]) ** 2 + (x[j] - x[rest[1]]) ** 2) < " + repr(_JOIN) + "e0)"
 
 
+@query("closest_for_each_facility", f"""with n as (select p.facility_id as probe, q.facility_id, {_m_sql("p.latitude", "p.longitude", "q.latitude", "q.longitude")} as distance_metres from facilities p join facilities q
+  on q.publication_status = 'published' and q.latitude between p.latitude - 0.3 and p.latitude + 0.3 and q.longitude between p.longitude - 0.6 and p.longitude + 0.6),
+ r as (select *, row_number() over (partition by probe order by distance_metres, facility_id) as rank from n where distance_metres <= 25000 qualify rank <= 3)
+ select *, cast(case when count(*) over (partition by probe) < 3 then 25 when max(distance_metres) over (partition by probe) <= 5000 then 5 when max(distance_metres) over (partition by probe) <= 10000 then 10 else 25 end as bigint) as radius_km from r""", "facilities")
+def _(spark, sf):
+    f = facilities(spark, sf)
+    probes = f.select(F.col("facility_id").alias("id"), F.col("latitude").alias("lat"), F.col("longitude").alias("lng"))
+    got = search.closest_per_probe(f, probes, "id", 3)
+    return got.select("probe", "facility_id", "distance_metres", F.col("rank").cast("long").alias("rank"), "radius_km")
+
+
+@query("search_by_trigrams", "select facility_id from facilities where name ilike '%an_ 3%' or town ilike '%an_ 3%' or postcode ilike '%an_ 3%' or name ilike '%e 4%' or town ilike '%e 4%' or postcode ilike '%e 4%' or town ilike '%and#1%' or name ilike '%and#1%' or postcode ilike '%and#1%'", "facilities")
+def _(spark, sf):
+    f = facilities(spark, sf)
+    columns = ("name", "town", "postcode")
+    index = textindex.postings(f, "facility_id", *columns)
+    found = [textindex.search(f, index, "facility_id", term, *columns).select("facility_id") for term in ("an_ 3", "e 4", "and#1")]
+    return found[0].union(found[1]).union(found[2]).distinct()
+
+
 @query("map_clusters_greedy", f"""with recursive few as (select facility_id, name, latitude, longitude from facilities where {_IN_VIEW} order by name, facility_id limit 500),
 p as (select list(facility_id order by name, facility_id) as ids, list(latitude order by name, facility_id) as y, list(longitude order by name, facility_id) as x from few),
 r as (select range(1, len(ids) + 1) as rest, cast([] as bigint[]) as near, 0 as step from p
@@ -377,6 +399,14 @@ def _(spark, sf):
     return got.select("cluster_id", F.round("latitude", 9).alias("latitude"), F.round("longitude", 9).alias("longitude"), "n", "members")
 
 
+@query("map_cluster_members", f"""with recursive p as (select list(facility_id order by name, facility_id) as ids, list(latitude order by name, facility_id) as y, list(longitude order by name, facility_id) as x from facilities where publication_status = 'published'),
+r as (select range(1, len(ids) + 1) as rest, cast([] as bigint[]) as near, 0 as step from p
+ union all select list_filter(rest, lambda j: not {_NEAR}), list_filter(rest, lambda j: {_NEAR}), step + 1 from r, p where len(rest) > 0)
+select unnest(list_transform(near, lambda j: ids[j])) as facility_id, ids[near[1]] as leader_id from r, p where step > 0""", "facilities")
+def _(spark, sf):
+    return cluster.members(facilities(spark, sf).where(filters.published()), _JOIN)
+
+
 @query("map_clusters_grid", "select cast(floor(latitude/0.05e0) as bigint) as cell_y, cast(floor(longitude/0.05e0) as bigint) as cell_x, count(*) as n, min(facility_id) as first_id, round(avg(latitude),6) as latitude, round(avg(longitude),6) as longitude from facilities where publication_status='published' group by 1, 2", "facilities")
 def _(spark, sf):
     got = cluster.grid(facilities(spark, sf).where(filters.published()), 0.05)
@@ -474,6 +504,12 @@ _ACCEPTED_SQL = """with recursive e as (select event_id, {key} as k, epoch_us(ts
  select event_id, accepted from run"""
 
 
+@query("rate_limit_trailing", "select event_id, count(*) over (partition by user_id, event_type order by ts range between interval 24 hour preceding and current row) as n from events")
+def _(spark, sf):
+    events = _ledger(spark, sf).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
+    return sequence.trailing_counts(events, ["user_id", "action"], "t", 86_400).select("event_id", "n")
+
+
 @query("rate_limit_accepted", _ACCEPTED_SQL.format(key="concat(user_id, '/', event_type)", source="events", width=604_800_000_000, most=2))
 def _(spark, sf):
     events = _ledger(spark, sf).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
@@ -548,6 +584,17 @@ def _(spark, sf):
     return offline.region_rows(facilities(spark, sf), TOWN, DOWNLOADED).select("facility_id", "region_id")
 
 
+_LATER = DOWNLOADED + 86_400_000
+
+
+@query("region_counts_after", f"select concat('region_brand#5_', case when publication_status = 'published' then {_LATER} else {DOWNLOADED} end) as region_id, count(*) as n from facilities where town = '{TOWN}' and is_verified group by 1", "facilities")
+def _(spark, sf):
+    # the second download has only what is published then; the rest stays in the first
+    f = facilities(spark, sf)
+    first, second = offline.region_rows(f, TOWN, DOWNLOADED), offline.region_rows(f.where(filters.published()), TOWN, _LATER)
+    return offline.region_counts(offline.merge_rows(first, second)).select("region_id", "n")
+
+
 @query("offline_round_trip", f"select facility_id, name, latitude, is_free from facilities where town='{TOWN}' and is_verified", "facilities")
 def _(spark, sf):
     found = facilities(spark, sf)
@@ -637,6 +684,23 @@ def _(spark, sf):
     return etl.statistics(_source(spark, sf), planned, stale)
 
 
+@query("import_run", _MERGE_SQL + _STORED_SQL + f", e as ({_ERRORS_SQL}) select 'completed' as status, (select count(*) from e) as rows_received, (select count(*) from e where errors='') as rows_valid, (select count(*) from e where errors<>'') as rows_quarantined, (select count(*) from p where action='insert') as rows_inserted, (select count(*) from p where action='update') as rows_updated, (select count(*) from p where action='unchanged') as rows_unchanged, (select count(*) from facilities where not is_verified and facility_id not in (select facility_id from q where is_current)) as rows_marked_stale", "facilities", "source_rows", "stored_sources")
+def _(spark, sf):
+    def work():
+        planned, stored = _merge(spark, sf)
+        new_id = F.col("source_key") + 1_000_000_000
+        sources = etl.merged_sources(stored, planned, now(), new_id)
+        have = _imported_facilities(spark, sf)
+        merged = etl.mark_stale(etl.merged_facilities(have, planned, new_id), sources)
+        return {"facilities": merged, "sources": sources}, etl.statistics(_source(spark, sf), planned, etl.stale_facilities(have, etl.merge_sources(stored, planned, now())))
+
+    root = f"{staged.shared_dir(spark)}/import-{uuid.uuid4().hex}"
+    runs.run_import(spark, root, work, spark.range(1).select(now().alias("t")).first().t)
+    files, at = staged.files_of(spark, root)
+    files.deleteOnExit(at)
+    return runs.runs(spark, root).select("status", *[c for c in runs.RUN.replace(" string", "").replace(" long", "").replace(" timestamp_ntz", "").split(", ") if c.startswith("rows_")])
+
+
 # --- subscriptions --------------------------------------------------------------------------
 
 _TIER = "case event_type when 'purchase' then 'plus' when 'signup' then 'basic' else 'free' end"
