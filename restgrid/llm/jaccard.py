@@ -238,6 +238,17 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component its smallest doc_id stays (all rows with a null id)."""
-    gone = classes_of(docs).where("component_id <> doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Pipeline stage: of each component one row stays, that of the smallest doc_id; of rows without one, or
+    that repeat one, any one, but no copies.  Rows without words are alike to none and all stay."""
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        gone = classes_of(docs).where("component_id <> doc_id").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*own)
+    row = "_row"
+    while row in {c.lower() for c in docs.columns}:
+        row = f"_{row}"
+    rows = stage(docs.withColumn(row, F.monotonically_increasing_id()), "jaccard-stage")
+    found = classes_of(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id")
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", row)
+    kept = rows.select("doc_id", row).join(found, row).groupBy("component_id").agg(F.min(first).getField(row).alias(row)).select(row)
+    return rows.join(kept, row, "left_semi").select(*own)

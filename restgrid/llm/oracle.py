@@ -82,17 +82,17 @@ def _list_total(name: str, width: int) -> str:
 
 
 QUALITY = f"""
-with d as (select doc_id, coalesce(text, '') as t, coalesce(lang, '') as lang, {_WORDS} as w from documents),
+with d as (select doc_id, coalesce(text, '') as t, coalesce(lang, '') as lang, coalesce({_CRC} % 2, 0) as part, {_WORDS} as w from documents),
 win as (select doc_id, i, array_to_string(list_slice(w, i, i + {WINDOW - 1}), ' ') as s from (select doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) as i from d)),
 twice as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, s) as n from win) where n > 1),
 repeats as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + {WINDOW})) as p from twice) group by doc_id),
-f as (select d.doc_id, t, lang, cast(len(w) as bigint) as n_words, cast(length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) as bigint) as word_chars,
+f as (select d.doc_id, t, lang, part, cast(len(w) as bigint) as n_words, cast(length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) as bigint) as word_chars,
  cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')) as bigint) as n_symbols,
  cast(len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')))) as bigint) as n_dup_lines,
  coalesce(r.n, 0) as n_repeat_words, {_CHARS} as chars, [cast(len(list_filter(w, lambda x: x = c)) as double) for c in {_FREQUENT}] as common from d left join repeats r on r.doc_id = d.doc_id),
 g as (select *, n_words < {BASE_WORDS} or 100 * n_repeat_words > {BASE_REPEAT_PERCENT} * n_words as base_failed, list_append(common, n_words - coalesce(list_sum(common), 0)) as words from f),
-ref as (select lang, {_list_total("chars", len(CLASSES) + 1)} as rc, list_filter({_list_total("words", max(map(len, COMMON_WORDS.values())) + 1)}, lambda x: x is not null) as rw from g where not base_failed group by lang),
-h as (select g.*, coalesce(list_sum(chars), 0) >= {MIN_CHARS} and n_words >= {MIN_WORDS} and rc is not null as long, rc, rw from g left join ref on ref.lang = g.lang),
+ref as (select lang, 1 - part as part, {_list_total("chars", len(CLASSES) + 1)} as rc, list_filter({_list_total("words", max(map(len, COMMON_WORDS.values())) + 1)}, lambda x: x is not null) as rw from g where not base_failed group by lang, part),
+h as (select g.*, coalesce(list_sum(chars), 0) >= {MIN_CHARS} and n_words >= {MIN_WORDS} and rc is not null as long, rc, rw from g left join ref on ref.lang = g.lang and ref.part = g.part),
 k as (select *, case when long then {_distance("chars", "rc")} else 0 end as cd, case when long then {_distance("words", "rw")} else 0 end as wd from h)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and cd <= {MAX_CHAR_DISTANCE} and wd <= {MAX_WORD_DISTANCE} as kept, round(cd, 6) as char_distance, round(wd, 6) as word_distance from k
 """

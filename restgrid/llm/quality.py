@@ -1,11 +1,13 @@
 """Quality rules: distribution divergence against language references.
 
 A document's character-class histogram and its histogram over common words of its language are
-compared with the language's own reference (all documents of that ``lang`` which pass the base
-rules) by Jensen-Shannon distance, base 2, 0 to 1.  A minimum-length guard leaves short texts
-to the base rules.  DataFrame functions only.
+compared with the language's own reference by Jensen-Shannon distance, base 2, 0 to 1.  The corpus has
+two parts, by crc32 of the doc_id: a document's reference is the sum of the documents of that ``lang`` in
+the other part which pass the base rules, so none is held against itself.  A minimum-length guard
+leaves short texts to the base rules.  DataFrame functions only.
 
-Defined cases: a null text has no words and fails the base rules; a null or unknown ``lang`` is
+Defined cases: a null text has no words and fails the base rules; a null doc_id is of the first part; a
+language that the other part lacks has no reference and distances of 0; a null or unknown ``lang`` is
 a language of its own with no common words (its word distance is 0); repeated rows are judged
 one by one; very long texts are judged whole; an empty table gives no rows; further columns of
 any name pass through untouched, those that the operator itself makes in between get free names.
@@ -76,26 +78,31 @@ def _covered(places: Column) -> Column:
     return F.coalesce(got, F.lit(0)).cast("long")
 
 
+def part_of(docs: DataFrame) -> Column:
+    """Which of the two parts of the corpus a row is of."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 2, F.lit(0)).cast("int") if "doc_id" in docs.columns else F.lit(0)
+
+
 def features(docs: DataFrame, keep: list[str], name: str = "quality") -> DataFrame:
     """``keep`` and a struct ``name``: the base counts and both histograms."""
-    made = [f"_q{i}_{name}" for i in range(7)]
+    made = [f"_q{i}_{name}" for i in range(8)]
     while set(made) & set(docs.columns):
         made = [f"_{c}" for c in made]
-    words, hashes, lines, common, text, lang, places = made
+    words, hashes, lines, common, text, lang, places, part = made
     had = [F.col(f"`{c}`") for c in keep]
-    df = docs.select(*had, F.coalesce("text", F.lit("")).alias(text), (F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")).alias(lang))
-    df = df.select(*had, text, lang, F.array_remove(F.split(text, f"{SPACE}+"), "").alias(words))
+    df = docs.select(*had, F.coalesce("text", F.lit("")).alias(text), (F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")).alias(lang), part_of(docs).alias(part))
+    df = df.select(*had, text, lang, part, F.array_remove(F.split(text, f"{SPACE}+"), "").alias(words))
     n = F.size(words)
     window = F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
     lists = F.create_map(*[x for k, v in COMMON_WORDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     listed = F.coalesce(F.try_element_at(lists, F.coalesce(lang, F.lit(""))), F.array().cast("array<string>"))
     df = df.select(
-        *had, text, lang, words,
+        *had, text, lang, part, words,
         F.when(n > WINDOW, window).otherwise(F.array().cast("array<bigint>")).alias(hashes),
         F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE[1:-1]}]")).alias(lines),
         listed.alias(common),
     )
-    had_made = [*had, text, lang, words, lines, common]
+    had_made = [*had, text, lang, part, words, lines, common]
     df = df.select(*had_made, _sorted_windows(F.col(hashes)).alias(hashes))
     df = df.select(*had_made, _twice(F.col(hashes)).alias(places))
     base = F.struct(
@@ -107,6 +114,7 @@ def features(docs: DataFrame, keep: list[str], name: str = "quality") -> DataFra
         F.array(*[_outside(F.col(text), k) for k in CLASSES.values()], F.length(F.regexp_replace(text, "[" + "".join(CLASSES.values()) + "]+", "")).cast("double")).alias("chars"),
         F.transform(common, lambda c: F.size(F.filter(words, lambda w: w == c)).cast("double")).alias("common"),
         F.coalesce(lang, F.lit("")).alias("lang"),
+        F.col(part).alias("part"),
     )
     df = df.select(*had, base.alias(name))
     q = F.col(name)
@@ -125,14 +133,15 @@ def distance(p: Column, q: Column) -> Column:
 
 
 def references(scored: DataFrame, name: str = "quality") -> DataFrame:
-    """(lang, chars, common): summed histograms of the documents that pass the base rules."""
+    """(lang, part, chars, common): summed histograms of the documents of the other part that pass the
+    base rules."""
     q = F.col(name)
     width = len(CLASSES) + 1
     most = max(map(len, COMMON_WORDS.values())) + 1
     sums = [F.sum(F.get(q["chars"], F.lit(i))).alias(f"c{i}") for i in range(width)] + [F.sum(F.get(q["common"], F.lit(i))).alias(f"w{i}") for i in range(most)]
-    got = scored.where(~q["base_failed"]).groupBy(q["lang"].alias("ref_lang")).agg(*sums)
+    got = scored.where(~q["base_failed"]).groupBy(q["lang"].alias("ref_lang"), (1 - q["part"]).alias("ref_part")).agg(*sums)
     return got.select(
-        "ref_lang",
+        "ref_lang", "ref_part",
         F.array(*[f"c{i}" for i in range(width)]).alias("ref_chars"),
         F.filter(F.array(*[f"w{i}" for i in range(most)]), lambda x: x.isNotNull()).alias("ref_common"),
     )
@@ -148,7 +157,7 @@ def evaluate(docs: DataFrame, keep: list[str], name: str = "quality") -> DataFra
     while ref.lower() in {c.lower() for c in [*keep, name]}:
         ref += "_"
     q, r = F.col(name), F.col(ref)
-    df = scored.join(refs.select(F.struct("*").alias(ref)), q["lang"] == r["ref_lang"], "left")
+    df = scored.join(refs.select(F.struct("*").alias(ref)), (q["lang"] == r["ref_lang"]) & (q["part"] == r["ref_part"]), "left")
     long = (F.aggregate(q["chars"], F.lit(0.0), lambda s, x: s + x) >= MIN_CHARS) & (q["n_words"] >= MIN_WORDS) & r.isNotNull()
     had = [F.col(f"`{c}`") for c in keep]
     far = lambda a, b: F.when(long, distance(a, b)).otherwise(0.0)
