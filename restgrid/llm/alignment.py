@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 from math import isqrt
 
 import numpy as np
@@ -55,9 +55,6 @@ class Pair:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.a, self.b = tokenizer(a_path, True), sentencepiece.SentencePieceProcessor(model_file=b_path)
-        # the same tokenizer with its special string, which then ends a text: many units are one call
-        self.a_many = tokenizer(a_path, False)
-        self.end, self.end_id = next(((t.content, i) for i, t in self.a_many.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)), (None, None))
         # characters that stand for bytes: those of printable Latin-1 for themselves, others from 256 on
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         spelt = {chr(x): x for x in own} | {chr(256 + i): x for i, x in enumerate(x for x in range(256) if x not in own)}
@@ -86,12 +83,10 @@ class Pair:
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For A and B the ids of all units one after another, and how many each has."""
-        if self.end and not any(self.end in t for t in texts):
-            ids = np.array(self.a_many.encode_batch_fast([self.end.join(texts)], add_special_tokens=False)[0].ids, np.int64)
-            ends = np.append(np.flatnonzero(ids == self.end_id), len(ids))
-            a = ids[ids != self.end_id], np.diff(ends, prepend=-1) - 1
-        else:
-            a = _flat([e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)])
+        # units are words that are split on their own; A gives back every byte, which tells whose a token is
+        a = np.array(self.a.encode_batch_fast([texts], add_special_tokens=False, is_pretokenized=True)[0].ids, np.int64)
+        ends = np.cumsum(np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts)))
+        a = a, np.diff(np.searchsorted(np.cumsum(self.tables[0][1][a]), ends, "right"), prepend=0)
         # the space that B adds and a line feed stand before a unit, and are taken off
         return [a, _flat([x[2:] for x in self.b.encode(["\n" + t for t in texts], num_threads=1)])]
 
@@ -149,13 +144,16 @@ class Store:
         """The row of each of some distinct units; rows hold until the next call."""
         if text and len(self.groups) < len(self.rows):
             self.clear()  # aligned without their groups before
-        new = [u for u in units if u not in self.rows]
+        rows = np.fromiter(map(self.rows.get, units, repeat(-1)), np.int64, len(units))
+        new = np.flatnonzero(rows < 0)
         if len(self.rows) + len(new) > CACHED or self.off[len(self.rows)] > CACHED_LINKS:
             self.clear()
-            new = units
-        for k in range(0, len(new), 8192):
-            self._add(new[k : k + 8192], text)
-        return np.fromiter((self.rows[u] for u in units), np.int64, len(units))
+            new = np.arange(len(units))
+        rows[new] = np.arange(len(self.rows), len(self.rows) + len(new))
+        fresh = [units[i] for i in new.tolist()]
+        for k in range(0, len(fresh), 8192):
+            self._add(fresh[k : k + 8192], text)
+        return rows
 
     def _add(self, units: list[bytes], text: bool) -> None:
         size = np.array([len(u) for u in units], np.int64)
@@ -217,7 +215,8 @@ def unit_windows(column: pa.Array, packed: bytes, paths: tuple[str, str], text:
         starts = starts[cut]
         ends = np.append(starts[1:], len(w.data))
         _, one, which = distinct(w, starts, ends)
-        rows = known.store.find([w.data[x:y].tobytes() for x, y in zip(starts[one].tolist(), ends[one].tolist())], text)
+        raw = w.data.tobytes()
+        rows = known.store.find([raw[x:y] for x, y in zip(starts[one].tolist(), ends[one].tolist())], text)
         yield owner, np.searchsorted(starts, w.off), which, rows, known.store
 
 

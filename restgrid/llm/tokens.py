@@ -140,8 +140,9 @@ def frequent(docs: DataFrame, path: str = VOCABULARY) -> list[bytes]:
                 often = np.bincount(which, minlength=len(at))
                 often[which[fixed]] = 0
                 short = np.flatnonzero((ends[at] - starts[at] <= WIDTH) & (often > 0))
+                raw = b.data.tobytes()
                 for x, y, n in zip(starts[at[short]].tolist(), ends[at[short]].tolist(), often[short].tolist()):
-                    w = b.data[x:y].tobytes()
+                    w = raw[x:y]
                     counts[w] = counts.get(w, 0) + n
                 if len(counts) > 2 * HELD:
                     counts = lower_all(counts, HELD)
@@ -186,7 +187,8 @@ def token_counts(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
                 length = table.find(h, b, starts[at], ends[at])
                 length[which[fixed]] = 1
                 miss = np.flatnonzero(length < 0)
-                length[miss] = encoded_lengths(path, [b.data[x:y].tobytes() for x, y in zip(starts[at[miss]].tolist(), ends[at[miss]].tolist())])
+                raw = b.data.tobytes()
+                length[miss] = encoded_lengths(path, [raw[x:y] for x, y in zip(starts[at[miss]].tolist(), ends[at[miss]].tolist())])
                 sums = np.concatenate([[0], np.cumsum(length[which])])
                 np.add.at(total, owner, sums[first[1:]] - sums[first[:-1]])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.diff(whole.off)), pa.array(total)], names=[*batch.schema.names, "n_bytes", "n_tokens"])
