@@ -29,6 +29,7 @@ MODES = {
     "neurodivergent": ({"requires_single_occupancy", "requires_quiet"}, 2, "Neurodivergent Mode"),
     "elderly": ({"requires_accessible"}, 2, "Elderly Mode"),
 }
+#: The weights of the score, and points by minutes of walk and days since a visit.
 WEIGHTS = {"preference": 0.40, "rating": 0.25, "distance": 0.20, "open": 0.10, "freshness": 0.05}
 DISTANCE_STEPS = ((5, 100), (10, 85), (20, 70), (30, 55), (60, 40), (120, 20))
 FRESHNESS_STEPS = ((7, 100), (30, 80), (90, 60), (180, 40), (365, 20))

@@ -76,8 +76,8 @@ def _m_sql(lat1, lng1, lat2="latitude", lng2="longitude"):
 
 
 _WALK = f"greatest(1, cast(floor({_km_sql(LAT, LNG)}*1000/1000.0/5.0*60.0+0.5) as bigint))"
-_DIST = "cast(case when walking_minutes<=5 then 100 when walking_minutes<=10 then 85 when walking_minutes<=20 then 70 when walking_minutes<=30 then 55 when walking_minutes<=60 then 40 when walking_minutes<=120 then 20 else 5 end as bigint)"
-_FRESH = "cast(case when days_since_verified is null then 50 when days_since_verified<=7 then 100 when days_since_verified<=30 then 80 when days_since_verified<=90 then 60 when days_since_verified<=180 then 40 when days_since_verified<=365 then 20 else 5 end as bigint)"
+_DIST = "cast(case " + " ".join(f"when walking_minutes<={m} then {p}" for m, p in scoring.DISTANCE_STEPS) + " else 5 end as bigint)"
+_FRESH = "cast(case when days_since_verified is null then 50 " + " ".join(f"when days_since_verified<={d} then {p}" for d, p in scoring.FRESHNESS_STEPS) + " else 5 end as bigint)"
 _RATING = "cast(floor(coalesce(overall_score,0)/5.0*100.0+0.5) as bigint)"
 _STRICT = {c: f"case when array_length(string_split({c},':'))=2 and try_cast(regexp_extract(string_split({c},':')[1],'^\\s*([+-]?\\d+)',1) as int) between 0 and 23 and try_cast(regexp_extract(string_split({c},':')[2],'^\\s*([+-]?\\d+)',1) as int) between 0 and 59 then try_cast(regexp_extract(string_split({c},':')[1],'^\\s*([+-]?\\d+)',1) as int)*60+try_cast(regexp_extract(string_split({c},':')[2],'^\\s*([+-]?\\d+)',1) as int) end" for c in ("mon_open", "mon_close")}
 _LAX = {c: f"(try_cast(string_split({c},':')[1] as double)*60+try_cast(string_split({c},':')[2] as double))" for c in ("mon_open", "mon_close")}
@@ -110,7 +110,7 @@ def _smart_sql(preferences, km, limit):
 
 _SMART_COLUMNS = ["facility_id", "name", "walking_minutes", "preference", "rating", "distance", "open_score", "freshness", "total"]
 _LABEL = "case when total>=80 then 'Excellent match' when total>=60 then 'Good match' when total>=40 then 'Fair match' else 'Low match' end"
-_REPORT_LABEL = "case type when 'closed' then 'Closed' when 'out_of_order' then 'Out of Order' when 'refurbishment' then 'Under Refurbishment' when 'cleaning' then 'Being Cleaned' when 'busy' then 'Very Busy' when 'no_water' then 'No Water' else type end"
+_REPORT_LABEL = "case type " + " ".join(f"when '{k}' then '{v}'" for k, v in labels.REPORT_LABELS.items()) + " else type end"
 _ACTIVE = f"not is_expired and expires_at >= {AS_OF} and created_at <= {AS_OF}"
 
 # --- scans, filters, search ----------------------------------------------------------------

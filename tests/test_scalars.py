@@ -14,10 +14,10 @@ def one(spark, *columns):
 
 
 def test_walking_minutes(spark):
+    # fixed values: metres, points and minutes that must come out the same
     metres = [1000, 500, 2500, 10000, 100, 0, -500]
     assert list(one(spark, *[geo.walking_minutes(F.lit(float(m))) for m in metres])) == [12, 6, 30, 120, 1, 1, 1]
     near = geo.walking_minutes(geo.haversine_km(53.4078, -2.9817, 53.3952, -2.9712) * 1000)
-    # fixed values: points and minutes that must come out the same
     far = geo.walking_minutes(geo.haversine_km(51.5074, -0.1278, 53.4808, -2.2426) * 1000)
     same = geo.walking_minutes(geo.haversine_km(51.5, -0.1, 51.5, -0.1) * 1000)
     assert list(one(spark, near, far, same)) == [19, 3144, 1]
