@@ -601,6 +601,20 @@ def test_hot_passages_are_sent(spark, monkeypatch):
     assert got == plain.without_repeats([x for x in rows if x[0] is not None])
 
 
+@pytest.mark.parametrize("most", [20_000, 1])
+def test_passages_that_a_later_document_has_twice(spark, monkeypatch, most):
+    monkeypatch.setattr(suffixes, "MOST_VARIANTS", most)
+    r = random.Random(33)
+    noise = lambda n: "".join(r.choice("klmnopqrst") for _ in range(n))
+    rows = []
+    for i in range(0, 80, 2):
+        passage, before, behind = noise(90), noise(40), noise(40)
+        twice = before + passage + behind
+        rows += [(i, noise(60) + passage + noise(60)), (i + 1, twice + noise(r.randint(0, 30)) + twice + noise(9) + twice)]
+    got = {x.c0: (x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in suffixes.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()}
+    assert got == plain.without_repeats(rows)
+
+
 # --- 9 ---
 
 
