@@ -54,20 +54,35 @@ def polls(favourites: DataFrame, preferences: DataFrame, facilities: DataFrame,
     # a report is active for a day at most, so it meets a bounded number of polls
     at = F.explode(F.filter(F.sequence(first, last, step), lambda t: (t >= F.col("created_at")) & (t <= F.col("expires_at"))))
     seen = reports.where(~F.col("is_expired") & (F.col("expires_at") >= first) & (F.col("created_at") <= last)).withColumn("sent_at", at)
-    found = _told(favourites, preferences, facilities, seen.select("facility_id", "report_id", "type", "notes", "sent_at"), ["sent_at"])
-    keys = ["user_id", "title", "body"]
-    tries = found.groupBy(*keys, "sent_at").agg(F.min(F.struct("report_id", "facility_id")).alias("_r")).withColumn("_t", F.unix_micros(F.col("sent_at").cast("timestamp")))
+    seen = seen.groupBy("facility_id", "type", "notes", "sent_at").agg(F.min("report_id").alias("report_id"))
+    # what is sent depends on which of a user's facilities have one name, so it is found once for each such set
+    own = favourites.join(latest_preferences(preferences), ["user_id", "facility_id"]).join(facilities.select("facility_id", "name"), "facility_id")
+    kinds = F.filter(F.array(F.when(F.col("closure_alerts"), "closure"), F.when(F.col("update_alerts"), "update")), lambda k: k.isNotNull())
+    own = own.select("user_id", "facility_id", "name", F.explode(kinds).alias("kind"))
+    members = own.groupBy("user_id", "name", "kind").agg(F.sort_array(F.collect_set("facility_id")).alias("places"))
+    sets = members.select("name", "kind", "places").distinct()
+    told = sets.withColumn("facility_id", F.explode("places")).join(seen.withColumn("kind", _kind(F.col("type"))), ["facility_id", "kind"])
+    keys = ["name", "kind", "places", "title", "body"]
+    told = told.withColumns({"title": labels.alert_title(F.col("name"), F.col("type")), "body": labels.alert_body(F.col("notes"), F.col("type"))})
+    tries = told.groupBy(*keys, "sent_at").agg(F.min(F.struct("report_id", "facility_id")).alias("_r")).withColumn("_t", F.unix_micros(F.col("sent_at").cast("timestamp")))
     sent = sequence.judged(tries, keys, [], "_t", sequence.Sliding(COOLDOWN_HOURS * 3600, 1, open=True)).where("refused is null")
-    return sent.select("user_id", "_r.facility_id", "_r.report_id", "title", "body", "sent_at")
+    users = members.select("user_id", F.col("name").alias("_name"), F.col("kind").alias("_kind"), F.col("places").alias("_places"))
+    same = F.col("name").eqNullSafe(F.col("_name")) & (F.col("kind") == F.col("_kind")) & (F.col("places") == F.col("_places"))
+    return users.join(sent, same).select("user_id", "_r.facility_id", "_r.report_id", "title", "body", "sent_at")
+
+
+def _kind(kind: Column) -> Column:
+    """Which of the two preferences a type of report falls under."""
+    return F.when(kind.isin(*labels.CLOSURES), "closure").when(kind.isin(*labels.UPDATES), "update")
 
 
 def alerts(favourites: DataFrame, preferences: DataFrame, facilities: DataFrame, reports: DataFrame, as_of: Column) -> DataFrame:
     """(user_id, facility_id, report_id, title, body): reports reduced first, then joined by key."""
-    return _told(favourites, preferences, facilities, reports.where(active_reports(as_of)).select("facility_id", "report_id", "type", "notes"), [])
+    return _told(favourites, preferences, facilities, reports.where(active_reports(as_of)).select("facility_id", "report_id", "type", "notes"))
 
 
-def _told(favourites: DataFrame, preferences: DataFrame, facilities: DataFrame, active: DataFrame, more: list[str]) -> DataFrame:
+def _told(favourites: DataFrame, preferences: DataFrame, facilities: DataFrame, active: DataFrame) -> DataFrame:
     wanted = favourites.join(latest_preferences(preferences), ["user_id", "facility_id"]).join(active, "facility_id")
     wanted = wanted.where((F.col("closure_alerts") & F.col("type").isin(*labels.CLOSURES)) | (F.col("update_alerts") & F.col("type").isin(*labels.UPDATES)))
     found = wanted.join(facilities.select("facility_id", "name"), "facility_id")
-    return found.select("user_id", "facility_id", "report_id", labels.alert_title(F.col("name"), F.col("type")).alias("title"), labels.alert_body(F.col("notes"), F.col("type")).alias("body"), *more)
+    return found.select("user_id", "facility_id", "report_id", labels.alert_title(F.col("name"), F.col("type")).alias("title"), labels.alert_body(F.col("notes"), F.col("type")).alias("body"))

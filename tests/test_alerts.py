@@ -4,7 +4,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from restgrid.operators import alerts
+from restgrid.functions import labels
+from restgrid.operators import alerts, sequence
 from restgrid.streaming.poll import poll_active
 
 NOW = dt.datetime(2024, 1, 15, 14, 30)
@@ -76,3 +77,38 @@ def test_preferences_are_replaced(spark):
     have = spark.createDataFrame([(1, 7, 0, True), (1, 8, 0, True)], schema)
     got = alerts.set_preference(have, spark.createDataFrame([(1, 7, 0, False), (2, 7, 0, True)], schema))
     assert sorted(map(tuple, got.collect())) == [(1, 7, 0, False), (1, 8, 0, True), (2, 7, 0, True)]
+
+
+def test_polls_judge_a_text_once_for_all_its_users(spark, monkeypatch):
+    """Facilities 7 and 8 share a name; users with both, one or none of them, and other preferences for each."""
+    at = lambda m: F.lit(NOW + m * MINUTE).cast("timestamp_ntz")
+    favourites = [(u, f) for u in range(60) for f in (7, 8, 9) if u % (f - 4) != 0]
+    preferences = [(u, f, 0, (u + f) % 7 != 0, u % 2 == 0, (u + f) % 3 != 0) for u, f in favourites]
+    names = {7: "Same", 8: "Same", 9: "Nine"}
+    kinds = ["closed", "busy", "no_water", "out_of_order", "odd"]
+    reports = [(i, 7 + i % 3, 1, kinds[i % 5], NOW + (i * 7 % 300) * MINUTE, NOW + (i * 7 % 300 + 45 + i % 80) * MINUTE, i % 11 == 0, [None, "", "full", "wet"][i % 4]) for i in range(70)]
+    tables = (
+        spark.createDataFrame(favourites, "user_id long, facility_id long"),
+        spark.createDataFrame(preferences, "user_id long, facility_id long, position int, enabled boolean, closure_alerts boolean, update_alerts boolean"),
+        spark.createDataFrame(list(names.items()), "facility_id long, name string"),
+        spark.createDataFrame(reports, "report_id long, facility_id long, user_id long, type string, created_at timestamp_ntz, expires_at timestamp_ntz, is_expired boolean, notes string"),
+    )
+    judged, rows = sequence.judged, []
+    monkeypatch.setattr(sequence, "judged", lambda events, *more: (rows.append(events.count()), judged(events, *more))[1])
+    got = sorted((r.user_id, r.facility_id, r.report_id, r.title, r.body, r.sent_at) for r in alerts.polls(*tables, at(0), at(360)).collect())
+    labelled = {r.report_id: (r.title, r.body) for r in tables[3].join(tables[2], "facility_id").select("report_id", labels.alert_title(F.col("name"), F.col("type")).alias("title"), labels.alert_body(F.col("notes"), F.col("type")).alias("body")).collect()}
+    want, had = [], {}
+    for m in range(0, 361, 30):
+        poll, found = NOW + m * MINUTE, {}
+        for user, place, _, on, closures, updates in preferences:
+            for number, at_place, _, kind, since, until, gone, _ in reports:
+                if on and place == at_place and not gone and since <= poll <= until and ((closures and kind in labels.CLOSURES) or (updates and kind in labels.UPDATES)):
+                    key = (user, *labelled[number])
+                    found[key] = min(found.get(key, (number, place)), (number, place))
+        for key, (number, place) in found.items():
+            if key not in had or poll - had[key] >= 60 * MINUTE:
+                had[key] = poll
+                want.append((key[0], place, number, *key[1:], poll))
+    assert got == sorted(want)
+    # three sets of facilities for each kind, whatever the number of users
+    assert rows[0] < len(want) / 4
