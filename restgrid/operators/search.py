@@ -75,18 +75,19 @@ def closest(facilities: DataFrame, lat: float, lng: float) -> DataFrame:
     return found.withColumn("radius_km", tier.cast("long")).withColumn("walking_minutes", geo.walking_minutes(F.col("distance_metres")))
 
 
-def nearest_per_probe(facilities: DataFrame, probes: DataFrame, key: str, radius_km: float, k: int = 1) -> DataFrame:
+def nearest_per_probe(facilities: DataFrame, probes: DataFrame, key: str, radius_km: float, k: int = 1, many: bool = False) -> DataFrame:
     """For each probe (key, lat, lng) its k nearest facilities within the radius.
 
     A grid turns the range join into an equi-join: cells are as high as the radius, probes look
-    at 3 rows of cells and as many columns as the radius may need at that latitude.
+    at 3 rows of cells and as many columns as the radius may need at that latitude.  With ``many`` probes both
+    sides are shuffled, whatever the sizes of their files promise.
     """
     size = radius_km / geo.KM_A_DEGREE
     side = F.ceil(1.0 / F.greatest(F.cos(F.radians(F.abs("lat") + size)), F.lit(0.01))).cast("int")
     span = lambda x, n: F.explode(F.sequence(geo.cell(F.col(x), size) - n, geo.cell(F.col(x), size) + n))
     around = probes.withColumn("_y", span("lat", F.lit(1))).withColumn("_x", span("lng", side))
     placed = facilities.where(f.published()).withColumns({"_y": geo.cell(F.col("latitude"), size), "_x": geo.cell(F.col("longitude"), size)})
-    found = placed.join(around.select(F.col(key).alias("probe"), "lat", "lng", "_y", "_x"), ["_y", "_x"])
+    found = (placed.hint("merge") if many else placed).join(around.select(F.col(key).alias("probe"), "lat", "lng", "_y", "_x"), ["_y", "_x"])
     found = found.withColumn("distance_metres", geo.metres(F.col("lat"), F.col("lng"), F.col("latitude"), F.col("longitude"))).where(F.col("distance_metres") <= radius_km * 1000)
     rank = F.row_number().over(Window.partitionBy("probe").orderBy("distance_metres", "facility_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -105,11 +106,14 @@ def closest_per_probe(facilities: DataFrame, probes: DataFrame, key: str, k: int
     """
     left, out = probes.select(key, "lat", "lng"), None
     for radius in ladder:
-        found = nearest_per_probe(facilities, left, key, radius, k).select("probe", "facility_id", "distance_metres", "rank")
+        found = nearest_per_probe(facilities, left, key, radius, k, many=True)
+        found = found.select("probe", "facility_id", "distance_metres", "rank", F.count("*").over(Window.partitionBy("probe")).alias("_n"))
         if radius != ladder[-1]:
-            found = stage(found, "closest-found")
-            full = found.where(F.col("rank") == k).select("probe")
-            found, left = found.join(full, "probe", "left_semi"), stage(left.join(full, F.col(key) == F.col("probe"), "left_anti"), "closest-left")
+            # no side is small: files of ids are, for their rows, and must not be sent to all tasks through the driver
+            found = stage(found.where(F.col("_n") == k), "closest-found")
+            full = found.where(F.col("rank") == k).select("probe").hint("merge")
+            left = stage(left.join(full, F.col(key) == F.col("probe"), "left_anti"), "closest-left")
+        found = found.drop("_n")
         out = found if out is None else out.unionByName(found)
     last = F.when(F.count("*").over(Window.partitionBy("probe")) >= k, F.max("distance_metres").over(Window.partitionBy("probe")))
     tier = F.when(last <= RADII_KM[0] * 1000, RADII_KM[0]).when(last <= RADII_KM[1] * 1000, RADII_KM[1]).otherwise(RADII_KM[2])

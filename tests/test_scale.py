@@ -153,3 +153,14 @@ def test_an_import_is_one_unit(spark, tmp_path):
     got = {x.run_id: (x.status, x.rows_inserted, x.rows_marked_stale, x.error_summary and ("gone" in x.error_summary or "division" in x.error_summary)) for x in runs.runs(spark, root).collect()}
     assert got == {"one": ("completed", 3, 1, None), "two": ("failed", None, None, True), "three": ("failed", None, None, True), "four": ("completed", 4, 1, None)}
     assert not (tmp_path / "import" / "results" / "two").exists()
+
+
+def test_closest_per_probe_sends_no_table_to_all_tasks(spark, monkeypatch):
+    f = spark.createDataFrame([(i, 50 + i % 10 / 100, -1 + i % 7 / 100, "published") for i in range(60)], "facility_id long, latitude double, longitude double, publication_status string")
+    probes = f.select(F.col("facility_id").alias("id"), F.col("latitude").alias("lat"), F.col("longitude").alias("lng"))
+    stage, plans = search.stage, []
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(search, "stage", lambda df, name: (plans.append(plan(df)), stage(df, name))[1])
+    got = search.closest_per_probe(f, probes, "id", 3)
+    assert got.count() == 180
+    assert len(plans) > 4 and not [p for p in [*plans, plan(got)] if "BroadcastHashJoin" in p or "BroadcastNestedLoopJoin" in p]
