@@ -1,3 +1,4 @@
+import collections
 import gzip
 import hashlib
 import inspect
@@ -696,3 +697,37 @@ def test_distance(spark):
     m = [(x + y) / 2 for x, y in zip(p, q)]
     want = [0.0, 1.0, math.sqrt((kl(p, m) + kl(q, m)) / 2), 0.0]
     assert all(math.isclose(a, b, abs_tol=1e-12) for a, b in zip(got, want))
+
+
+@pytest.mark.parametrize("common", [256, 2])
+def test_a_copy_whose_seeds_have_other_first_and_last_holders(spark, monkeypatch, common):
+    """Each stretch that a copy of 84 words kept also stands in an earlier and in a later document than the original."""
+    monkeypatch.setattr(chains, "COMMON", common)
+    monkeypatch.setattr(chains, "HOT_ROWS", 3)
+    r = random.Random(21)
+    words = _invented(r, 84)
+    copy = [w if i % 12 != 11 else f"e{i}" for i, w in enumerate(words)]
+    parts = [_invented(r, 20) + words[i : i + 11] + _invented(r, 20) for i in range(0, 84, 12)]
+    texts = [*parts, _invented(r, 9) + words + _invented(r, 9), *[_invented(r, 3) + p[20:31] + _invented(r, 30) for p in parts], _invented(r, 7) + copy + _invented(r, 7)]
+    found = _found(spark, texts)
+    assert [(doc, other) for doc, other, _, _ in found] == [(16, 8)]
+    assert found[0][2] <= 7 and found[0][3] >= 7 + 83
+
+
+@pytest.mark.parametrize("common, hot", [(1, 2), (3, 10_000), (256, 10_000)])
+def test_left_seeds_are_linked_to_all_earlier_texts(spark, monkeypatch, common, hot):
+    monkeypatch.setattr(chains, "COMMON", common)
+    monkeypatch.setattr(chains, "HOT_ROWS", hot)
+    r = random.Random(22)
+    rows = list({(key, doc, r.randint(0, 25), doc << 1) for doc in range(30) for key in r.sample(range(40), 6) for _ in range(r.randint(1, 2))})
+    left = [(k, d, b >> 1, a) for k, d, a, b in rows if r.random() < 0.7]
+    n = collections.Counter(k for k, _ in {(k, d) for k, d, _, _ in rows})
+    want = set()
+    for doc in range(30):
+        for other in range(doc):
+            both = [(k, a, o) for k, d, _, a in left if d == doc for key, e, o, _ in rows if key == k and e == other]
+            places = [a for k, _, a in ((k, d, a) for k, d, _, a in left if d == doc) if k in {x[0] for x in both}]
+            if len({x[0] for x in both}) >= chains.MIN_SEEDS and max(n[x[0]] for x in both) > 3 and max(places) - min(places) >= chains.MIN_REACH:
+                want |= {(doc, other, a, o) for _, a, o in both}
+    got = chains.links_of_left(spark.createDataFrame(rows, "key long, doc long, a long, b long"), spark.createDataFrame(left, "key long, doc long, v long, a long")).collect()
+    assert want and {(x.doc, x.other, x.a, x.o) for x in got} == want and all(x.v == x.doc and x.ov == x.other and x.kind == 0 for x in got)
