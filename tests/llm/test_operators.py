@@ -721,7 +721,7 @@ def test_left_seeds_are_linked_to_all_earlier_texts(spark, monkeypatch, common,
     r = random.Random(22)
     rows = list({(key, doc, r.randint(0, 25), doc << 1) for doc in range(30) for key in r.sample(range(40), 6) for _ in range(r.randint(1, 2))})
     left = [(k, d, b >> 1, a) for k, d, a, b in rows if r.random() < 0.7]
-    n = collections.Counter(k for k, _ in {(k, d) for k, d, _, _ in rows})
+    n = collections.Counter(k for k, _, _, _ in rows)
     want = set()
     for doc in range(30):
         for other in range(doc):
