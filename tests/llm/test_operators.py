@@ -731,3 +731,38 @@ def test_left_seeds_are_linked_to_all_earlier_texts(spark, monkeypatch, common,
                 want |= {(doc, other, a, o) for _, a, o in both}
     got = chains.links_of_left(spark.createDataFrame(rows, "key long, doc long, a long, b long"), spark.createDataFrame(left, "key long, doc long, v long, a long")).collect()
     assert want and {(x.doc, x.other, x.a, x.o) for x in got} == want and all(x.v == x.doc and x.ov == x.other and x.kind == 0 for x in got)
+
+
+def _seed_tables(spark, texts):
+    """(shared, left): texts of (key, place) rows, all of them left."""
+    rows = [(k, doc, a, doc << 1) for doc, t in enumerate(texts) for k, a in t]
+    left = [(k, d, b >> 1, a) for k, d, a, b in rows]
+    return spark.createDataFrame(rows, "key long, doc long, a long, b long"), spark.createDataFrame(left, "key long, doc long, v long, a long")
+
+
+def test_near_chains_are_the_chains_of_all_links(spark):
+    """Texts with runs of one seed, two seeds in turn, and wide gaps."""
+    r = random.Random(31)
+    texts = []
+    for _ in range(60):
+        text, at = [], 0
+        for _ in range(r.randint(2, 6)):
+            some = r.sample(range(12), r.choice([1, 1, 2, 3]))
+            for i in range(r.choice([1, 3, 5, 14, 40])):
+                text.append((some[i % len(some)], at))
+                at += r.choice([1, 1, 1, 4, 12])
+            at += r.choice([1, 9, 60, 150, 600])
+        texts.append(text)
+    shared, left = _seed_tables(spark, texts)
+    row = lambda x: (x.doc, x.v, x.other, x.ov, x.a, x.o)
+    want = sorted(map(row, chains.chains(chains.links_of_left(shared, left)).collect()))
+    assert len(want) > 300 and sorted(map(row, chains.near_chains(shared, left).collect())) == want
+
+
+def test_scattered_seeds_bring_no_pairs(spark):
+    """Thirty texts share three seeds, too far apart for a chain; two share them near each other."""
+    far = [[(key, place) for key, place in ((1, 5), (2, 905 + i), (3, 1905 + i))] for i in range(30)]
+    shared, left = _seed_tables(spark, [*far, [(1, 0), (2, 8), (3, 20)], [(1, 3), (2, 11), (3, 24)]])
+    assert chains.links_of_left(shared, left).select("doc", "other").distinct().count() == 32 * 31 // 2
+    assert [tuple(p) for p in chains.near_pairs(shared, left).collect()] == [(31, 31, 30, 30)]
+    assert [(c.doc, c.other, c.a, c.o) for c in chains.near_chains(shared, left).collect()] == [(31, 30, [[3, 11, 24]], [[0, 8, 20]])]
