@@ -5,6 +5,7 @@ import inspect
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -766,3 +767,46 @@ def test_scattered_seeds_bring_no_pairs(spark):
     assert chains.links_of_left(shared, left).select("doc", "other").distinct().count() == 32 * 31 // 2
     assert [tuple(p) for p in chains.near_pairs(shared, left).collect()] == [(31, 31, 30, 30)]
     assert [(c.doc, c.other, c.a, c.o) for c in chains.near_chains(shared, left).collect()] == [(31, 30, [[3, 11, 24]], [[0, 8, 20]])]
+
+
+def test_repeated_seeds_are_chained_without_objects_for_each_pair():
+    """Runs of one word in both texts: every place of one meets every place of the other.  The same chains as seed by
+    seed, in a third of its 230 bytes a pair, and no row of them holds all places."""
+    r = random.Random(41)
+    for n in (3, 30, 90):
+        sides = [np.cumsum([r.choice([1, 1, 1, 1, 2, 30]) for _ in range(n * k)]) for k in (1, 2)]
+        kind = [np.array([r.random() < 0.8 for _ in x]) for x in sides]
+        at = [(x, y) for i, x in enumerate(sides[0]) for j, y in enumerate(sides[1]) if kind[0][i] == kind[1][j]]
+        a, o = (np.array(x, np.int32) for x in zip(*at))
+        assert [c.tolist() for c in chains.crowded_chains(a, o)] == chains.chain(a, o)
+    a, o = np.repeat(np.arange(500, dtype=np.int32), 400), np.tile(np.arange(400, dtype=np.int32), 500)
+    tracemalloc.start()
+    long = chains._long(a, o, np.zeros(len(a), np.int32))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 * len(a)
+    rows = chains._split((1, 2, 3, 4), *long)
+    assert len(rows) > 2 and max(sum(map(len, x[4])) for x in rows) < chains.MOST_PLACES + 400
+    assert sum((x[4] for x in rows), []) == long[0] and {x[:4] for x in rows} == {(1, 2, 3, 4)}
+    assert chains._chain_rows(rows).column(4).to_pylist()[0][0] == rows[0][4][0].tolist()
+
+
+@pytest.mark.parametrize("reach", [0, chains.MIN_REACH])
+def test_threes_of_seeds_come_in_parts(monkeypatch, reach):
+    """The least words of each three seeds don't hang on how many are held at once."""
+    r = random.Random(42)
+    text = np.repeat(np.arange(4), 120)
+    place = np.concatenate([np.cumsum([r.choice([1, 1, 4, 20]) for _ in range(120)]) for _ in range(4)]).astype(np.int32)
+    key = np.array([r.choice([7, r.randint(10, 60)]) for _ in text], np.uint64)
+
+    def least(most):
+        monkeypatch.setattr(chains, "MOST_THREES", most)
+        parts = [list(zip(*(x.tolist() for x in p))) for p in chains.triples(text, place, key, reach)]
+        out = {}
+        for t, sig, wide in sum(parts, []):
+            out[t, sig] = min(wide, out.get((t, sig), wide))
+        return out, max(map(len, parts))
+
+    whole, largest = least(1 << 30)
+    some, few = least(2_000)
+    assert some == whole and few <= 2_000 < largest
